@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, secrets
+from tessera.llm import decontam, langid, secrets, simhash
 
 QUERIES = {
+    "op4_language_id": langid.op4_language_id,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_decontaminate": decontam.op8_decontaminate,
 }
 ORACLE_SQL = {"op8_decontaminate": decontam.OP8_SQL}
