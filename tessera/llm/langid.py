@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fold, per_batch, small_batches, table
 
-NGRAM, SAMPLE_ROWS, KEPT_NGRAMS = 4, 2000, 12_000
+#: At most 1,000 sample rows keep the choice a group limit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+NGRAM, SAMPLE_ROWS, KEPT_NGRAMS = 4, 1000, 12_000
 FILTER_BITS, HASHES = 19, 3
 UNKNOWN = "und"
 #: The pipeline rejects texts below this score, and `und`.
