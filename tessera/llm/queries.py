@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, langid, mixing, pii, secrets, simhash, tokens, toolcalls, toxicity
+from tessera.llm import ann, decontam, langid, mixing, pii, secrets, simhash, tokens, toolcalls, toxicity
 
 QUERIES = {
+    "op1_nn_descent_search": ann.op1_nn_descent_search,
     "op2_temperature_mix": mixing.op2_temperature_mix,
     "op3_edit_token_counts": tokens.op3_edit_token_counts,
     "op4_language_id": langid.op4_language_id,
