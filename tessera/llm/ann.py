@@ -17,7 +17,6 @@ returned.  Rows that repeat an id are separate candidates; a query leaves out th
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,6 @@ TREES, BLOCK, FIRST, PLANES, DEPTH = 4, 512, 12, 2048, 12
 ROUNDS, LEAST_CHANGE, POOL, MAX_HOPS = 6, 0.03, 120, 12
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of rounds that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v of the rows that take part."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -190,7 +183,6 @@ def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
 
 def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """The graph (u, w, sim) over nodes (node, q, s): NN-descent."""
-    spark = nodes.sparkSession
     graph = first_graph(nodes, n, k)
     for step in range(rounds):
         draw = F.xxhash64("u", "w", F.lit(step))
@@ -208,7 +200,6 @@ def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -
         after = cut(_top(merged, k))
         sums = after.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("int")).alias("new")).first()
         graph = after.drop("found")
-        _free(spark)
         if not sums.n or sums.new < LEAST_CHANGE * sums.n:
             break
     return graph.select("u", "w", "sim")
@@ -224,7 +215,6 @@ def _dot(a: pa.Array, sa: pa.Array, b: pa.Array, sb: pa.Array) -> pa.Array:
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
     """q, w, sim: the best pool nodes found for each query node q of queries (node)."""
-    spark = nodes.sparkSession
     back = graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim")
     ways = cut(graph.select("u", "w").unionAll(_top(back, NEIGHBOURS).select("u", "w")).distinct().select(F.col("u").alias("w"), F.col("w").alias("next")))
     asked = queries.select(F.col("node").alias("q")).join(nodes.select(F.col("node").alias("q"), F.col("q").alias("qv"), F.col("s").alias("qs")), "q")
@@ -241,7 +231,6 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = P
         scored = scored.select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open"))
         opened = seen.join(front.withColumn("now", F.lit(True)), ["q", "w"], "left").select("q", "w", "sim", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
         seen = cut(opened.unionAll(scored))
-        _free(spark)
     return seen.select("q", "w", "sim", rank.alias("k")).filter(F.col("k") <= pool).select("q", "w", "sim")
 
 

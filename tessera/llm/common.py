@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,7 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free(spark)
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Lets the driver drop what nothing refers to: plans, and shuffle and checkpoint files of earlier rounds.
+
+    Spark deletes such files when the driver's garbage is collected, which by itself may take half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

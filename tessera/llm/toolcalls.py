@@ -93,23 +93,27 @@ def events(messages: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (conv_id, call_id, after): 0 without dependencies, else one more than the deepest.
+    """conv_id, call_id, level of calls (conv_id, call_id, after) with dependencies: one more than the deepest of these.
 
-    One round for each level; ids that name no call are no dependency; repeated ids of a conversation are one call.
+    Calls that are not returned have level 0; those on or behind a cycle have level null.  In each round an edge stays
+    open if the call it leads to has an open edge itself, so a call is open in as many rounds as its level says.  Ids
+    that name no call are no dependency; repeated ids of a conversation are one call.
     """
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
-    nodes = cut(calls.filter(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()).select("conv_id", "call_id").distinct())
-    left = cut(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"))
-    done, level = None, 0
-    while True:
-        ready = cut(nodes.join(left.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-        found = ready.withColumn("level", F.lit(level).cast("long"))
-        done = found if done is None else done.unionAll(found)
-        nodes = cut(nodes.join(ready, ["conv_id", "call_id"], "left_anti"))
-        if not nodes.limit(1).count() or not ready.limit(1).count():
-            return done
-        left = cut(left.join(ready.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"))
-        level += 1
+    known = calls.filter(F.col("call_id").isNotNull()).select("conv_id", F.col("call_id").alias("dep")).distinct()
+    left = cut(edges.join(known, ["conv_id", "dep"], "left_semi"))
+    rounds, size = [], left.count()
+    while size:
+        rounds.append(left.select("conv_id", "call_id").distinct())
+        left = cut(left.join(left.select("conv_id", F.col("call_id").alias("dep")).distinct(), ["conv_id", "dep"], "left_semi"))
+        before, size = size, left.count()
+        if size == before:
+            break
+    cyclic = left.select("conv_id", "call_id").distinct().withColumn("one", F.lit(None).cast("long"))
+    opened = cyclic
+    for r in rounds:
+        opened = opened.unionAll(r.withColumn("one", F.lit(1).cast("long")))
+    return opened.groupBy("conv_id", "call_id").agg(F.when(F.count("*") == F.count("one"), F.sum("one")).alias("level"), F.lit(True).alias("depends"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
@@ -125,7 +129,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] |
     refs = calls.select("conv_id", "call_id", F.array_union("after", F.when(F.col("arguments").contains("${"), F.regexp_extract_all("arguments", F.lit(_REFERENCE))).otherwise(F.array().cast("array<string>"))).alias("after"))
     ordered = levels(refs)
     linked = calls.join(first, ["conv_id", "call_id"], "left").join(ordered, ["conv_id", "call_id"], "left")
-    linked = linked.withColumns({"linked": F.col("r").isNotNull(), "valid": valid(F.col("name"), args, schemas)})
+    linked = linked.withColumns({"level": F.when(F.col("depends").isNull(), F.lit(0).cast("long")).otherwise(F.col("level")), "linked": F.col("r").isNotNull(), "valid": valid(F.col("name"), args, schemas)})
     shown = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(args), quoted(F.col("arguments"))), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), F.coalesce(F.col("r.content"), F.lit("null")), F.lit(',"type":"tool_call"}'))
     cols = ["conv_id", "turn", "kind", "call_id", "name", "level", "linked", "valid"]
     asked = linked.select(*cols, shown.alias("json"))
