@@ -1,7 +1,7 @@
 """Tool-call linking for chat data, with DataFrame functions only.
 
-Calls and results are joined by hash on (conversation, call id); dependencies between calls are ordered topologically in
-rounds (all calls without an open dependency are one level); arguments are checked against the tool's schema; every
+Calls and results are joined by hash on (conversation, call id); calls are ordered topologically by their turns
+and, where a dependency is not at an earlier turn, by rounds; arguments are checked against the tool's schema; every
 message is written as canonical JSON: keys sorted at all depths, no white space.
 
 Messages (conv_id, turn, role, text) give calls in two ways.  An assistant's text that is a JSON object with tool_calls
@@ -11,7 +11,7 @@ call two turns before.  A call also depends on each call that its arguments name
 
 Defined results: null text is a missing argument (not valid); null conv_id or turn gives a null id, never linked; the
 first of several results (by turn, then content) counts; equal messages are kept row by row; a call on a cycle, or
-behind one, has null level; an unknown tool, bad JSON, a missing, unknown or mistyped argument is not valid.
+behind one, has null round; an unknown tool, bad JSON, a missing, unknown or mistyped argument is not valid.
 """
 
 from __future__ import annotations
@@ -92,49 +92,52 @@ def events(messages: DataFrame) -> DataFrame:
     return named.unionByName(plain)
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (conv_id, call_id, after) with dependencies: one more than the deepest of these.
+def rounds_of(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, round for calls (conv_id, turn, call_id, after) that must wait: 0 is left out.
 
-    Calls that are not returned have level 0; those on or behind a cycle have level null.  In each round an edge stays
-    open if the call it leads to has an open edge itself, so a call is open in as many rounds as its level says.  Ids
-    that name no call are no dependency; repeated ids of a conversation are one call.
+    Where every dependency comes at an earlier turn, the turns are a topological order already.  Only conversations with
+    a dependency at the same or a later turn go through rounds: an edge stays open as long as the call it leads to has
+    an open edge itself, so a call waits as many rounds as its longest chain of dependencies; on or behind a cycle the
+    round is null.  Ids that name no call are no dependency; calls of a conversation that share an id are one, at its
+    first turn.
     """
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
-    known = calls.filter(F.col("call_id").isNotNull()).select("conv_id", F.col("call_id").alias("dep")).distinct()
-    left = cut(edges.join(known, ["conv_id", "dep"], "left_semi"))
-    rounds, size = [], left.count()
+    first = calls.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("turn").alias("at"))
+    edges = calls.select("conv_id", "turn", "call_id", F.explode("after").alias("dep")).distinct()
+    known = cut(edges.join(first.select("conv_id", F.col("call_id").alias("dep"), "at"), ["conv_id", "dep"]))
+    late = known.filter(~F.coalesce(F.col("at") < F.col("turn"), F.lit(False))).select("conv_id").distinct()
+    left = cut(known.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct())
+    waits, size = [], left.count()
     while size:
-        rounds.append(left.select("conv_id", "call_id").distinct())
+        waits.append(left.select("conv_id", "call_id").distinct())
         left = cut(left.join(left.select("conv_id", F.col("call_id").alias("dep")).distinct(), ["conv_id", "dep"], "left_semi"))
         before, size = size, left.count()
         if size == before:
             break
-    cyclic = left.select("conv_id", "call_id").distinct().withColumn("one", F.lit(None).cast("long"))
-    opened = cyclic
-    for r in rounds:
+    opened = left.select("conv_id", "call_id").distinct().withColumn("one", F.lit(None).cast("long"))
+    for r in waits:
         opened = opened.unionAll(r.withColumn("one", F.lit(1).cast("long")))
-    return opened.groupBy("conv_id", "call_id").agg(F.when(F.count("*") == F.count("one"), F.sum("one")).alias("level"), F.lit(True).alias("depends"))
+    return opened.groupBy("conv_id", "call_id").agg(F.when(F.count("*") == F.count("one"), F.sum("one")).alias("round"), F.lit(True).alias("waits"))
 
 
 def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
-    """One row for each call, result and other message: conv_id, turn, kind, call_id, name, level, linked, valid, json.
+    """One row for each call, result and other message: conv_id, turn, kind, call_id, name, round, linked, valid, json.
 
-    Ordering by (conv_id, level, turn, call_id) runs every call after those it depends on.
+    Ordering by (conv_id, round, turn, call_id) runs every call after those it depends on.
     """
     schemas = SCHEMAS if schemas is None else schemas
     own = cut(events(messages))
     calls, results = own.filter("kind = 'call'"), own.filter("kind = 'result'")
     first = results.filter(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     args = F.try_parse_json("arguments")
-    refs = calls.select("conv_id", "call_id", F.array_union("after", F.when(F.col("arguments").contains("${"), F.regexp_extract_all("arguments", F.lit(_REFERENCE))).otherwise(F.array().cast("array<string>"))).alias("after"))
-    ordered = levels(refs)
+    refs = calls.select("conv_id", "turn", "call_id", F.array_union("after", F.when(F.col("arguments").contains("${"), F.regexp_extract_all("arguments", F.lit(_REFERENCE))).otherwise(F.array().cast("array<string>"))).alias("after"))
+    ordered = rounds_of(refs)
     linked = calls.join(first, ["conv_id", "call_id"], "left").join(ordered, ["conv_id", "call_id"], "left")
-    linked = linked.withColumns({"level": F.when(F.col("depends").isNull(), F.lit(0).cast("long")).otherwise(F.col("level")), "linked": F.col("r").isNotNull(), "valid": valid(F.col("name"), args, schemas)})
+    linked = linked.withColumns({"round": F.when(F.col("waits").isNull(), F.lit(0).cast("long")).otherwise(F.col("round")), "linked": F.col("r").isNotNull(), "valid": valid(F.col("name"), args, schemas)})
     shown = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(args), quoted(F.col("arguments"))), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), F.coalesce(F.col("r.content"), F.lit("null")), F.lit(',"type":"tool_call"}'))
-    cols = ["conv_id", "turn", "kind", "call_id", "name", "level", "linked", "valid"]
+    cols = ["conv_id", "turn", "kind", "call_id", "name", "round", "linked", "valid"]
     asked = linked.select(*cols, shown.alias("json"))
     answered = results.join(calls.select("conv_id", "call_id", F.lit(True).alias("asked")).distinct(), ["conv_id", "call_id"], "left").withColumn("linked", F.col("asked").isNotNull())
-    none = {"level": F.lit(None).cast("long"), "valid": F.lit(None).cast("boolean"), "name": F.lit(None).cast("string")}
+    none = {"round": F.lit(None).cast("long"), "valid": F.lit(None).cast("boolean"), "name": F.lit(None).cast("string")}
     told = F.concat(F.lit('{"content":'), F.coalesce("content", F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"type":"tool_result"}'))
     other = own.filter("kind = 'message'").withColumn("linked", F.lit(False))
     said = F.concat(F.lit('{"content":'), quoted(F.col("text")), F.lit(',"role":'), quoted(F.col("role")), F.lit(',"type":"message"}'))
@@ -143,21 +146,16 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] |
 
 def op10_tool_call_linking(spark, sf_dir: str) -> DataFrame:
     """All messages; what a message has not is written as '', -1 or false."""
-    return link(table(spark, sf_dir, "conversations")).fillna({"name": "", "call_id": "", "level": -1, "valid": False})
+    return link(table(spark, sf_dir, "conversations")).fillna({"name": "", "call_id": "", "round": -1, "valid": False})
 
 
 OP10_SQL = """
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversations),
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM m WHERE role = 'user'),
-r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM m WHERE role = 'assistant'),
-lv AS (
-  SELECT c.conv_id, c.turn, 0::BIGINT AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
-  UNION ALL
-  SELECT c.conv_id, c.turn, lv.level + 1 FROM lv JOIN c ON c.conv_id = lv.conv_id AND c.turn = lv.turn + 2
-)
-SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, 'reply' AS name, coalesce(lv.level, -1) AS level, r.turn IS NOT NULL AS linked, c.text IS NOT NULL AS valid,
+r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM m WHERE role = 'assistant')
+SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, 'reply' AS name, 0::BIGINT AS round, r.turn IS NOT NULL AS linked, c.text IS NOT NULL AS valid,
   '{"arguments":{' || coalesce('"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',', '') || '"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"reply","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"type":"tool_call"}' AS json
-FROM c LEFT JOIN r USING (conv_id, call_id) LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn
+FROM c LEFT JOIN r USING (conv_id, call_id)
 UNION ALL
 SELECT r.conv_id, r.turn, 'result', r.call_id, '', -1, c.turn IS NOT NULL, false,
   '{"content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"id":"' || r.call_id || '","type":"tool_result"}'
