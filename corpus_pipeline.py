@@ -1,13 +1,63 @@
-"""From documents to a mixture: language ID, near-duplicates, benchmark passages, personal data, mixing."""
+"""From documents to a mixture: language ID, near-duplicates, benchmark passages, personal data, mixing.
+
+Each stage takes and returns the columns of documents, but for the last, which adds what the mixture says of a
+document: its tokens, the weight of its source, its block and its copies.  A stage's rows are written and read again
+before the next one begins.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, langid, mixing, pii, simhash
+from tessera.llm.common import LOCAL_CHECKPOINTS, table
+
+
+def language_id(spark, docs, sf_dir):
+    """Drops documents without a letter or in no language of the corpus."""
+    return langid.keep_known(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the smallest doc_id of each group."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Drops documents with benchmark passages, by the rule of op8."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark, docs, sf_dir):
+    """Puts surrogates in place of personal data."""
+    return pii.replaced(docs)
+
+
+def mixture(spark, docs, sf_dir):
+    """The documents that the mixture takes at least once, with n_tokens, weight, block and copies."""
+    return mixing.with_copies(docs).filter("copies > 0")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
+#: SQL can express neither the language model nor fingerprints; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; what passes from one to the next is in the shared folder."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-    return docs
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    return docs.select(*[F.col(c) for c in docs.columns])

@@ -115,6 +115,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return edge.select(*cols).unionAll(rest.select(*cols))
 
 
+def with_copies(docs: DataFrame, **settings) -> DataFrame:
+    """docs with n_tokens, weight, block and copies; rows that share an id get the same, that of the most copies."""
+    mixed = mix(docs, **settings).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("copies", "n_tokens", "weight", "block")).alias("m"))
+    return docs.join(mixed.select("doc_id", "m.n_tokens", "m.weight", "m.block", "m.copies"), "doc_id", "left").select(*[docs[c] for c in docs.columns], "n_tokens", "weight", "block", "copies")
+
+
 def draws(mixed: DataFrame) -> DataFrame:
     """One row for each copy, with its pass number from 0."""
     return mixed.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

@@ -3,7 +3,7 @@
 Fingerprint: over the 3-word shingles of the lower-cased (A-Z) text, repeats included, a bit is 1 if it is set in over
 half of the XXH64 values (seed 42).  Equal fingerprints are one class, represented by its smallest doc_id.
 
-Candidate search between classes: a fingerprint is embedded as the vector of bit counts of its SEGMENTS segments.  The
+Candidate search between classes: a fingerprint is embedded as the vector of bit counts of its 32 two-bit segments.  The
 Manhattan distance of two vectors is at most the Hamming distance of the fingerprints.  The vector is cut into BLOCKS
 equal blocks; two vectors at distance <= RADIUS agree in at least BLOCKS - RADIUS of them, so they share a cell of the
 grid of at least one choice of that many blocks.  Cells are joined, the Manhattan distance of the whole vectors filters,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, lookup, per_batch, table
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
-SEGMENTS, BLOCKS, CELL_LIMIT = 32, 8, 64
+BLOCKS, CELL_LIMIT = 8, 64
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -68,31 +68,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), fn, "doc_id long, fp long")
 
 
-def popcounts(fp: Column, segments: int = SEGMENTS) -> list[Column]:
-    """The bit count of each segment of a fingerprint."""
-    width = BITS // segments
-    return [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for i in range(segments)]
+def embedded(fp: Column) -> Column:
+    """The bit counts (0, 1, 2) of the fingerprint's 32 segments, each as 00, 01 or 11, so that the number of differing
+    bits of two embeddings is the Manhattan distance of their vectors of counts."""
+    upper = F.shiftrightunsigned(fp, 1)
+    low = F.lit(0x5555555555555555).cast("long")
+    return fp.bitwiseOR(upper).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(upper).bitwiseAND(low), 1))
 
 
-def cells(fp: Column, segments: int = SEGMENTS, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
-    """An array with the fingerprint's cell in the grid of every choice of blocks - radius blocks."""
-    counts, each = popcounts(fp, segments), segments // blocks
-    base = BITS // segments + 1
-    block = []
-    for b in range(blocks):
-        code = F.lit(0).cast("long")
-        for c in counts[b * each : (b + 1) * each]:
-            code = code * base + c
-        block.append(code)
-    picks = combinations(range(blocks), blocks - radius)
-    return F.array(*[F.xxhash64(F.lit(i), *[block[b] for b in pick]) for i, pick in enumerate(picks)])
-
-
-def manhattan(a: str, b: str, segments: int = SEGMENTS) -> Column:
-    total = F.lit(0)
-    for x, y in zip(popcounts(F.col(a), segments), popcounts(F.col(b), segments), strict=True):
-        total = total + F.abs(x - y)
-    return total
+def cells(e: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
+    """An array with the cell of an embedding in the grid of every choice of blocks - radius blocks."""
+    width = BITS // blocks
+    picks = []
+    for i, pick in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << width) - 1) << (width * b) for b in pick)
+        picks.append(F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+    return F.array(*picks)
 
 
 def links(classes: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
@@ -100,13 +91,13 @@ def links(classes: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
 
     classes: one row for each fingerprint fp with its node id.  The cells' keys are read twice, so they are written once.
     """
-    spread = cut(classes.select("fp", "node", F.explode(cells(F.col("fp"))).alias("cell")))
+    spread = cut(classes.withColumn("e", embedded(F.col("fp"))).select("fp", "e", "node", F.explode(cells(F.col("e"))).alias("cell")))
     sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     full = sizes.filter(F.col("n") > cell_limit).select("cell")
     shared = spread.join(sizes.filter(F.col("n") <= cell_limit).select("cell"), "cell", "left_semi")
-    left = shared.select("cell", F.col("fp").alias("fp_a"), F.col("node").alias("a"))
-    right = shared.select("cell", F.col("fp").alias("fp_b"), F.col("node").alias("b"))
-    near = left.join(right, "cell").filter((F.col("fp_a") < F.col("fp_b")) & (manhattan("fp_a", "fp_b") <= RADIUS))
+    left = shared.select("cell", F.col("fp").alias("fp_a"), F.col("e").alias("e_a"), F.col("node").alias("a"))
+    right = shared.select("cell", F.col("fp").alias("fp_b"), F.col("e").alias("e_b"), F.col("node").alias("b"))
+    near = left.join(right, "cell").filter((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("e_a").bitwiseXOR(F.col("e_b"))) <= RADIUS))
     pairs = near.filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS).select("a", "b")
     crowded = spread.join(full, "cell", "left_semi").select("fp", "node").distinct()
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)])
@@ -119,19 +110,20 @@ def links(classes: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) can reach.
 
-    Alternating large-star and small-star rounds; each round is written to the checkpoint folder.
+    Alternating large-star and small-star rounds; each round is written to the checkpoint folder.  They are over when a
+    round leaves the edges as they are, by their number and the sum of their hashes.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    state = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        after = cut(small)
-        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(after, ["a", "b"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        edges = cut(small)
+        before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+        if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
