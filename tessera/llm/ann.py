@@ -31,7 +31,7 @@ from tessera.llm.common import cut, lookup, table
 NEIGHBOURS, SAMPLE, PROPOSALS = 40, 24, 8
 #: Trees, nodes of a block, first neighbours from a block, vectors drawn for the planes, levels of a tree.
 TREES, BLOCK, FIRST, PLANES, DEPTH = 4, 512, 12, 2048, 12
-ROUNDS, LEAST_CHANGE, POOL, MAX_HOPS = 6, 0.03, 120, 12
+ROUNDS, LEAST_CHANGE, POOL, MAX_HOPS = 6, 0.03, 120, 8
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -78,6 +78,8 @@ def _tree_codes(nodes: DataFrame, n: int) -> Column:
 
     @F.arrow_udf("array<long>")
     def codes(vectors: pa.Array, scales: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int64()))
         m = _stack(vectors) * scales.to_numpy(zero_copy_only=False)[:, None]
         out = np.zeros((len(m), TREES), np.int64)
         for t, (planes, cuts) in enumerate(trees):
@@ -214,24 +216,29 @@ def _dot(a: pa.Array, sa: pa.Array, b: pa.Array, sb: pa.Array) -> pa.Array:
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """q, w, sim: the best pool nodes found for each query node q of queries (node)."""
+    """q, w, sim: the best pool nodes found for each query node q of queries (node).
+
+    Each hop writes only what it adds; nodes scored before are looked up for the queries that are still on their way.
+    """
     back = graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim")
     ways = cut(graph.select("u", "w").unionAll(_top(back, NEIGHBOURS).select("u", "w")).distinct().select(F.col("u").alias("w"), F.col("w").alias("next")))
     asked = queries.select(F.col("node").alias("q")).join(nodes.select(F.col("node").alias("q"), F.col("q").alias("qv"), F.col("s").alias("qs")), "q")
     asked = cut(asked)
-    seen = cut(graph.join(asked.select(F.col("q").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), "w", "sim", F.lit(False).alias("open")))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "w"))
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "w")
+    held = cut(graph.join(asked.select(F.col("q").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), "w", "sim", F.lit(False).alias("open")))
+    seen = held.select("q", "w")
     for _ in range(MAX_HOPS):
-        front = cut(seen.select("q", "w", "open", rank.alias("k")).filter((F.col("k") <= pool) & ~F.col("open")).select("q", "w"))
+        front = held.filter("NOT open").select("q", "w")
         if not front.limit(1).count():
             break
         reached = front.join(ways, "w").select("q", F.col("next").alias("w")).filter("q <> w").distinct()
-        fresh = reached.join(seen.select("q", "w"), ["q", "w"], "left_anti")
+        fresh = reached.join(seen.join(front.select("q").distinct(), "q", "left_semi"), ["q", "w"], "left_anti")
         scored = fresh.join(asked, "q").join(nodes.select(F.col("node").alias("w"), F.col("q").alias("wv"), "s"), "w")
-        scored = scored.select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open"))
-        opened = seen.join(front.withColumn("now", F.lit(True)), ["q", "w"], "left").select("q", "w", "sim", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
-        seen = cut(opened.unionAll(scored))
-    return seen.select("q", "w", "sim", rank.alias("k")).filter(F.col("k") <= pool).select("q", "w", "sim")
+        scored = cut(scored.select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open")))
+        seen = seen.unionAll(scored.select("q", "w"))
+        both = held.withColumn("open", F.lit(True)).unionAll(scored)
+        held = cut(both.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= pool).drop("k"))
+    return held.select("q", "w", "sim")
 
 
 def exact(a: str, b: str) -> Column:
