@@ -26,7 +26,8 @@ def collapsed(lines: Column) -> Column:
     n = F.size(lines)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(lines, i - 1) != F.get(lines, i - 2))))
     ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.when(b - a > 1, F.concat(F.lit("[repeated "), (b - a).cast("string"), F.lit(" times] "), F.get(lines, a - 1))).otherwise(F.get(lines, a - 1)))
+    runs = F.zip_with(starts, ends, lambda a, b: F.when(b - a > 1, F.concat(F.lit("[repeated "), (b - a).cast("string"), F.lit(" times] "), F.get(lines, a - 1))).otherwise(F.get(lines, a - 1)))
+    return F.when(n > 0, runs).otherwise(lines)
 
 
 def elided(lines: Column, most: int) -> Column:
