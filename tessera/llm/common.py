@@ -6,7 +6,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests, local runs).
@@ -64,6 +64,20 @@ def fold(id_col: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def hash_sample(rows: DataFrame, id_col: str, group_col: str, most: int) -> DataFrame:
+    """id, group, k of at most that many rows of each group: those with the smallest hashes of their ids, k from 1.
+
+    Groups are few (classes, languages).  A cut at four times the expected hash comes before the ranking, so that the
+    ranking gets some thousands of rows of a group, however many there are.
+    """
+    own = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("group")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    sizes = own.groupBy("group").agg(F.count("*").alias("n"))
+    unit = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
+    near = own.join(F.broadcast(sizes), "group").filter(unit * F.col("n") <= 4.0 * most)
+    w = Window.partitionBy("group").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "id")
+    return near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("id", "group", "k")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot_share: int = 500) -> DataFrame:
     """Left join of right, unique on key, where a few keys may hold most rows of left.
 

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, per_batch, small_batches, table
+from tessera.llm.common import fold, hash_sample, per_batch, small_batches, table
 
-#: At most 1,000 sample rows keep the choice a group limit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 NGRAM, SAMPLE_ROWS, KEPT_NGRAMS = 4, 1000, 12_000
 FILTER_BITS, HASHES = 19, 3
 UNKNOWN = "und"
@@ -125,10 +124,8 @@ class Filters:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, kept: int = KEPT_NGRAMS) -> dict[str, np.ndarray]:
     """The n-gram codes of each language, from a bounded sample of the labelled rows of docs."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = F.xxhash64(F.col(id_col).cast("string"))
     # ids only: the texts are not moved for the choice
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), order.alias("h")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_rows).select("id").distinct()
+    chosen = hash_sample(rows, id_col, lang_col, sample_rows).select("id").distinct()
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:

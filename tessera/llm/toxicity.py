@@ -25,10 +25,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, per_batch, small_batches, table
+from tessera.llm.common import fold, hash_sample, per_batch, small_batches, table
 
 SAMPLE_ROWS, PREFIXES, MIN_Z, MIN_COUNT = 1000, (3, 4, 5, 6), 4.0, 4
 #: Features that the driver and each worker hold at most, those with the largest |z|.
@@ -127,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and one number pair for each sample document reach the driver.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy("h", "id")
-    chosen = marked.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_rows).select("id", "toxic", (F.col("k") % 2).alias("half"))
+    chosen = hash_sample(marked, "id", "toxic", sample_rows).select("id", F.col("group").alias("toxic"), (F.col("k") % 2).alias("half"))
     sample = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     share = marked.agg(F.avg("toxic").alias("s")).first()["s"] or 0.0
 
