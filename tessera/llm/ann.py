@@ -63,6 +63,8 @@ def _packed(vectors: pa.Array) -> pa.Array:
 def _tree_codes(nodes: DataFrame, n: int) -> Column:
     """For each tree, the code of the leaf that holds the vector."""
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(PLANES).select("q", "s").toPandas()
+    if not len(rows):
+        return F.array(F.lit(0).cast("long"))
     sample = np.frombuffer(b"".join(rows.q), np.int16).reshape(len(rows), -1).astype(np.float32) * rows.s.to_numpy()[:, None]
     depth = int(np.ceil(np.log2(max(1.0, n / BLOCK))))
     rng = np.random.default_rng(7)
