@@ -86,7 +86,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot_share:
     get a spread dummy key in the shuffled join of the rest, so that no task gathers a hot key.
     """
     total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    limit = max(1000, total // hot_share)
+    limit = max(64, total // hot_share)
     rest = [c for c in right.columns if c not in (key, weight)]
     hot = right.filter(F.col(weight) > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in rest])
     cold = right.filter(F.col(weight) <= limit).select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_lane"), *rest)
