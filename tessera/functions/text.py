@@ -213,3 +213,26 @@ def with_stems(long: DataFrame, term: str = "term") -> DataFrame:
     """A long table of words with their stems: each distinct word is stemmed once."""
     vocabulary = long.select(term).distinct().withColumn("stem", _stems(F.col(term)))
     return long.join(vocabulary, term).filter(F.octet_length("stem") >= 2)
+
+
+_memo: dict[str, str] = {}
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(lists: pa.Array) -> pa.Array:
+    out = []
+    for own in lists.to_pylist():
+        if own is not None:
+            for w in own:
+                if w not in _memo:
+                    if len(_memo) > 200_000:
+                        _memo.clear()
+                    _memo[w] = stem(w)
+            own = [s for s in (_memo.get(w) or stem(w) for w in own) if len(s.encode()) >= 2]
+        out.append(own)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def stemmed(tokens: Column) -> Column:
+    """An array of words as stems; those shorter than two bytes are dropped."""
+    return _stemmed(tokens)

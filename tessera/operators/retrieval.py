@@ -89,7 +89,7 @@ def with_code_survivor(kept: DataFrame, passed: DataFrame, code_query: Column, c
 def connected(nodes: DataFrame, edges: DataFrame, scopes: DataFrame) -> DataFrame:
     """id, agent: agents that read a node, and agents with a scope (agent, scope) that holds its file."""
     reads = edges.filter(F.col("type") == "reads").select(F.col("to").alias("id"), F.regexp_replace("from", "^agent:", "").alias("agent"))
-    held = nodes.filter(F.coalesce("file", F.lit("")) != "").join(scopes, in_scope(F.col("file"), F.col("scope"))).select("id", "agent")
+    held = nodes.filter(F.coalesce("file", F.lit("")) != "").select("id", "file").join(scopes.select("agent", "scope"), in_scope(F.col("file"), F.col("scope"))).select("id", "agent")
     return reads.unionAll(held).distinct()
 
 
