@@ -19,6 +19,11 @@ SECRET_NAME = "(?i)(token|secret|password|passwd|pwd|bearer|credential|api[_-]?k
 SENSITIVE_HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: inside lambdas Spark would compute an expression for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def letter_runs(c: Column) -> Column:
     """Runs of letters of the lower-cased text."""
     return F.filter(F.split(F.lower(c), r"\P{L}+"), lambda w: w != "")
@@ -31,6 +36,10 @@ def words(c: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring pairs a_b."""
+    return let(tokens, _bigrams)
+
+
+def _bigrams(tokens: Column) -> Column:
     n = F.size(tokens)
     pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
     return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
@@ -122,8 +131,12 @@ def cut_to(c: Column, n: int) -> Column:
 
 def numbered(lines: Column) -> Column:
     """Lines with right-aligned numbers from 1."""
-    width = F.length(F.size(lines).cast("string"))
-    return F.transform(lines, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, " "), F.lit("|"), x))
+
+    def own(a: Column) -> Column:
+        width = F.length(F.size(a).cast("string"))
+        return F.transform(a, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, " "), F.lit("|"), x))
+
+    return let(lines, own)
 
 
 def in_scope(path: Column, scope: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cut_to, numbered, token_estimate
+from tessera.functions.text import cut_to, let, numbered, token_estimate
 
 LINES, ULTRA_LINES, LONGEST = 120, 60, 500
 # Fences whose content is always shown.
@@ -22,6 +22,10 @@ def repeats(lines: DataFrame, key: str) -> DataFrame:
 
 def collapsed(lines: Column) -> Column:
     """Lines with runs of equal ones as one line that says how often."""
+    return let(lines, _collapsed)
+
+
+def _collapsed(lines: Column) -> Column:
     # neighbours are compared by position, so that the array is not built up again for every line
     n = F.size(lines)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(lines, i - 1) != F.get(lines, i - 2))))
@@ -32,6 +36,10 @@ def collapsed(lines: Column) -> Column:
 
 def elided(lines: Column, most: int) -> Column:
     """At most that many lines: the first half, a mark, and the end."""
+    return let(lines, lambda own: _elided(own, most))
+
+
+def _elided(lines: Column, most: int) -> Column:
     first = most // 2
     last = most - first - 1
     mark = F.concat(F.lit("...("), (F.size(lines) - first - last).cast("string"), F.lit(" lines omitted)..."))
@@ -76,7 +84,7 @@ def blame_ranges(lines: DataFrame, key: str) -> DataFrame:
 def single_blanks(lines: Column) -> Column:
     """Lines without a blank one after a blank one."""
     blank = lambda x: F.trim(x) == ""
-    return F.filter(lines, lambda x, i: ~(blank(x) & (i > 0) & blank(F.coalesce(F.get(lines, i - 1), F.lit("-")))))
+    return let(lines, lambda own: F.filter(own, lambda x, i: ~(blank(x) & (i > 0) & blank(F.coalesce(F.get(own, i - 1), F.lit("-"))))))
 
 
 def fences(lines: DataFrame, key: str, most: int = 12) -> DataFrame:
@@ -102,11 +110,12 @@ def fences(lines: DataFrame, key: str, most: int = 12) -> DataFrame:
 def read(files: DataFrame, filtered: Column, text_col: str = "text", first: int | None = None, last: int | None = None, numbers: bool = False) -> DataFrame:
     """files with content: the filtered text, or the text itself where the filter left nothing or saved nothing; then a window and line numbers."""
     raw = F.col(text_col)
-    empty = (F.trim(raw) != "") & (F.trim(filtered) == "")
-    chosen = F.when(empty | (token_estimate(filtered) > token_estimate(raw)), raw).otherwise(filtered)
-    lines = window(F.split(chosen, "\n"), first, last)
+    empty = (F.trim(raw) != "") & (F.trim("_f") == "")
+    chosen = F.when(empty | (token_estimate(F.col("_f")) > token_estimate(raw)), raw).otherwise(F.col("_f"))
+    own = files.withColumn("_f", filtered).withColumn("_f", chosen)
+    lines = let(F.split("_f", "\n"), lambda a: window(a, first, last))
     shown = F.array_join(numbered(lines) if numbers else lines, "\n")
-    out = files.withColumn("content", shown)
+    out = own.withColumn("content", shown).drop("_f")
     return out.withColumns({"tokens_before": token_estimate(raw), "tokens_after": token_estimate(F.col("content"))})
 
 

@@ -83,3 +83,19 @@ def test_rewrite_refuses():
     assert rewrite.decide("Vim x", exclude=("vim",))[1] == "command excluded"
     assert rewrite.decide(f"{rewrite.WRAPPER} run -- ls")[1] == "already wrapped"
     assert rewrite.decide("echo > f")[0] is False
+
+
+def test_readers(spark):
+    from tessera.functions import readers
+
+    go = "// Doc.\npackage p\n\n/* block\n*/\nimport (\n\t\"a\"\n)\n\nfunc F(x int) string { // go\n\ta()\n\tb(\"}\")\n\tc()\n\td()\n\te()\n\tf()\n}\n\nfunc G() { return }\n\ntype T struct {\n\tX int // field\n}\n"
+    out = readers.go_outline(go)
+    assert out.startswith("package p\n\nimport (\n") and "\t... (2 lines omitted, lines 15-16)\n}" in out and "\td()\n\t..." in out and "field" not in out and "func G() { return }" in out
+    assert "\t... (lines 11-16)" in readers.go_outline(go, ultra=True)
+    assert readers.go_outline("x // y\n\n\n\nz") == "x\n\nz\n"
+    md = "a\n```\n" + "\n".join("x" * 20) + "\n```\nb\n```\nopen"
+    assert readers.markdown(md) == "a\n```\n... (20 lines omitted, lines 3-22)\n```\nb\n```\nopen"
+    assert readers.json_outline('{"b": "x", "a": [1, 2]}') == 'json object: keys=2\n  a: array(len=2)\n  b: string("x")' and readers.json_outline("no") == "no"
+    files = spark.createDataFrame([("a.json", '{"a": 1}'), ("b.txt", "1\n2\n3"), ("c.md", None)], "path string, text string")
+    got = {r.path: r for r in readers.read(files, last=2, numbers=True).collect()}
+    assert got["b.txt"].content == "1|2\n2|3" and got["a.json"].content == '1|{"a": 1}' and got["b.txt"].language == "generic"
