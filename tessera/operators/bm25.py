@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import settled
+
 #: Rows of query terms up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Distinct terms up to which the plan itself holds them.
+LITERAL_TERMS = 20_000
 
 
 @dataclass(frozen=True)
@@ -25,12 +29,6 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def average_lengths(docs: DataFrame, fields: list[Field]) -> dict[str, float]:
-    """Mean tokens of each field over all documents, 1 at least; with the number of documents under ''."""
-    row = docs.agg(F.count("*").alias("n"), *[F.sum(F.greatest(F.size(f.name), F.lit(0))).alias(f.name) for f in fields]).first()
-    return {"": row.n} | {f.name: max(1.0, (row[f.name] or 0) / row.n) if row.n else 1.0 for f in fields}
-
-
 def postings(docs: DataFrame, doc: str, fields: list[Field], terms: DataFrame | None = None) -> DataFrame:
     """doc, field, term, tf, len; only of terms (term) if given.
 
@@ -50,35 +48,56 @@ def document_frequency(found: DataFrame) -> DataFrame:
     return found.select("doc", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def contributions(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2) -> DataFrame:
-    """query_id, doc, term, field, part, total, contrib: one row for each matching field."""
-    stats = average_lengths(docs, fields)
+def matches(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field]) -> DataFrame:
+    """doc, for each field its length, and for each field its tokens that are query terms: one row for every document.
+
+    Texts are read and cut once; what is left of them is written to the checkpoint folder, for the statistics of all
+    documents and the scores of those that match are made from it.  Up to LITERAL_TERMS terms go into the plan, more are
+    joined.
+    """
+    distinct = queries.select("term").distinct()
+    terms = [r.term for r in distinct.limit(LITERAL_TERMS + 1).collect()]
+    lengths = [F.greatest(F.size(f.name), F.lit(0)).alias(f"{f.name}_n") for f in fields]
+    if len(terms) <= LITERAL_TERMS:
+        held = [F.filter(f.name, lambda w: w.isin(terms)).alias(f.name) if terms else F.array().cast("array<string>").alias(f.name) for f in fields]
+        return settled(docs.select(F.col(doc).alias("doc"), *lengths, *held))
     found = postings(docs, doc, fields, queries)
-    norm, weight = F.lit(1.0), F.lit(0.0)
+    listed = found.groupBy("doc").agg(*[F.flatten(F.collect_list(F.when(F.col("field") == f.name, F.array_repeat("term", F.col("tf").cast("int"))))).alias(f.name) for f in fields])
+    return settled(docs.select(F.col(doc).alias("doc"), *lengths).join(listed, "doc", "left"))
+
+
+def _weighed(slim: DataFrame, fields: list[Field]) -> tuple[DataFrame, int]:
+    """doc, field, term, part: the weighted, length-normalised frequency; and the number of documents."""
+    row = slim.agg(F.count("*").alias("n"), *[F.avg(f"{f.name}_n").alias(f.name) for f in fields]).first()
+    parts = []
     for f in fields:
-        norm = F.when(F.col("field") == f.name, 1 - f.b + f.b * F.col("len") / F.lit(stats[f.name])).otherwise(norm)
-        weight = F.when(F.col("field") == f.name, F.lit(f.weight)).otherwise(weight)
-    df = document_frequency(found)
-    idf = F.greatest(F.log((F.lit(float(stats[""])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(1.0))
-    parts = found.join(broadcast_if_small(df.select("term", idf.alias("idf"))), "term").withColumn("part", weight * F.col("tf") / F.when(norm == 0, 1.0).otherwise(norm))
-    asked = queries.select("query_id", "term")
-    w = Window.partitionBy("doc", "term")
-    whole = parts.withColumn("total", F.sum("part").over(w)).withColumn("contrib", F.col("idf") * F.col("total") / (F.lit(k1) + F.col("total")))
-    return whole.join(broadcast_if_small(asked), "term").select("query_id", "doc", "term", "field", "part", "total", "contrib")
+        norm = 1 - f.b + f.b * F.col("len") / F.lit(max(1.0, row[f.name] or 0.0))
+        own = slim.filter(F.size(f.name) > 0).select("doc", F.lit(f.name).alias("field"), F.col(f"{f.name}_n").alias("len"), F.explode(f.name).alias("term"))
+        parts.append(own.groupBy("doc", "field", "term", "len").agg(F.count("*").alias("tf")).select("doc", "field", "term", (F.lit(f.weight) * F.col("tf") / F.when(norm == 0, 1.0).otherwise(norm)).alias("part")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every, row.n
+
+
+def _idf(n: int):
+    return F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(1.0))
+
+
+def contributions(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2) -> DataFrame:
+    """query_id, doc, term, field, part, total, contrib: one row for each matching field."""
+    found, n = _weighed(matches(docs, queries, doc, fields), fields)
+    df = document_frequency(found).select("term", _idf(n).alias("idf"))
+    whole = found.join(broadcast_if_small(df), "term").withColumn("total", F.sum("part").over(Window.partitionBy("doc", "term"))).withColumn("contrib", F.col("idf") * F.col("total") / (F.lit(k1) + F.col("total")))
+    return whole.join(broadcast_if_small(queries.select("query_id", "term")), "term").select("query_id", "doc", "term", "field", "part", "total", "contrib")
 
 
 def scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2) -> DataFrame:
     """query_id, doc, score of the documents that match; queries: (query_id, term), repeats count again."""
-    stats = average_lengths(docs, fields)
-    found = postings(docs, doc, fields, queries)
-    norm, weight = F.lit(1.0), F.lit(0.0)
-    for f in fields:
-        norm = F.when(F.col("field") == f.name, 1 - f.b + f.b * F.col("len") / F.lit(stats[f.name])).otherwise(norm)
-        weight = F.when(F.col("field") == f.name, F.lit(f.weight)).otherwise(weight)
-    per_term = found.groupBy("doc", "term").agg(F.sum(weight * F.col("tf") / F.when(norm == 0, 1.0).otherwise(norm)).alias("total"))
-    idf = F.greatest(F.log((F.lit(float(stats[""])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(1.0))
+    found, n = _weighed(matches(docs, queries, doc, fields), fields)
+    per_term = found.groupBy("doc", "term").agg(F.sum("part").alias("total"))
     # one row for each document and term by now, so the document frequency needs no DISTINCT
-    df = per_term.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    df = per_term.groupBy("term").agg(F.count("*").alias("df")).select("term", _idf(n).alias("idf"))
     weighed = per_term.join(broadcast_if_small(df), "term").select("doc", "term", (F.col("idf") * F.col("total") / (F.lit(k1) + F.col("total"))).alias("contrib"))
     return weighed.join(broadcast_if_small(queries.select("query_id", "term")), "term").groupBy("query_id", "doc").agg(F.sum("contrib").alias("score"))
 

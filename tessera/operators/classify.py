@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import slugify
+from tessera.functions.text import let, slugify
 
 TYPES = ("adr", "spec", "guide", "arch", "open-item")
 WEIGHTS = {"strong": 3, "structure": 2, "supporting": 1, "anti": -2}
@@ -47,7 +47,11 @@ UNKNOWN = "unknown"
 
 def score(text: Column, kind: str, signals: dict | None = None) -> Column:
     """Sum of the weights of a type's signals in a text, each once; the text is lower-cased first."""
-    low, total = F.lower(F.coalesce(text, F.lit(""))), F.lit(0)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _score(low, kind, signals))
+
+
+def _score(low: Column, kind: str, signals: dict | None) -> Column:
+    total = F.lit(0)
     for strength, patterns in (signals or SIGNALS)[kind].items():
         for p in patterns:
             hit = low.rlike(p[1:-1]) if len(p) > 1 and p[0] == p[-1] == "/" else low.contains(p)
@@ -57,7 +61,7 @@ def score(text: Column, kind: str, signals: dict | None = None) -> Column:
 
 def scores(text: Column, signals: dict | None = None) -> Column:
     """An array of (type, score) in the order of TYPES."""
-    return F.array(*[F.struct(F.lit(t).alias("type"), score(text, t, signals).alias("score")) for t in TYPES])
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[F.struct(F.lit(t).alias("type"), _score(low, t, signals).alias("score")) for t in TYPES]))
 
 
 def decided(notes: DataFrame, text_col: str = "text", signals: dict | None = None) -> DataFrame:
