@@ -184,3 +184,13 @@ def required(present: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
     """path, severity of what a workspace (path) must (error) or should (warning) have and has not."""
     want = present.sparkSession.createDataFrame(wanted, "path string, severity string")
     return want.join(present.select("path"), "path", "left_anti")
+
+
+# The sections that an agent's file must have.
+AGENT_SECTIONS = ("## Role", "## Read-chain", "## Rules", "## Skills", "## Responsibilities", "## Out of scope", "## Context topics")
+
+
+def missing_sections(agents: DataFrame) -> DataFrame:
+    """agent, section that agents' files (agent, text) lack."""
+    lacking = F.filter(F.array(*[F.lit(s) for s in AGENT_SECTIONS]), lambda s: ~F.coalesce("text", F.lit("")).contains(s))
+    return agents.select("agent", F.explode(lacking).alias("section"))

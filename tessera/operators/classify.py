@@ -130,3 +130,17 @@ def collisions(targets: DataFrame, existing: DataFrame) -> DataFrame:
 def rewritten(before: Column, after: Column) -> Column:
     """All old lines with -, then all new ones with +."""
     return F.array_join(F.concat(F.transform(F.split(before, "\n"), lambda x: F.concat(F.lit("-"), x)), F.transform(F.split(after, "\n"), lambda x: F.concat(F.lit("+"), x))), "\n")
+
+
+def proposed_content(kind: Column, title: Column, content: Column, number: Column, today: Column) -> Column:
+    """What a note of a type becomes: a decision with its head, an open item with its heading, else as it is."""
+    head = F.concat(F.lit("---\nstatus: accepted\ndate: "), F.date_format(today, "yyyy-MM-dd"), F.lit("\n---\n\n# ADR-"), F.lpad(number.cast("string"), 4, "0"), F.lit(": "), title, F.lit("\n\n"))
+    item = F.concat(F.lit("## "), title, F.lit("\n\n"), content, F.when(content.endswith("\n"), "").otherwise("\n"))
+    return F.when(kind == "adr", F.concat(head, content)).when(kind == "open-item", item).otherwise(content)
+
+
+def with_open_items(existing: Column, items: Column) -> Column:
+    """The open-items file with items (array, in order) at its end; it begins with a heading if it was empty."""
+    ended = F.concat(existing, F.when(existing.endswith("\n"), "\n").otherwise("\n\n"))
+    start = F.when(F.coalesce(existing, F.lit("")) == "", F.lit("# Open Items\n\n")).otherwise(ended)
+    return F.concat(start, F.array_join(items, "\n"))

@@ -111,3 +111,16 @@ def near_duplicates(proposed: DataFrame, existing: DataFrame) -> DataFrame:
 def fresh(overlay: DataFrame, graph_hash: str, model: str) -> bool:
     """Whether an overlay of one row (graph_hash, model) was made for this graph by this model."""
     return bool(overlay.filter((F.col("graph_hash") == graph_hash) & (F.col("model") == model)).limit(1).count())
+
+
+def prompt(nodes: DataFrame, packages: DataFrame) -> DataFrame:
+    """One row, text: what a model needs to name concepts: agents, sections and packages with symbols as JSON, and the ids
+    it may lead to.  Equal for equal graphs.
+
+    packages: (package, symbols).  The graph of one workspace fits a prompt, so it fits a row.
+    """
+    kinds = ("agent", "spec_section", "decision", "code_package")
+    rows = nodes.filter(F.col("type").isin(*kinds)).select("id", "type", "name", "file", "package").join(packages, "package", "left")
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("id", "type", "name", "file", "symbols"))).alias("n"), F.array_sort(F.collect_set("id")).alias("ids"))
+    rules = "Name the concepts that span several of these parts. Answer with one JSON object: concepts (id concept:<slug>, name, description, source_files, tag EXTRACTED or INFERRED, confidence) and edges (from a concept, to one of the ids, type " + ", ".join(EDGE_TYPES) + ", tag, confidence). Specs outrank docs, docs outrank code."
+    return listed.select(F.concat_ws("\n\n", F.lit(rules), F.to_json("n"), F.array_join("ids", "\n")).alias("text"))

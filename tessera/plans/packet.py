@@ -116,17 +116,7 @@ def packet(spark: SparkSession, nodes: DataFrame, edges: DataFrame, queries: lis
     owners = {r.query_id: r for r in routed.collect()}
     scopes = {r["name"]: r.scope or [] for r in nodes.filter("type = 'agent'").select("name", "scope").collect()}
     clear = routed.filter("owner IS NOT NULL").select("query_id", "owner")
-    relevant = relevant_blocks(nodes, edges, terms, clear, s)
-    least, cap = s["retrieval.min_relevance"], max(1, round(s["retrieval.max_blocks"]))
-    inside = spark.createDataFrame([(q, x) for q, r in owners.items() for x in scopes.get(r.owner, [])] or [("", "")], "query_id string, own string").groupBy("query_id").agg(F.collect_list("own").alias("own"))
-    marked = relevant.join(inside, "query_id", "left").withColumn("inside", F.exists(F.coalesce("own", F.array().cast("array<string>")), lambda x: text.in_scope(F.col("file"), x)))
-    marked = settled(marked.select("query_id", "file", "section", "trust", "relevance", "inside"))
-    kept = settled(retrieval.with_scope_survivor(marked, F.col("inside"), least, cap))
-    asks = terms.groupBy("query_id").agg(F.max(F.col("term").isin(*retrieval.CODE_STEMS)).alias("asks"))
-    shown = retrieval.with_code_survivor(kept.join(asks, "query_id"), marked.filter(F.col("relevance") >= least), F.col("asks"), cap)
-    blocks: dict[str, list] = {}
-    for r in shown.orderBy("query_id", "rank").collect():
-        blocks.setdefault(r.query_id, []).append({"file": r.file, "section": r.section, "trust": r.trust, "relevance": r.relevance})
+    blocks = _shown_blocks(spark, relevant_blocks(nodes, edges, terms, clear, s), terms, {q: scopes.get(r.owner, []) for q, r in owners.items()}, s)
     names, packs, reach = _concept_parts(terms, s, concepts, concept_edges)
     left_out = [r.prefix for r in retrieval.excluded(nodes, s["retrieval.include_notes"]).collect()]
     out = []
@@ -141,6 +131,49 @@ def packet(spark: SparkSession, nodes: DataFrame, edges: DataFrame, queries: lis
     return out
 
 
+def _shown_blocks(spark: SparkSession, relevant: DataFrame, terms: DataFrame, scopes: dict[str, list[str]], s: Settings) -> dict[str, list[dict]]:
+    """The blocks of each query: the best above the threshold, with the survivors of scope and code."""
+    least, cap = s["retrieval.min_relevance"], max(1, round(s["retrieval.max_blocks"]))
+    inside = spark.createDataFrame([(q, x) for q, own in scopes.items() for x in own] or [("", "")], "query_id string, own string").groupBy("query_id").agg(F.collect_list("own").alias("own"))
+    marked = relevant.join(inside, "query_id", "left").withColumn("inside", F.exists(F.coalesce("own", F.array().cast("array<string>")), lambda x: text.in_scope(F.col("file"), x)))
+    marked = settled(marked.select("query_id", "file", "section", "trust", "relevance", "inside"))
+    kept = settled(retrieval.with_scope_survivor(marked, F.col("inside"), least, cap))
+    asks = terms.groupBy("query_id").agg(F.max(F.col("term").isin(*retrieval.CODE_STEMS)).alias("asks"))
+    shown = retrieval.with_code_survivor(kept.join(asks, "query_id"), marked.filter(F.col("relevance") >= least), F.col("asks"), cap)
+    blocks: dict[str, list[dict]] = {}
+    for r in shown.orderBy("query_id", "rank").collect():
+        blocks.setdefault(r.query_id, []).append({"file": r.file, "section": r.section, "trust": r.trust, "relevance": r.relevance})
+    return blocks
+
+
+def proposal(spark: SparkSession, nodes: DataFrame, edges: DataFrame, queries: list[tuple[str, str]], settings: Settings | None = None, concepts: DataFrame | None = None, concept_edges: DataFrame | None = None, blocks: int | None = None) -> list[dict]:
+    """What is relevant to queries without an owner: blocks (the first so many), concepts, packages, and symbols of packages
+    that concepts lead to."""
+    s = settings or Settings()
+    terms = settled(query_terms(spark, queries, s["tokenize.use_bigrams"]))
+    nobody = terms.select("query_id", F.lit(None).cast("string").alias("owner")).distinct()
+    shown = _shown_blocks(spark, relevant_blocks(nodes, edges, terms, nobody, s), terms, {}, s)
+    names, packs, reach = _concept_parts(terms, s, concepts, concept_edges)
+    out = []
+    for q, _ in queries:
+        points = _entry_points(nodes, terms.filter(F.col("query_id") == q), [], reach[q], s) if reach.get(q) else []
+        out.append({"query_id": q, "context_blocks": shown.get(q, [])[:blocks], "relevant_concepts": names.get(q, []), "implementing_packages": packs.get(q, []), "code_entry_points": points})
+    return out
+
+
+def debug(spark: SparkSession, nodes: DataFrame, edges: DataFrame, query: str, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """All owners' scores and confidences, all blocks with relevance, and the subgraph of agents and shown blocks."""
+    s = settings or Settings()
+    terms = settled(query_terms(spark, [("q", query)], s["tokenize.use_bigrams"]))
+    scored = settled(owner_scores(nodes, terms, s))
+    routed = routing.route(scored, s["routing.temperature"], s["routing.confidence_threshold"], s["routing.min_candidate_confidence"], s["routing.min_score"]).select("query_id", "owner")
+    relevant = settled(relevant_blocks(nodes, edges, terms, settled(routed), s))
+    shown = retrieval.blocks(relevant, s["retrieval.min_relevance"], max(1, round(s["retrieval.max_blocks"])))
+    wanted = nodes.filter("type = 'agent'").select("id").unionAll(nodes.select("id", "file", F.coalesce("section", F.lit("")).alias("section")).join(shown.select("file", "section"), ["file", "section"], "left_semi").select("id"))
+    sub_nodes, sub_edges = graph.induced(nodes, edges, wanted)
+    return {"agents": routing.softmax(scored, s["routing.temperature"]).orderBy("doc"), "retrieval": relevant.orderBy(F.desc("relevance"), F.desc(retrieval.trust_rank(F.col("trust"))), "file", "section"), "nodes": sub_nodes, "edges": sub_edges}
+
+
 def _concept_parts(terms: DataFrame, s: Settings, concepts: DataFrame | None, concept_edges: DataFrame | None) -> tuple[dict, dict, dict]:
     """Names of concepts, packages, and the packages' scores, by query."""
     names: dict[str, list] = {}

@@ -223,3 +223,24 @@ def test_fences_and_runs(spark):
     assert [r.omitted for r in got if r.omitted] == [13] and sum(r.x == "y" for r in got) == 13 and got[-1].x == "open" and not any(r.x == "x" for r in got)
     runs_ = compact.repeats(spark.createDataFrame([("f", 1, "a"), ("f", 2, "a"), ("f", 3, "b")], "k string, line int, x string"), "k").orderBy("first").collect()
     assert [(r.first, r.n, r.x) for r in runs_] == [(1, 2, "a"), (3, 1, "b")]
+
+
+def test_promotion(spark):
+    x = lambda c: spark.range(1).select(c.alias("x")).first().x
+    day = F.to_date(F.lit("2026-01-02"))
+    assert x(classify.proposed_content(F.lit("adr"), F.lit("T"), F.lit("body"), F.lit(3), day)) == "---\nstatus: accepted\ndate: 2026-01-02\n---\n\n# ADR-0003: T\n\nbody"
+    item = x(classify.proposed_content(F.lit("open-item"), F.lit("T"), F.lit("body"), F.lit(0), day))
+    assert item == "## T\n\nbody\n"
+    assert x(classify.with_open_items(F.lit("").cast("string"), F.array(F.lit(item)))) == "# Open Items\n\n## T\n\nbody\n"
+    assert x(classify.with_open_items(F.lit("# Open Items\n\n## A\n\na\n"), F.array(F.lit(item)))).endswith("a\n\n## T\n\nbody\n")
+    assert x(classify.rewritten(F.lit("a\nb"), F.lit("c"))) == "-a\n-b\n+c"
+
+
+def test_sections_and_prompt(spark):
+    agents = spark.createDataFrame([("a", "## Role ## Read-chain ## Rules ## Skills ## Responsibilities ## Out of scope"), ("b", None)], "agent string, text string")
+    got = audit.missing_sections(agents).collect()
+    assert [r.section for r in got if r.agent == "a"] == ["## Context topics"] and sum(r.agent == "b" for r in got) == 7
+    nodes = spark.createDataFrame([("agent:x", "agent", "x", "f", None), ("code_package:p", "code_package", "p", "g", "p"), ("note:n", "note", "n", "h", None)], "id string, type string, name string, file string, package string")
+    packs = spark.createDataFrame([("p", ["A", "B"])], "package string, symbols array<string>")
+    one, two = overlay.prompt(nodes, packs).first().text, overlay.prompt(nodes.orderBy(F.desc("id")), packs).first().text
+    assert one == two and one.endswith("agent:x\ncode_package:p") and '"symbols":["A","B"]' in one and "note:n" not in one

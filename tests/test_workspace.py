@@ -102,6 +102,16 @@ def test_packets(spark, built):
     assert json.dumps(again, sort_keys=True) == json.dumps(list(got.values()), sort_keys=True)
 
 
+def test_proposal_and_debug(spark, built):
+    got = packet.proposal(spark, *built, [("1", "graph nodes"), ("2", "the")], blocks=2)
+    assert len(got[0]["context_blocks"]) == 2 and got[0]["context_blocks"][0]["file"] == "specs/graph.md" and got[1]["context_blocks"] == []
+    parts = packet.debug(spark, *built, "build graph")
+    assert [r.doc for r in parts["agents"].collect()] == ["builder", "payer"]
+    kept = {r.id for r in parts["nodes"].collect()}
+    assert {"agent:builder", "agent:payer", "spec_section:specs/graph.md:Nodes"} <= kept
+    assert all(r["from"] in kept and r["to"] in kept for r in parts["edges"].collect())
+
+
 def test_service(spark, built):
     def ask(method, **params):
         return json.loads(packet.serve(spark, *built, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
