@@ -63,17 +63,33 @@ def matches(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field])
         return settled(docs.select(F.col(doc).alias("doc"), *lengths, *held))
     found = postings(docs, doc, fields, queries)
     listed = found.groupBy("doc").agg(*[F.flatten(F.collect_list(F.when(F.col("field") == f.name, F.array_repeat("term", F.col("tf").cast("int"))))).alias(f.name) for f in fields])
+    if docs.select(doc).distinct().count() != docs.count():
+        raise ValueError("with so many terms each document must be one row")
     return settled(docs.select(F.col(doc).alias("doc"), *lengths).join(listed, "doc", "left"))
 
 
-def _weighed(slim: DataFrame, fields: list[Field]) -> tuple[DataFrame, int]:
-    """doc, field, term, part: the weighted, length-normalised frequency; and the number of documents."""
-    row = slim.agg(F.count("*").alias("n"), *[F.avg(f"{f.name}_n").alias(f.name) for f in fields]).first()
+def _weighed(slim: DataFrame, fields: list[Field], grouped: bool = False) -> tuple[DataFrame, int]:
+    """doc, field, term, part: the weighted, length-normalised frequency; and the number of documents.
+
+    grouped: rows that share doc are parts of one document; lengths and frequencies are added up, so that no part's tokens
+    have to meet in one place.
+    """
+    sizes = [f"{f.name}_n" for f in fields]
+    if grouped:
+        whole = settled(slim.groupBy("doc").agg(*[F.sum(n).alias(n) for n in sizes]))
+        small = broadcast_if_small(whole)
+    else:
+        whole = slim
+    row = whole.agg(F.count("*").alias("n"), *[F.avg(f"{f.name}_n").alias(f.name) for f in fields]).first()
     parts = []
     for f in fields:
         norm = 1 - f.b + f.b * F.col("len") / F.lit(max(1.0, row[f.name] or 0.0))
-        own = slim.filter(F.size(f.name) > 0).select("doc", F.lit(f.name).alias("field"), F.col(f"{f.name}_n").alias("len"), F.explode(f.name).alias("term"))
-        parts.append(own.groupBy("doc", "field", "term", "len").agg(F.count("*").alias("tf")).select("doc", "field", "term", (F.lit(f.weight) * F.col("tf") / F.when(norm == 0, 1.0).otherwise(norm)).alias("part")))
+        own = slim.filter(F.size(f.name) > 0)
+        if grouped:
+            counted = own.select("doc", F.explode(f.name).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")).join(small.select("doc", F.col(f"{f.name}_n").alias("len")), "doc")
+        else:
+            counted = own.select("doc", F.col(f"{f.name}_n").alias("len"), F.explode(f.name).alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
+        parts.append(counted.select("doc", F.lit(f.name).alias("field"), "term", (F.lit(f.weight) * F.col("tf") / F.when(norm == 0, 1.0).otherwise(norm)).alias("part")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
@@ -92,9 +108,12 @@ def contributions(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Fi
     return whole.join(broadcast_if_small(queries.select("query_id", "term")), "term").select("query_id", "doc", "term", "field", "part", "total", "contrib")
 
 
-def scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2) -> DataFrame:
-    """query_id, doc, score of the documents that match; queries: (query_id, term), repeats count again."""
-    found, n = _weighed(matches(docs, queries, doc, fields), fields)
+def scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2, grouped: bool = False) -> DataFrame:
+    """query_id, doc, score of the documents that match; queries: (query_id, term), repeats count again.
+
+    grouped: rows that share doc are one document.
+    """
+    found, n = _weighed(matches(docs, queries, doc, fields), fields, grouped)
     per_term = found.groupBy("doc", "term").agg(F.sum("part").alias("total"))
     # one row for each document and term by now, so the document frequency needs no DISTINCT
     df = per_term.groupBy("term").agg(F.count("*").alias("df")).select("term", _idf(n).alias("idf"))

@@ -20,13 +20,15 @@ def penalties(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field]
     return against.join(bm25.broadcast_if_small(asked), "term").groupBy("query_id", "doc").agg((F.lit(penalty) * F.sum(1 / F.col("n"))).alias("penalty"))
 
 
-def owner_scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], outside: str | None = None, k1: float = 1.2, penalty: float = PENALTY) -> DataFrame:
+def owner_scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], outside: str | None = None, k1: float = 1.2, penalty: float = PENALTY, grouped: bool = False) -> DataFrame:
     """query_id, doc, score for every query and every document, 0 at least.
 
-    Owners are few, so each query meets all of them; the result has queries times owners rows.
+    Owners are few, so each query meets all of them; the result has queries times owners rows.  grouped: rows that share
+    doc are one owner.
     """
-    found = bm25.scores(docs, queries, doc, fields, k1)
-    every = queries.select("query_id").distinct().join(bm25.broadcast_if_small(docs.select(F.col(doc).alias("doc"))), how="cross")
+    found = bm25.scores(docs, queries, doc, fields, k1, grouped)
+    owners = docs.select(F.col(doc).alias("doc"))
+    every = queries.select("query_id").distinct().join(bm25.broadcast_if_small(owners.distinct() if grouped else owners), how="cross")
     out = every.join(found, ["query_id", "doc"], "left")
     if outside:
         out = out.join(penalties(docs, queries, doc, fields, outside, penalty), ["query_id", "doc"], "left")

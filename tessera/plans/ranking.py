@@ -78,29 +78,31 @@ def code_survivor(spark, d):
     return retrieval.with_code_survivor(kept, relevant.filter(F.col("relevance") >= retrieval.LEAST), F.lit(True), cap=40).select(*_OUT, F.round("relevance", 6).alias("relevance"))
 
 
-def _owners(spark, d):
-    """One owner for each source, with the counts of its documents' words as its text."""
-    docs = _docs(spark, d)
-    return docs.groupBy(F.col("source").alias("name")).agg(F.flatten(F.collect_list(F.filter("body", lambda w: w.isin(*TERMS) | (F.length(w) == 7)))).alias("body"), F.first("path").alias("path"))
+def _owner_scores(spark, d):
+    """One owner for each source; its text is that of all its documents."""
+    return routing.owner_scores(_docs(spark, d), _terms(spark), "source", FIELDS, grouped=True).withColumn("score", F.round("score", 9))
 
 
 def route(spark, d):
-    got = routing.owner_scores(_owners(spark, d), _terms(spark), "name", FIELDS).withColumn("score", F.round("score", 9))
+    got = _owner_scores(spark, d)
     return routing.softmax(got).select("query_id", "doc", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
 def route_owner(spark, d):
-    got = routing.owner_scores(_owners(spark, d), _terms(spark), "name", FIELDS).withColumn("score", F.round("score", 9))
+    got = _owner_scores(spark, d)
     return routing.route(got, temperature=2.0, least_candidate=0.02).select("query_id", "owner", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("candidates", lambda x: x["name"]), ",").alias("candidates"))
 
 
 def penalty(spark, d):
-    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id")
-    docs = _docs(spark, d)
-    own = docs.join(good, "doc_id", "left_semi").groupBy(F.col("source").alias("name")).agg(F.array_distinct(F.flatten(F.collect_list(F.filter("body", lambda w: w.isin(*TERMS))))).alias("body"))
-    out = docs.join(bad, "doc_id", "left_semi").groupBy(F.col("source").alias("name")).agg(F.array_distinct(F.flatten(F.collect_list(F.filter("body", lambda w: w.isin(*TERMS))))).alias("outside"))
-    both = out.join(own, "name", "left").withColumn("body", F.coalesce("body", F.array().cast("array<string>")))
+    """Words of good documents of a source are in its scope, words of bad ones out of it."""
+    docs = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+    def held(quality):
+        """The query terms of each source's documents, each once."""
+        own = docs.filter(F.col("quality") == quality).select(F.col("source").alias("name"), F.explode(F.filter("body", lambda w: w.isin(*TERMS))).alias("w")).distinct()
+        return own.groupBy("name").agg(F.collect_list("w").alias("body"))
+
+    both = held(0).withColumnRenamed("body", "outside").join(held(1), "name", "left").withColumn("body", F.coalesce("body", F.array().cast("array<string>")))
     return routing.penalties(both, _terms(spark), "name", FIELDS[:1], "outside").select("query_id", "doc", F.round("penalty", 6).alias("penalty"))
 
 
@@ -216,7 +218,7 @@ rel AS (SELECT query_id, file, tier, CASE tier WHEN 'specs' THEN 'high' WHEN 'no
   round(round(score, 9) * CASE tier WHEN 'specs' THEN 1.3::DOUBLE WHEN 'notes' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN starts_with(file, 'src1/') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 9) AS relevance
   FROM scores JOIN meta USING (doc)),
 ord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, CASE trust WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, file) AS rank FROM rel WHERE relevance >= 0.05)"""
-_OWN = f"WITH {_DOCS}, own AS (SELECT source AS name, flatten(list(list_filter(body, lambda w: list_contains(['{"', '".join(TERMS)}'], w) OR length(w) = 7))) AS body, any_value(path) AS path FROM docs GROUP BY source), {sql_scores('own', 'name')}, every AS (SELECT 'q' AS query_id, name AS doc, round(greatest(coalesce(score, 0), 0), 9) AS score FROM own LEFT JOIN scores ON doc = name)"
+_OWN = f"WITH {_DOCS}, own AS (SELECT source AS name, flatten(list(body)) AS body, flatten(list(path)) AS path FROM docs GROUP BY source), {sql_scores('own', 'name')}, every AS (SELECT 'q' AS query_id, name AS doc, round(greatest(coalesce(score, 0), 0), 9) AS score FROM own LEFT JOIN scores ON doc = name)"
 _REVIEWED = f"WITH {_DOCS}, con AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
 _PART_FIELDS = [Field("name", 2.0, 0.75)]
 _REACH = f"""WITH pt AS (SELECT p_partkey, {sql_words("concat_ws(' ', p_name, p_type)")} AS name FROM part),
