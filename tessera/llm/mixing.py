@@ -116,9 +116,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def with_copies(docs: DataFrame, **settings) -> DataFrame:
-    """docs with n_tokens, weight, block and copies; rows that share an id get the same, that of the most copies."""
-    mixed = mix(docs, **settings).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("copies", "n_tokens", "weight", "block")).alias("m"))
-    return docs.join(mixed.select("doc_id", "m.n_tokens", "m.weight", "m.block", "m.copies"), "doc_id", "left").select(*[docs[c] for c in docs.columns], "n_tokens", "weight", "block", "copies")
+    """docs with n_tokens, weight, block and copies in place of any columns of these names; rows that share an id, also
+    those without one, get the same: that of the most copies."""
+    new = ("n_tokens", "weight", "block", "copies")
+    mixed = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("copies", "n_tokens", "weight", "block")).alias("_m"))
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"_m.{n}").alias(n) for n in new])
 
 
 def draws(mixed: DataFrame) -> DataFrame:

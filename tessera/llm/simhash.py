@@ -141,6 +141,10 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that have the smallest doc_id of their component."""
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs, all columns as they are, that have the smallest doc_id of their component.
+
+    Rows without a doc_id cannot be told apart and stay; so do all rows of a doc_id of which one stays.
+    """
+    kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))

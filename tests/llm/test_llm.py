@@ -112,6 +112,9 @@ def test_mix_limits_and_edges(spark):
     assert [(r.n_tokens, r.copies) for r in mixing.mix(blank).collect()] == [(0, 0), (0, 0)]
     counted = spark.createDataFrame([("a\tb\n c ",), ("",), (None,), (" ",)], "t string").select(mixing.word_count(F.col("t")).alias("n")).collect()
     assert [r.n for r in counted] == [3, 0, 0, 1]
+    nameless = documents(spark).unionAll(spark.createDataFrame([(None, "alpha beta", "en", None, 0)], SCHEMA)).withColumn("weight", F.lit("w"))
+    got = mixing.with_copies(nameless)
+    assert got.count() == nameless.count() and got.filter("copies IS NULL").count() == 0 and dict(got.dtypes)["weight"] == "double"
     assert mixing.draws(mixing.mix(documents(spark))).filter("pass < 0").count() == 0
 
 
@@ -273,6 +276,8 @@ def test_near_duplicates(spark):
     assert got[20].component_id == 0 and got[22].component_id == 2 and got[24].component_id == got[23].component_id == got[25].component_id == 23
     kept = simhash.keep_first(documents(spark))
     assert kept.columns == documents(spark).columns and 20 not in texts_of(kept) and 0 in texts_of(kept)
+    nameless = documents(spark).unionAll(spark.createDataFrame([(None, "alpha", "en", None, 0), (None, "alpha", None, None, 0)], SCHEMA))
+    assert simhash.keep_first(nameless).filter("doc_id IS NULL").count() == 2
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
