@@ -259,7 +259,7 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     first = Window.partitionBy("node").orderBy("vec_id")
     members = lookup(own, several.select("v", "node", "n"), "v", "n").filter(F.col("node").isNotNull()).select("node", "vec_id")
     members = members.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= k + 1).select("node", "vec_id").unionAll(classes.filter("n = 1").select("node", F.col("node").alias("vec_id")))
-    asked = lookup(own.filter(is_query), classes.select("v", "node", "n"), "v", "n").select(F.col("vec_id").alias("query_id"), "node")
+    asked = cut(lookup(own.filter(is_query), classes.select("v", "node", "n"), "v", "n").select(F.col("vec_id").alias("query_id"), "node"))
     askers = cut(asked.groupBy("node").agg(F.count("*").alias("n")))
     found = search(nodes, graph, askers.select("node"), pool)
     near = _top(found.select(F.col("q").alias("u"), "w", "sim"), 2 * k).select(F.col("u").alias("q"), "w").unionAll(askers.select(F.col("node").alias("q"), F.col("node").alias("w")))

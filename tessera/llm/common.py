@@ -82,15 +82,18 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot_share:
     """Left join of right, unique on key, where a few keys may hold most rows of left.
 
     weight: a column of right with the number of rows that left has of the key.  Keys with more than a
-    hot_share-th of all rows are fewer than hot_share (a proven bound) and are broadcast; their rows of left
-    get a spread dummy key in the shuffled join of the rest, so that no task gathers a hot key.
+    hot_share-th of all rows are fewer than hot_share (a proven bound): they are broadcast and their rows of left, and
+    those without a key, are not shuffled.  left is read three times, so it should be a written table.
     """
     total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
     limit = max(64, total // hot_share)
     rest = [c for c in right.columns if c not in (key, weight)]
-    hot = right.filter(F.col(weight) > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in rest])
-    cold = right.filter(F.col(weight) <= limit).select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_lane"), *rest)
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1009)) + 1
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(spread))
-    joined = marked.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_at") == F.col("_lane")), "left")
-    return joined.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in rest])
+    named = right.select(F.col(key).alias("_key"), weight, *[F.col(c).alias(f"_r_{c}") for c in rest])
+    hot, cold = named.filter(F.col(weight) > limit).drop(weight), named.filter(F.col(weight) <= limit).drop(weight)
+    out = [*left.columns, *[F.col(f"_r_{c}").alias(c) for c in rest]]
+    few = left.join(F.broadcast(hot), F.col(key) == F.col("_key")).select(*out)
+    others = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select("_key")), F.col(key) == F.col("_key"), "left_anti")
+    many = others.join(cold, F.col(key) == F.col("_key"), "left").select(*out)
+    kinds = dict(right.dtypes)
+    without = left.filter(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in rest])
+    return few.unionAll(many).unionAll(without)
