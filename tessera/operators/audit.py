@@ -194,3 +194,25 @@ def missing_sections(agents: DataFrame) -> DataFrame:
     """agent, section that agents' files (agent, text) lack."""
     lacking = F.filter(F.array(*[F.lit(s) for s in AGENT_SECTIONS]), lambda s: ~F.coalesce("text", F.lit("")).contains(s))
     return agents.select("agent", F.explode(lacking).alias("section"))
+
+
+CHECKS = ("orphans", "coverage", "staleness", "drift")
+
+
+def selected(findings: DataFrame, checks: list[str]) -> DataFrame:
+    """Findings of some checks; an unknown name is an error, none means all."""
+    unknown = sorted(set(checks) - set(CHECKS))
+    if unknown:
+        raise ValueError(f"unknown checks: {', '.join(unknown)}")
+    return findings.filter(F.col("check").isin(checks)) if checks else findings
+
+
+def as_json(findings: DataFrame) -> DataFrame:
+    """value: one JSON object for each finding, without what is null."""
+    return findings.select(F.to_json(F.struct(*[F.col(c) for c in COLUMNS])).alias("value"))
+
+
+def as_text(findings: DataFrame) -> DataFrame:
+    """value: severity, code, place and message on a line."""
+    place = F.concat(F.col("file"), F.when(F.coalesce("line", F.lit(0)) > 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
+    return findings.select(F.concat_ws(" ", F.rpad("severity", 5, " "), "code", place, "message").alias("value"))

@@ -124,3 +124,16 @@ def prompt(nodes: DataFrame, packages: DataFrame) -> DataFrame:
     listed = rows.agg(F.array_sort(F.collect_list(F.struct("id", "type", "name", "file", "symbols"))).alias("n"), F.array_sort(F.collect_set("id")).alias("ids"))
     rules = "Name the concepts that span several of these parts. Answer with one JSON object: concepts (id concept:<slug>, name, description, source_files, tag EXTRACTED or INFERRED, confidence) and edges (from a concept, to one of the ids, type " + ", ".join(EDGE_TYPES) + ", tag, confidence). Specs outrank docs, docs outrank code."
     return listed.select(F.concat_ws("\n\n", F.lit(rules), F.to_json("n"), F.array_join("ids", "\n")).alias("text"))
+
+
+def concepts_of(concepts_: DataFrame, concept_edges: DataFrame, agent: str) -> DataFrame:
+    """Reviewed concepts that reviewed edges give to an agent, by id."""
+    own = concept_edges.filter("reviewed AND type = 'agent_owns_concept'")
+    ids = own.filter(F.col("to") == f"agent:{agent}").select(F.col("from").alias("id")).unionAll(own.filter(F.col("from") == f"agent:{agent}").select(F.col("to").alias("id")))
+    return concepts_.filter("reviewed").join(ids, "id", "left_semi").orderBy("id")
+
+
+def packages_of(concept_edges: DataFrame, concept: str) -> DataFrame:
+    """package of reviewed edges that implement a concept, sorted."""
+    own = concept_edges.filter((F.col("from") == concept) & F.col("reviewed") & (F.col("type") == "implements"))
+    return own.select(F.regexp_replace("to", "^code_package:", "").alias("package")).distinct().orderBy("package")

@@ -244,3 +244,22 @@ def test_sections_and_prompt(spark):
     packs = spark.createDataFrame([("p", ["A", "B"])], "package string, symbols array<string>")
     one, two = overlay.prompt(nodes, packs).first().text, overlay.prompt(nodes.orderBy(F.desc("id")), packs).first().text
     assert one == two and one.endswith("agent:x\ncode_package:p") and '"symbols":["A","B"]' in one and "note:n" not in one
+
+
+def test_report_forms(spark):
+    rows = spark.createDataFrame([("drift", "DRIFT001", "error", "gone", "a.md", 3, ["x"]), ("coverage", "COV003", "warn", "m", None, None, [])], "check string, code string, severity string, message string, file string, line long, refs array<string>")
+    assert [r.value for r in audit.as_text(rows).collect()] == ["error DRIFT001 a.md:3 gone", "warn  COV003 m"]
+    assert audit.as_json(rows).first().value == '{"check":"drift","code":"DRIFT001","severity":"error","message":"gone","file":"a.md","line":3,"refs":["x"]}'
+    assert audit.selected(rows, ["drift"]).count() == 1 and audit.selected(rows, []).count() == 2
+    try:
+        audit.selected(rows, ["nothing"])
+        raise AssertionError
+    except ValueError as e:
+        assert "nothing" in str(e)
+
+
+def test_concept_lookups(spark):
+    concepts = spark.createDataFrame([("concept:a", True), ("concept:b", True), ("concept:c", False)], "id string, reviewed boolean")
+    edges = spark.createDataFrame([("concept:a", "agent:x", "agent_owns_concept", True), ("concept:c", "agent:x", "agent_owns_concept", True), ("concept:b", "agent:x", "agent_owns_concept", False), ("concept:a", "code_package:p/q", "implements", True), ("concept:a", "code_package:r", "implements", False)], "from string, to string, type string, reviewed boolean")
+    assert [r.id for r in overlay.concepts_of(concepts, edges, "x").collect()] == ["concept:a"]
+    assert [r.package for r in overlay.packages_of(edges, "concept:a").collect()] == ["p/q"]
