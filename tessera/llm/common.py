@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessera"
 #: Rows handed to Python at once; texts may be very long.
 BATCH_ROWS = 512
+#: Groups that a sample is drawn from at most.
+MAX_GROUPS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,11 @@ def fold(id_col: str | Column, modulus: int, remainder: int) -> Column:
 def hash_sample(rows: DataFrame, id_col: str, group_col: str, most: int) -> DataFrame:
     """id, group, k of at most that many rows of each group: those with the smallest hashes of their ids, k from 1.
 
-    Groups are few (classes, languages).  A cut at four times the expected hash comes before the ranking, so that the
+    Groups are few (classes, languages); of more than MAX_GROUPS the most frequent are taken.  A cut at four times the expected hash comes before the ranking, so that the
     ranking gets some thousands of rows of a group, however many there are.
     """
     own = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("group")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    sizes = own.groupBy("group").agg(F.count("*").alias("n"))
+    sizes = own.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(MAX_GROUPS)
     unit = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
     near = own.join(F.broadcast(sizes), "group").filter(unit * F.col("n") <= 4.0 * most)
     w = Window.partitionBy("group").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "id")
