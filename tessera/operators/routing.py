@@ -12,8 +12,8 @@ CONFIDENT, LEAST_CANDIDATE, LEAST_SCORE, TEMPERATURE, PENALTY = 0.7, 0.2, 0.01,
 
 
 def penalties(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], outside: str, penalty: float = PENALTY) -> DataFrame:
-    """query_id, doc, penalty: for each query term that the out-of-scope field holds and no positive field does."""
-    positive = F.concat(*[F.coalesce(f.name, F.array().cast("array<string>")) for f in fields if f.weight > 0])
+    """query_id, doc, penalty: for each query term that the out-of-scope field holds and none of the fields does."""
+    positive = F.concat(*[F.coalesce(f.name, F.array().cast("array<string>")) for f in fields])
     against = docs.select(F.col(doc).alias("doc"), F.explode(F.array_except(outside, positive)).alias("term"))
     sizes = queries.groupBy("query_id").agg(F.count("*").alias("n"))
     asked = queries.join(sizes, "query_id")

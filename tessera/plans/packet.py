@@ -53,16 +53,11 @@ def agent_fields(s: Settings) -> list[Field]:
 def owner_scores(nodes: DataFrame, terms: DataFrame, s: Settings) -> DataFrame:
     """query_id, doc, score for every agent.
 
-    Out-of-scope words count in document frequencies but have no weight, and so does a field of weight 0.
+    A field of weight 0 counts in document frequencies; out-of-scope words do not, they only feed the penalty, which spares
+    terms that any other field holds.
     """
     docs = settled(agent_documents(nodes, s["tokenize.use_bigrams"]))
-    fields = [*agent_fields(s), Field("outside", 0.0, s["fields.b_text"])]
-    plain = routing.owner_scores(docs, terms, "name", fields, None, s["bm25.k1"])
-    positive = F.concat(*[F.col(f.name) for f in agent_fields(s)])
-    against = docs.select(F.col("name").alias("doc"), F.explode(F.array_except("outside", positive)).alias("term"))
-    asked = terms.join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
-    taken = against.join(asked, "term").groupBy("query_id", "doc").agg(F.sum(F.lit(s["weights.out_of_scope_penalty"]) / F.col("n")).alias("penalty"))
-    return plain.join(taken, ["query_id", "doc"], "left").select("query_id", "doc", F.greatest(F.col("score") - F.coalesce("penalty", F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return routing.owner_scores(docs, terms, "name", agent_fields(s), "outside", s["bm25.k1"], s["weights.out_of_scope_penalty"])
 
 
 def block_documents(nodes: DataFrame, s: Settings) -> DataFrame:
