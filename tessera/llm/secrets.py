@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 Base spans come from three fixed patterns.  The method adds strings that a byte-pair vocabulary encodes badly: a run of
-20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit whose characters per token fall below MAX_RATIO is
-reported as `random`, unless it is a known digest (hex of a usual digest length), a UUID, an identifier put together
-from words and short numbers, or touches a base span.
+16 or more characters (24, if it has the shape of a word) of [A-Za-z0-9+/_-] with a letter whose characters per token fall below MAX_RATIO is reported as
+`random`, unless it is a known digest (hex of a usual digest length), a UUID, an identifier put together from words and
+short numbers, or touches a base span.  Of a run that is not reported as a whole, the stretches between separators and
+parts encoded well (words) are judged in the same way, so that words of a path do not hide a string among them.
 
 Defined results: null text is as empty text, no spans; spans are code points, end exclusive; each row is judged alone.
 """
@@ -23,7 +24,8 @@ from tessera.llm.common import per_batch, table
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary.
 PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MIN_RANDOM, MAX_RATIO = 20, 2.4
+#: MIN_WORD is for letters of one case or with a capital in front, which long words are too.
+MIN_RANDOM, MIN_WORD, MAX_RATIO = 16, 24, 2.4
 KINDS = ("assign", "access", "hex", "random")
 
 # The base patterns and their least lengths.
@@ -36,7 +38,9 @@ _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RANDOM)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-_PARTED = re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[+/_-]+(?:[A-Za-z]+|[0-9]{1,4}))+[+/_-]*\Z")
+_WORD = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)\Z")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_PARTED = re.compile(r"[+/_-]*(?:[A-Za-z]+|[0-9]{1,4})(?:[+/_-]+(?:[A-Za-z]+|[0-9]{1,4}))+[+/_-]*\Z")
 
 _encoders: dict[str, object] = {}
 
@@ -68,22 +72,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def is_fixed(value: str) -> bool:
+    """Digests of usual sizes and UUIDs."""
+    bare = value.rstrip("=")
+    return bool((len(bare) in _DIGEST_SIZES and _DIGEST.match(bare)) or _UUID.match(bare))
+
+
 def is_known(value: str) -> bool:
     """Digests of usual sizes, UUIDs, and identifiers made of words and short numbers."""
-    bare = value.rstrip("=")
-    return bool((len(bare) in _DIGEST_SIZES and _DIGEST.match(bare)) or _UUID.match(bare) or _PARTED.match(bare))
+    return is_fixed(value) or bool(_PARTED.match(value.rstrip("=")))
+
+
+def _is_random(value: str, enc) -> bool:
+    least = MIN_WORD if _WORD.match(value) else MIN_RANDOM
+    return len(value) >= least and any(c.isalpha() for c in value) and not is_known(value) and len(value) < MAX_RATIO * len(enc.encode_ordinary(value))
+
+
+def _stretches(value: str, enc) -> list[tuple[int, int]]:
+    """The longest stretches of parts between separators that are not encoded well, each part by itself and then joined."""
+    out: list[tuple[int, int]] = []
+    last = None
+    for m in _PART.finditer(value):
+        if len(m[0]) >= MAX_RATIO * len(enc.encode_ordinary(m[0])):
+            last = None
+        elif last is None:
+            out.append(last := m.span())
+        else:
+            out[-1] = last = (last[0], m.end())
+    return out
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], enc) -> list[tuple[int, int, str]]:
     out = []
+
+    def take(a: int, b: int) -> bool:
+        if any(a < y and x < b for x, y, _ in base) or not _is_random(text[a:b], enc):
+            return False
+        out.append((a, b, "random"))
+        return True
+
     for m in _RANDOM.finditer(text):
-        value = m[0]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or is_known(value):
-            continue
-        if any(m.start() < b and a < m.end() for a, b, _ in base):
+        if is_fixed(m[0]) or take(*m.span()):
             continue
-        if len(value) < MAX_RATIO * len(enc.encode_ordinary(value)):
-            out.append((m.start(), m.end(), "random"))
+        for a, b in _stretches(m[0], enc):
+            a, b = m.start() + a, m.start() + b
+            if not take(a, b):  # short numbers and names beside a string must not hide it either
+                for p in _PART.finditer(text, a, b):
+                    take(*p.span())
     return out
 
 
