@@ -1,16 +1,18 @@
 """Personal data: detection, and keyed surrogates of the same type, script, gender and format.
 
-Found are e-mail addresses, IBANs with a right check number, payment card numbers, IP addresses, US social security
-numbers, phone numbers, and names after a title.  Each surrogate comes from a keyed permutation (a Feistel network over
-the characters, each position moving within its own class of characters), so within a format different values get
-different surrogates and the same value the same one everywhere, without a table of all values: letters stay letters of
-their script, digits digits, punctuation stays; card and IBAN check digits are recomputed; a valid card stays valid and
-an invalid one invalid; e-mail case and phone punctuation are laid over the surrogate of the normalised value.  Known
-given names are permuted within their script and gender; other name letters keep vowel, consonant and case.
-
-Collision checks: a surrogate may not equal its own value or the surrogate of another value of the same document; if it
-does, it is walked on with the next round key until it fits (only very short formats need this).  collisions() checks a
-whole table of pairs.
+Found are e-mail addresses, IBANs with a right check number, payment card numbers, IP addresses (also compressed), US
+social security numbers, phone numbers, and names after a title with later mentions of them or of their words (but for
+words that the text also has in lower case).  Each surrogate comes from a keyed permutation (over the characters, each
+position moving within its own class of characters), so different values get different surrogates and the same value
+the same one everywhere, without a table of all values: letters stay letters of their script, digits digits,
+punctuation stays; card and IBAN check digits are recomputed; a valid card stays valid and an invalid one invalid;
+e-mail case and phone punctuation are laid over the surrogate of the normalised value.  Known given names are permuted
+within their script and gender; other name letters keep vowel, consonant and case.
+
+Collision checks: each permutation is one cycle through all values of its format, a step of fixed size between a
+Feistel network and its inverse, so no value is its own surrogate and nothing depends on the document.  Where a part of
+a format is kept apart (known names, invalid cards, made-up exchanges), the cycle is walked to the next value of the
+part.  collisions() checks a whole table of pairs.  Only a value without any character of a class stays as it is.
 
 Defined results: null text stays null, without entities; spans are code points of the original text, end exclusive;
 overlapping finds keep the first kind in the order above; repeated rows get equal results.
@@ -19,6 +21,8 @@ overlapping finds keep the first kind in the order above; repeated rows get equa
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import math
 import re
 from functools import lru_cache
 
@@ -55,7 +59,11 @@ CLASSES = [
     "βγδζθκλμνξπρστφχψς",
 ]
 _CLASS = {c: alphabet for alphabet in CLASSES for c in alphabet}
-_HEX = "0123456789abcdef"
+#: The classes of capitals, without letters whose capital is missing or that of another letter.
+_CAPITALS = {c: capitals for alphabet in CLASSES for capitals in ["".join(x for x in alphabet if len(x.upper()) == 1 and x.upper().lower() == x)] for c in capitals}
+_KNOWN = {name: group for group, names in GIVEN.items() for name in names}
+# Country calling codes of one and two digits; the others have three.
+_CODES = {*"17", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 _TITLE = "|".join(sorted(map(re.escape, MALE + FEMALE + NEUTRAL), key=len, reverse=True))
 _DIGIT = re.compile("[0-9]")
@@ -67,6 +75,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d)")
 _IP4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IP6_SHORT = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w]|:[\w:])")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?)?\(?\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{7,15}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,8}\)?){2,5}(?!\d)")
 
@@ -83,6 +92,15 @@ def _iban_ok(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _groups(value: str) -> list[int] | None:
+    """The eight numbers of an IPv6 address."""
+    try:
+        n = int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+    return [n >> (112 - 16 * i) & 0xFFFF for i in range(8)]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, kind) by start."""
     if not text:
@@ -107,6 +125,8 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 spans.append((a, m.end()))
             floor = m.end()
         take("email", spans)
+    if "::" in text:
+        take("ip6", [m.span() for m in _IP6_SHORT.finditer(text) if any(_groups(m[0]) or ())])
     if not _DIGIT.search(text):
         take("name", _names(text))
         return sorted(found)
@@ -114,7 +134,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     take("card", [m.span() for m in _CARD.finditer(text)])
     take("ip", [m.span() for m in _IP4.finditer(text)])
     if text.count(":") >= 7:
-        take("ip6", [m.span() for m in _IP6.finditer(text)])
+        take("ip6", [m.span() for m in _IP6.finditer(text) if any(_groups(m[0]) or ())])
     take("ssn", [m.span() for m in _SSN.finditer(text)])
     take("phone", [m.span() for m in _PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15])
     take("name", _names(text))
@@ -122,8 +142,8 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def _names(text: str) -> list[tuple[int, int]]:
-    """Up to three capitalised words after a title."""
-    out = []
+    """Up to three capitalised words after a title, and where else the text has them, together or one by one."""
+    out: list[tuple[int, int]] = []
     for m in _NAME.finditer(text):
         end, first = m.start(3), True
         for part in re.finditer("[^ -]+", m[3]):
@@ -132,6 +152,20 @@ def _names(text: str) -> list[tuple[int, int]]:
             end, first = m.start(3) + part.end(), False
         if not first and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
             out.append((m.start(3), end))
+    if not out:
+        return out
+    wholes = {text[a:b] for a, b in out}
+    parts = {w for name in wholes for w in re.split("[ -]", name)}
+    plain = {w for w in {w.lower() for w in parts} if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)}
+    wanted = wholes | {w for w in parts if w.lower() not in plain}
+    again = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(wanted, key=lambda w: (-len(w), w))) + r")(?!\w)")
+    taken = sorted(out)
+    at = 0
+    for m in again.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or m.end() <= taken[at][0]:
+            out.append(m.span())
     return out
 
 
@@ -141,40 +175,56 @@ class Surrogates:
     def __init__(self, key: str):
         self.key = hashlib.sha256(key.encode()).digest()
 
-    def _permute(self, digits: list[int], radix: list[int], tweak: str) -> list[int]:
-        """A permutation of all vectors with these radices."""
+    def _stream(self, tweak: str, n: int) -> list[int]:
+        stream = b""
+        while len(stream) < 4 * n:
+            stream += hashlib.blake2b(f"{tweak}|{len(stream)}".encode(), key=self.key, digest_size=64).digest()
+        return [int.from_bytes(stream[4 * i : 4 * i + 4], "big") for i in range(n)]
+
+    def _feistel(self, digits: list[int], radix: list[int], tweak: str, back: bool) -> list[int]:
+        """A permutation of all vectors with these radices, or its inverse."""
         half = (len(digits) + 1) // 2
-        parts = [digits[:half], digits[half:]]
-        radices = [radix[:half], radix[half:]]
-        for r in range(ROUNDS):
+        parts, radices = [digits[:half], digits[half:]], [radix[:half], radix[half:]]
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             to = r % 2
-            other = ",".join(map(str, parts[1 - to]))
-            n = len(parts[to])
-            stream = b""
-            while len(stream) < 4 * n:
-                stream += hashlib.blake2b(f"{tweak}|{r}|{len(stream)}|{radix}|{other}".encode(), key=self.key, digest_size=64).digest()
-            parts[to] = [(d + int.from_bytes(stream[4 * i : 4 * i + 4], "big")) % m for i, (d, m) in enumerate(zip(parts[to], radices[to], strict=True))]
+            added = self._stream(f"{tweak}|{r}|{radix}|{','.join(map(str, parts[1 - to]))}", len(parts[to]))
+            parts[to] = [(d - x if back else d + x) % m for d, x, m in zip(parts[to], added, radices[to], strict=True)]
         return parts[0] + parts[1]
 
-    def chars(self, value: str, tweak: str, alphabets: list[str | None] | None = None) -> str:
-        """value with every character of a class replaced within the class; others, and None in alphabets, stay."""
-        low = value.lower() if len(value.lower()) == len(value) else value
-        own = alphabets or [_CLASS.get(c) for c in low]
+    def _permute(self, digits: list[int], radix: list[int], tweak: str) -> list[int]:
+        """The next vector on one cycle through all vectors with these radices; a step prime to their number makes it one."""
+        steps = _steps(radix[-1], tuple(sorted(set(radix))))
+        out = self._feistel(digits, radix, tweak, False)
+        carry = steps[self._stream(f"{tweak}|step|{radix}", 1)[0] % len(steps)]
+        for i in reversed(range(len(out))):
+            carry, out[i] = divmod(out[i] + carry, radix[i])
+            if not carry:
+                break
+        return self._feistel(out, radix, tweak, True)
+
+    def chars(self, value: str, tweak: str, alphabets: list[str | None] | None = None, cased: bool = False) -> str:
+        """value with every character of a class replaced within the class; others, and None in alphabets, stay.
+
+        cased: values that differ in case are different.
+        """
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        own = alphabets or [(_CAPITALS if cased and c != v else _CLASS).get(c) for c, v in zip(low, value, strict=True)]
         at = [i for i, a in enumerate(own) if a and low[i] in a]
         if not at:
             return value
-        fixed = "".join("*" if i in set(at) else c for i, c in enumerate(low)) if len(at) < len(low) else ""
+        moving = set(at)
+        fixed = "".join("*" if i in moving else value[i] if cased else c for i, c in enumerate(low)) if len(at) < len(low) else ""
         moved = self._permute([own[i].index(low[i]) for i in at], [len(own[i]) for i in at], f"{tweak}|{fixed}|{''.join(own[i][0] for i in at)}")
         out = list(value)
         for i, d in zip(at, moved, strict=True):
             c = own[i][d]
-            out[i] = c.upper() if value[i] != low[i] and len(c.upper()) == 1 else c
+            out[i] = c.upper() if value[i] != low[i] and len(c.upper()) == 1 and c.upper().lower() == c else c
         return "".join(out)
 
-    def _email(self, value: str, step: int) -> str:
+    def _email(self, value: str) -> str:
         local, domain = value.rsplit("@", 1)
         name, top = domain.rsplit(".", 1)
-        return f"{self.chars(local, f'local{step}|{domain.lower()}')}@{self.chars(name, 'domain')}.{top}"
+        return f"{self.chars(local, f'local|{domain.lower()}')}@{self.chars(name, 'domain')}.{top}"
 
     def _digits(self, value: str, tweak: str, keep: int = 0) -> str:
         """All digits but the first keep ones; a first digit other than 0 stays so."""
@@ -188,32 +238,36 @@ class Surrogates:
             seen += c.isdigit()
         return "".join(out)
 
-    def _phone(self, value: str, step: int) -> str:
+    def _phone(self, value: str) -> str:
         digits = "".join(c for c in value if c.isdigit())
         american = len(digits) == 10 and value[0] != "+" or len(digits) == 11 and digits[0] == "1"
-        code = len(digits) - 10 if american else len(re.match(r"\+?(\d{1,3})", value)[1]) if re.match(r"\+\d{1,3}\D", value) else min(2, len(digits) - 4)
+        code = len(digits) - 10 if american else next(n for n in (1, 2, 3) if n == 3 or digits[:n] in _CODES)
         national = digits[code:]
-        kept = {3, 4, 5} if american and national[3:6] == "555" else set()  # a made-up exchange stays one
-        alphabets = [None if i in kept else "123456789" if i == 0 and c != "0" else "0123456789" for i, c in enumerate(national)]
-        moved = digits[:code] + self.chars(national, f"phone{step}|{'1' if american else digits[:code]}", alphabets)
+        made_up = american and national[3:6] == "555"  # a made-up exchange stays one
+        alphabets = [None if made_up and i in (3, 4, 5) else "123456789" if i == 0 and c != "0" else "0123456789" for i, c in enumerate(national)]
+        tweak = f"phone|{'1' if american else digits[:code]}"
+        moved = self.chars(national, tweak, alphabets)
+        while american and not made_up and moved[3:6] == "555":
+            moved = self.chars(moved, tweak, alphabets)
+        moved = digits[:code] + moved
         at = iter(moved)
         return "".join(next(at) if c.isdigit() else c for c in value)
 
-    def _card(self, value: str, step: int) -> str:
+    def _card(self, value: str) -> str:
         digits = "".join(c for c in value if c.isdigit())
         if _luhn(digits):
-            body = self._digits(digits[:-1], f"card{step}", 1)
+            body = self._digits(digits[:-1], "card", 1)
             moved = next(body + c for c in "0123456789" if _luhn(body + c))
         else:
-            moved = self._digits(digits, f"number{step}", 1)
+            moved = self._digits(digits, "number", 1)
             while _luhn(moved):  # walking the cycle stays one to one
-                moved = self._digits(moved, f"number{step}", 1)
+                moved = self._digits(moved, "number", 1)
         at = iter(moved)
         return "".join(next(at) if c.isdigit() else c for c in value)
 
-    def _iban(self, value: str, step: int) -> str:
+    def _iban(self, value: str) -> str:
         bare = value.replace(" ", "")
-        body = self.chars(bare[4:], f"iban{step}|{bare[:2]}", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else "0123456789" for c in bare[4:]]) if bare[4:].isdigit() else "".join(self._mixed(bare[4:], f"iban{step}|{bare[:2]}"))
+        body = self.chars(bare[4:], f"iban|{bare[:2]}", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else "0123456789" for c in bare[4:]]) if bare[4:].isdigit() else "".join(self._mixed(bare[4:], f"iban|{bare[:2]}"))
         check = 98 - int("".join(str(int(c, 36)) for c in body + bare[:2] + "00")) % 97
         at = iter(f"{bare[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(at) for c in value)
@@ -223,48 +277,44 @@ class Surrogates:
         moved = self._permute([ord(c) - 65 if c.isalpha() else int(c) for c in value], radix, tweak)
         return [chr(65 + d) if r == 26 else str(d) for d, r in zip(moved, radix, strict=True)]
 
-    def _ip(self, value: str, step: int) -> str:
+    def _ip(self, value: str) -> str:
         octets = [int(x) for x in value.split(".")]
         unicast = 1 <= octets[0] <= 223
-        moved = self._permute([octets[0] - 1 if unicast else octets[0] - 224 if octets[0] else 32, *octets[1:]], [223 if unicast else 33, 256, 256, 256], f"ip{step}|{unicast}")
+        moved = self._permute([octets[0] - 1 if unicast else octets[0] - 224 if octets[0] else 32, *octets[1:]], [223 if unicast else 33, 256, 256, 256], f"ip|{unicast}")
         first = moved[0] + 1 if unicast else 0 if moved[0] == 32 else moved[0] + 224
         return ".".join(map(str, [first, *moved[1:]]))
 
-    def _given(self, value: str, gender: str) -> str | None:
-        """The surrogate of a known given name: a keyed permutation of the names of its script and gender."""
-        for (script, g), names in GIVEN.items():
-            if value in names and (gender == "n" or g == gender):
-                order = _order(self.key, script, g)
-                return order[(order.index(value) + 1) % len(order)]
-        return None
+    def _ip6(self, value: str) -> str:
+        """Groups other than 0 move among those, so that an address keeps its short form."""
+        groups = _groups(value)
+        at = [i for i, g in enumerate(groups) if g]
+        moved = self._permute([groups[i] - 1 for i in at], [65535] * len(at), f"ip6|{at}")
+        made = iter(f"{d + 1:04x}" if re.search("(?<![0-9A-Fa-f])0[0-9A-Fa-f]{3}", value) else f"{d + 1:x}" for d in moved)
+        out = re.sub("[0-9A-Fa-f]+", lambda m: next(made) if int(m[0], 16) else m[0], value)
+        return out.upper() if value != value.lower() else out
 
-    def _name(self, value: str, step: int, gender: str) -> str:
-        parts = re.split("([ -])", value)
-        out = []
-        for i, p in enumerate(parts):
-            known = self._given(p, gender) if i == 0 and len(parts) > 1 else None
-            out.append(known or (p if p in (" ", "-") else self.chars(p, f"name{step}")))
-        return "".join(out)
+    def _word(self, word: str) -> str:
+        """A known given name becomes the next one of its script and gender, another word never a known one."""
+        if word in _KNOWN:
+            order = _order(self.key, *_KNOWN[word])
+            return order[(order.index(word) + 1) % len(order)]
+        made = self.chars(word, "name", cased=True)
+        while made in _KNOWN:
+            made = self.chars(made, "name", cased=True)
+        return made
+
+    def _name(self, value: str) -> str:
+        return "".join(p if p in (" ", "-") else self._word(p) for p in re.split("([ -])", value))
 
-    def of(self, kind: str, value: str, step: int = 0, gender: str = "n") -> str:
-        """The surrogate of a value; step: the round key, for walking on."""
-        if kind == "email":
-            return self._email(value, step)
-        if kind == "phone":
-            return self._phone(value, step)
-        if kind == "card":
-            return self._card(value, step)
-        if kind == "iban":
-            return self._iban(value, step)
-        if kind == "ip":
-            return self._ip(value, step)
-        if kind == "ip6":
-            low = value.lower()
-            moved = self.chars(low, f"ip6{step}", [_HEX if c in _HEX else None for c in low])
-            return moved if value == low else moved.upper()
-        if kind == "ssn":
-            return self._digits(value, f"ssn{step}")
-        return self._name(value, step, gender)
+    def of(self, kind: str, value: str) -> str:
+        """The surrogate of a value."""
+        made = {"email": self._email, "phone": self._phone, "card": self._card, "iban": self._iban, "ip": self._ip, "ip6": self._ip6, "ssn": lambda v: self._digits(v, "ssn")}
+        return made.get(kind, self._name)(value)
+
+
+@lru_cache(256)
+def _steps(last: int, radices: tuple[int, ...]) -> list[int]:
+    return [n for n in range(1, last) if all(math.gcd(n, m) == 1 for m in radices)] or [1]
 
 
 @lru_cache(64)
@@ -280,35 +330,21 @@ def _normal(kind: str, value: str) -> str:
         return digits[-10:] if len(digits) == 11 and digits[0] == "1" or len(digits) == 10 and value[0] != "+" else "+" + digits
     if kind in ("card", "iban"):
         return re.sub("[ -]", "", value)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(value))
     return value
 
 
-def _gender(text: str, start: int) -> str:
-    title = text[max(0, start - 16) : start].rstrip(" ").rstrip(".")
-    for gender, titles in (("f", FEMALE), ("m", MALE)):
-        if any(title.endswith(t) and not title[: -len(t)][-1:].isalpha() for t in titles):
-            return gender
-    return "n"
-
-
 def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, end, kind, surrogate) of each entity of the original."""
     spans = detect(text)
     if not spans:
         return text, []
-    chosen: dict[tuple[str, str], int] = {}
-    used: dict[tuple[str, str], str] = {}
     out, done, entities = [], 0, []
     for a, b, kind in spans:
-        value, gender = text[a:b], _gender(text, a) if kind == "name" else "n"
-        who = _normal(kind, value)
-        step = chosen.get((kind, who), 0)
-        made = surrogates.of(kind, value, step, gender)
-        while step < 16 and (made == value or used.get((kind, _normal(kind, made)), who) != who):
-            step += 1
-            made = surrogates.of(kind, value, step, gender)
-        chosen[kind, who] = step
-        used[kind, _normal(kind, made)] = who
+        made = surrogates.of(kind, text[a:b])
         out += [text[done:a], made]
         done = b
         entities.append((a, b, kind, made))
