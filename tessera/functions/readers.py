@@ -44,24 +44,28 @@ def go_outline(text: str, ultra: bool = False) -> str:
     bare = re.sub(r"(?s)/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), text)
     lines = bare.split("\n")
     package = next((i for i, x in enumerate(lines) if x.startswith("package ")), None)
-    plain = _one_blank([_uncommented(x) for x in re.sub(r"(?s)/\*.*?\*/", "", text).split("\n")])
+
+    def plain() -> str:
+        return _one_blank([_uncommented(x) for x in re.sub(r"(?s)/\*.*?\*/", "", text).split("\n")])
+
     if package is None:
-        return plain
+        return plain()
+    depths = [_depth(x) for x in lines]
     out, at = [lines[package]], package + 1
     while at < len(lines):
         if not _TOP.match(lines[at]):
             at += 1
             continue
-        end, depth, opened = at, _depth(lines[at]), at
+        end, depth, opened = at, depths[at], at
         while depth > 0 and end + 1 < len(lines):
             end += 1
-            depth += _depth(lines[end])
+            depth += depths[end]
         if depth != 0:
-            return plain
+            return plain()
         if lines[at].startswith("func") and end > at:
             level = 0
             for opened in range(at, end + 1):
-                level += _depth(lines[opened])
+                level += depths[opened]
                 if level > 0 and re.sub(r"//.*$", "", lines[opened]).rstrip().endswith("{"):
                     break
         out.append("")

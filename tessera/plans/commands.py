@@ -46,7 +46,7 @@ def read_files(spark, d):
 
 def go_outline(spark, d):
     """Documents as the bodies of Go functions."""
-    body = F.array_join(F.transform(F.slice(F.split("text", " "), 1, 30), lambda w: F.concat(F.lit('\tprint("'), F.translate(w, '"\\\n', "   "), F.lit('")'))), "\n")
+    body = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.lit('\tprint("'), F.translate(w, '"\\\n', "   "), F.lit('")'))), "\n")
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("package p\n\n// note\nfunc F() {\n"), body, F.lit("\n}\n")).alias("text"))
     return files.select("doc_id", readers.filtered(F.lit("go"), F.col("text")).alias("outline"))
 
