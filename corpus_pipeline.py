@@ -21,8 +21,8 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each group."""
-    return simhash.keep_first(docs)
+    """Keeps one document of each group, that with the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark, docs, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, written to the shared checkpoint folder, so that every later read finds the same."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/keyed-{uuid.uuid4().hex}"
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def free(spark: SparkSession) -> None:
     """Lets the driver drop what nothing refers to: plans, and shuffle and checkpoint files of earlier rounds.
 

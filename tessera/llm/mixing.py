@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lookup, table
+from tessera.llm.common import cut, keyed, lookup, table
 
 #: The target entropy lies this far between that of the token shares (0) and the uniform one (1).
 FLATTEN, REPEAT_LIMIT, SEED, STEPS = 0.5, 4.0, "mix-1", 60
@@ -85,13 +85,15 @@ def solve(tokens: dict[str, int], budget: int | None = None, target_entropy: flo
     return a, dict(zip(names, weights_at(shares, a), strict=True))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: int | None = None, target_entropy: float | None = None, flatten: float = FLATTEN, repeat_limit: float = REPEAT_LIMIT, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: int | None = None, target_entropy: float | None = None, flatten: float = FLATTEN, repeat_limit: float = REPEAT_LIMIT, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens, weight (of the source), block, copies, for each row of docs.
 
-    The driver gets one row for each source (name and sums), no more.
+    row_col: a key of the rows, which comes along as _row; rows without an id are then permuted by their texts.  The driver gets one row for each source (name and sums), no more.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), word_count(F.col(text_col).cast("string")).alias("n_tokens"), key.alias("key"))
+    nameless = F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))) if row_col else F.lit("")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), nameless)).cast("binary"))
+    own = [F.col(row_col).alias("_row")] if row_col else []
+    slim = docs.select(*own, F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), word_count(F.col(text_col).cast("string")).alias("n_tokens"), key.alias("key"))
     slim = cut(slim.withColumn("block", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
     blocks = cut(slim.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")))
     sums = blocks.groupBy("source").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
@@ -108,20 +110,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ends = run.join(planned, "source").filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))).alias("e")).select("source", F.col("e.block").alias("last"), F.col("e.room").alias("room"))
     sources = planned.join(ends, "source", "left").select("source", "weight", "passes", "last", "room", "rows")
     dealt = lookup(slim, sources, "source", "rows")
-    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens", *["_row"] * bool(row_col)).rowsBetween(Window.unboundedPreceding, 0)
     edge = dealt.filter(F.col("block") == F.col("last")).withColumn("used", F.sum("n_tokens").over(within)).withColumn("more", F.col("used") <= F.col("room"))
     rest = dealt.filter(F.coalesce(F.col("block") != F.col("last"), F.lit(True))).withColumn("more", F.coalesce(F.col("block") < F.col("last"), F.lit(False)))
-    cols = ["doc_id", "source", "n_tokens", "weight", "block", (F.col("passes") + F.col("more").cast("long")).alias("copies")]
+    cols = [*["_row"] * bool(row_col), "doc_id", "source", "n_tokens", "weight", "block", (F.col("passes") + F.col("more").cast("long")).alias("copies")]
     return edge.select(*cols).unionAll(rest.select(*cols))
 
 
 def with_copies(docs: DataFrame, **settings) -> DataFrame:
-    """docs with n_tokens, weight, block and copies in place of any columns of these names; rows that share an id, also
-    those without one, get the same: that of the most copies."""
+    """docs with n_tokens, weight, block and copies in place of any columns of these names; each row gets its own, also
+    rows that share an id and those without one."""
     new = ("n_tokens", "weight", "block", "copies")
-    mixed = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("copies", "n_tokens", "weight", "block")).alias("_m"))
-    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"_m.{n}").alias(n) for n in new])
+    rows = keyed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new]), "_row")
+    mixed = mix(rows, **settings, row_col="_row").select("_row", *new)
+    return rows.join(mixed, "_row", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"], *new)
 
 
 def draws(mixed: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lookup, per_batch, table
+from tessera.llm.common import cut, keyed, lookup, per_batch, table
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 BLOCKS, CELL_LIMIT = 8, 64
@@ -148,3 +148,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns as they are: that of the smallest doc_id, one without a doc_id only if all
+    rows of the component are.  Rows are told apart by a key of their own, not by their ids."""
+    rows = keyed(docs, "_row")
+    found = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
