@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import packed, table, unpacked
 
 WINDOW = 13
 #: Bytes of test strings held by each task at once; a larger benchmark is searched in several passes.
@@ -155,7 +155,6 @@ def with_occurrences(docs: DataFrame, benchmark: DataFrame, out_col: str = "foun
     The test strings go to the executors in passes of bounded bytes; each pass adds to the finds of the one before.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs.withColumn(out_col, F.lit(None).cast(FOUND))
     for rows in _passes(benchmark, item_col, item_text_col, pass_bytes):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
@@ -177,8 +176,8 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, without the contaminated documents."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
-    return with_verdict(with_occurrences(inner, benchmark)).filter(~F.col("contaminated")).select("doc.*")
+    inner = docs.select(packed(docs).alias("doc"), F.col("text"))
+    return unpacked(with_verdict(with_occurrences(inner, benchmark)).filter(~F.col("contaminated")))
 
 
 OP8_SQL = """

@@ -10,8 +10,8 @@ language by name); the score is that count over n.
 
 Defined results: null text, or text without a letter, is `und` with score 0; text whose n-grams no language holds gets
 the language with most training n-grams, score 0; without any labelled row every text is `und`; a null id is not held
-out and does not train; repeated rows are judged, and train, one by one.  The model is bounded: languages times
-KEPT_NGRAMS n-grams and 2^FILTER_BITS words for each 64 languages.
+out and does not train; equal rows are judged one by one and train once; very long texts are read whole.  The model has
+KEPT_NGRAMS n-grams a language and 2^FILTER_BITS words for each 64 languages; no language is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, hash_sample, per_batch, small_batches, table
+from tessera.llm.common import fold, hash_sample, packed, per_batch, sampled, table, unpacked
 
 NGRAM, SAMPLE_ROWS, KEPT_NGRAMS = 4, 1000, 12_000
 FILTER_BITS, HASHES = 19, 3
@@ -124,13 +124,13 @@ class Filters:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, kept: int = KEPT_NGRAMS) -> dict[str, np.ndarray]:
     """The n-gram codes of each language, from a bounded sample of the labelled rows of docs."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    own = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("group"), F.col(text_col).cast("string").alias("text"))
     # ids only: the texts are not moved for the choice
-    chosen = hash_sample(rows, id_col, lang_col, sample_rows).select("id").distinct()
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    sample = sampled(own, hash_sample(own, "id", "group", sample_rows), sample_rows, ["id", "group"])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist(), strict=True):
             grams, some = ngrams(text)
             if some:
                 found.setdefault(lang, []).append(grams)
@@ -155,7 +155,6 @@ _models: dict[str, Filters] = {}
 
 def with_language(docs: DataFrame, grams: dict[str, np.ndarray], out_col: str = "language", text_col: str = "text") -> DataFrame:
     """docs with a column struct<lang_pred, score>."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, grams))
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -179,5 +178,5 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, whose text is in one of the languages of docs; `und` and texts that hardly share n-grams with any language go."""
     grams = train(docs.select("doc_id", "text", "lang"))
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
-    return with_language(inner, grams).filter((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select("doc.*")
+    inner = docs.select(packed(docs).alias("doc"), F.col("text"))
+    return unpacked(with_language(inner, grams).filter((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)))

@@ -118,12 +118,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def with_copies(docs: DataFrame, **settings) -> DataFrame:
-    """docs with n_tokens, weight, block and copies in place of any columns of these names; each row gets its own, also
-    rows that share an id and those without one."""
+    """docs with n_tokens, weight, block and copies; each row gets its own, also rows that share an id and those without
+    one.  Columns of docs of these names make way."""
     new = ("n_tokens", "weight", "block", "copies")
-    rows = keyed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new]), "_row")
-    mixed = mix(rows, **settings, row_col="_row").select("_row", *new)
-    return rows.join(mixed, "_row", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"], *new)
+    rows = keyed(docs)
+    mixed = mix(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), **settings, row_col="row").select(F.col("_row").alias("row"), F.struct(*new).alias("mixed"))
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new]
+    return rows.join(mixed, "row", "left").select(*kept, "mixed.*")
 
 
 def draws(mixed: DataFrame) -> DataFrame:

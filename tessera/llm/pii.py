@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import table
 
 DEFAULT_KEY = "tessera-surrogates"
 ROUNDS = 6
@@ -356,7 +356,6 @@ RESULT = "struct<text:string,n_entities:long,entities:string>"
 
 def with_surrogates(docs: DataFrame, out_col: str = "safe", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """docs with a column of (text with surrogates, number of entities, kind:start:end of each, comma-joined)."""
-    small_batches(docs.sparkSession)
 
     @F.arrow_udf(RESULT)
     def safe(texts: pa.Array) -> pa.Array:
@@ -370,7 +369,6 @@ def with_surrogates(docs: DataFrame, out_col: str = "safe", text_col: str = "tex
 
 def pairs(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """kind, value (normalised), surrogate (normalised) of every entity."""
-    small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<struct<kind:string,value:string,surrogate:string>>")
     def listed(texts: pa.Array) -> pa.Array:

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, a segment-popcount grid join, exact distances, connected components.
 
 Fingerprint: over the 3-word shingles of the lower-cased (A-Z) text, repeats included, a bit is 1 if it is set in over
-half of the XXH64 values (seed 42).  Equal fingerprints are one class, represented by its smallest doc_id.
+half of the XXH64 values (seed 42).  Equal fingerprints are one class; classes, not ids, are linked, so rows that repeat
+an id link nothing.
 
 Candidate search between classes: a fingerprint is embedded as the vector of bit counts of its 32 two-bit segments.  The
 Manhattan distance of two vectors is at most the Hamming distance of the fingerprints.  The vector is cut into BLOCKS
@@ -15,8 +16,9 @@ is put under its 65 variants at distance <= 1; classes under one variant are wit
 in 65 rows a class.
 
 Defined results: null, empty or blank text has fingerprint zero and is linked like any other; a null doc_id keeps its
-fingerprint and takes no part in a class's representative unless all its ids are null (then component_id is null);
-repeated ids and texts are kept row by row.  Only id and text columns are read.
+fingerprint, links like any other, and names a component only if no row of it has an id (then component_id is null);
+repeated ids and texts are kept row by row, and a repeated id may be in several components; an empty table has no rows.
+Very long texts are hashed whole.  Only id and text columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keyed, lookup, per_batch, table
+from tessera.llm.common import cut, keyed, lookup, packed, per_batch, table, unpacked
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 BLOCKS, CELL_LIMIT = 8, 64
@@ -93,13 +95,16 @@ def links(classes: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """
     spread = cut(classes.withColumn("e", embedded(F.col("fp"))).select("fp", "e", "node", F.explode(cells(F.col("e"))).alias("cell")))
     sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    full = sizes.filter(F.col("n") > cell_limit).select("cell")
-    shared = spread.join(sizes.filter(F.col("n") <= cell_limit).select("cell"), "cell", "left_semi")
+    # cells with over a 500th of all rows are fewer than 500: their rows are told by a broadcast and not shuffled by cell
+    huge = F.broadcast(sizes.filter(F.col("n") > max(cell_limit, spread.count() // 500)).select("cell"))
+    others = spread.join(huge, "cell", "left_anti")
+    shared = others.join(sizes.filter(F.col("n") <= cell_limit).select("cell"), "cell", "left_semi")
     left = shared.select("cell", F.col("fp").alias("fp_a"), F.col("e").alias("e_a"), F.col("node").alias("a"))
     right = shared.select("cell", F.col("fp").alias("fp_b"), F.col("e").alias("e_b"), F.col("node").alias("b"))
     near = left.join(right, "cell").filter((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("e_a").bitwiseXOR(F.col("e_b"))) <= RADIUS))
     pairs = near.filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS).select("a", "b")
-    crowded = spread.join(full, "cell", "left_semi").select("fp", "node").distinct()
+    full = others.join(sizes.filter(F.col("n") > cell_limit).select("cell"), "cell", "left_semi").unionByName(spread.join(huge, "cell", "left_semi"))
+    crowded = full.select("fp", "node").distinct()
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)])
     variants = crowded.select("node", F.explode(ball).alias("variant"))
     first = variants.groupBy("variant").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("variant", "b")
@@ -111,14 +116,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) can reach.
 
     Alternating large-star and small-star rounds; each round is written to the checkpoint folder.  They are over when a
-    round leaves the edges as they are, by their number and the sum of their hashes.
+    round leaves the edges as they are, by their number and the sum of their hashes.  A root has as many edges as its
+    component has nodes, so the large star looks roots up without shuffling the edges of big ones.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
     while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        own = edges.select(F.col("a").alias("u"), F.col("b").alias("m"), F.lit(0).alias("over")).unionAll(down.select("u", F.col("u").alias("m"), F.lit(1).alias("over")))
+        least = own.groupBy("u").agg(F.min("m").alias("m"), F.sum("over").alias("n")).filter("n > 0")
+        large = lookup(down, least, "u", "n", total=state[0] if state else edges.count()).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = cut(small)
@@ -130,9 +137,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    roots = components(links(classes.filter(F.col("node").isNotNull()).select("fp", "node"), cell_limit))
-    labelled = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(classes.select("fp", F.col("fp").alias("node")), cell_limit))
+    placed = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    labelled = lookup(placed, names, "root", "size").select("fp", "n", "component_id")
     return lookup(prints, labelled, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -145,16 +154,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id cannot be told apart and stay; so do all rows of a doc_id of which one stays.
     """
-    kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(packed(docs).alias("doc"), F.col("doc_id").alias("id"))
+    return unpacked(rows.join(kept, "id", "left_semi").select("doc").unionAll(rows.filter(F.col("id").isNull()).select("doc")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns as they are: that of the smallest doc_id, one without a doc_id only if all
     rows of the component are.  Rows are told apart by a key of their own, not by their ids."""
-    rows = keyed(docs, "_row")
-    found = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
-    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs)
+    found = near_duplicates(rows.select("row", "doc.text"), "row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    first = found.join(rows.select("row", "doc.doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return unpacked(rows.join(first, "row", "left_semi"))

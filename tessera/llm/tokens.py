@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import table
 from tessera.llm.secrets import DEFAULT_VOCABULARY, PRETOKENS, encoder, vocabulary
 
 CONTEXT, BLOCK, MEMO = 2, 128, 400_000
@@ -168,7 +168,6 @@ def _counter(shared) -> Counter:
 
 def tree_of(spark, text: Column, vocabulary_path: str = DEFAULT_VOCABULARY) -> Column:
     """The leaves of the tree of a text."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     @F.arrow_udf(TREE)
@@ -191,7 +190,6 @@ def n_tokens(tree: Column) -> Column:
 
 def edited(spark, text: Column, tree: Column, edits: Column, vocabulary_path: str = DEFAULT_VOCABULARY) -> Column:
     """struct<text, tree, n_encoded> after edits, an array<struct<a,b,new>>."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     @F.arrow_udf(f"struct<text:string,tree:{TREE},n_encoded:long>")
@@ -222,7 +220,6 @@ def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary_path: str = DEFAU
 
 def redactions(spark, text: Column) -> Column:
     """Edits that put <KIND> in place of personal data."""
-    small_batches(spark)
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("new", pa.string())]))
 
     @F.arrow_udf("array<struct<a:int,b:int,new:string>>")

@@ -6,14 +6,16 @@ score is its log-odds between the classes, by the number of documents that have
 proportion to its overall frequency; features below MIN_Z standard deviations are left at the background score.  A word
 takes the score of its most telling feature.  Half of the sample gives the log-odds, the other half calibrates.
 
-Scoring: the words' scores are scanned once in linear time for all maximal-scoring segments.  A segment's score S over
-n words has, without toxicity, the extreme-value tail 1 - exp(-K n exp(-L S)), where L and K are fitted to the segments
-of clean sample documents.  The log tails of a document's segments are added up, and a logistic curve fitted on the
-held-back half turns the sum into a score from 0 to 1.
+Scoring: the words' scores are scanned once in linear time for all maximal-scoring segments.  In a text of n words a
+segment's score S has, without toxicity, the extreme-value tail 1 - exp(-K n exp(-L S)), where L and K are the most
+likely ones for the best segments of clean sample documents and their lengths.  n counts all words of the text, so it does
+not matter where in it a passage stands.  The log tails of a document's segments are added up, and a logistic curve fitted
+on the held-back half turns the sum into a score from 0 to 1.
 
 Defined results: null or empty text has no segment and gets the curve's value at 0; a null label does not train; a null
-id does not train and is not held out; repeated rows train and are scored one by one.  Without toxic or clean rows the
-score is the share of toxic labels, or 0.  Words may be long; only their leading letters and the whole count.
+id does not train and is not held out; equal rows train once and are scored one by one; an id with several labels is toxic
+if one of them is.  Without toxic or clean rows the score is the share of toxic labels, or 0.  Very long texts are scored
+whole.  Words may be long; only their leading letters and the whole count.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, hash_sample, per_batch, small_batches, table
+from tessera.llm.common import fold, hash_sample, per_batch, sampled, table
 
 SAMPLE_ROWS, PREFIXES, MIN_Z, MIN_COUNT = 1000, (3, 4, 5, 6), 4.0, 4
 #: Features that the driver and each worker hold at most, those with the largest |z|.
 MAX_FEATURES = 100_000
-#: The prior's weight, as a share of all counts.
-PRIOR, THRESHOLD, MEMO = 0.1, 0.3, 400_000
+#: The prior's weight, as a share of all counts; the score of words that tell nothing, which keeps the expected score of
+#: clean text below 0, as the extreme-value tail demands.
+PRIOR, BACKGROUND, THRESHOLD, MEMO = 0.1, -0.5, 0.3, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,17 +88,21 @@ class Scorer:
         self.memo[w] = score
         return score
 
-    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
+        """The segments of a text, and the number of its words."""
         own, memo = words(text), self.memo
-        return segments([memo[w] if w in memo else self.word(w) for w in own])
+        return segments([memo[w] if w in memo else self.word(w) for w in own]), len(own)
+
+    def tails(self, text: str | None) -> list[tuple[int, int, float, float]]:
+        """The segments with -ln of their extreme-value tails."""
+        found, n = self.passages(text)
+        log_n = math.log(max(1, n))
+        return [(a, b, s, tail_of(s, log_n, self.rate, self.log_k)) for a, b, s in found]
 
     def evidence(self, text: str | None) -> float:
-        """Sum of -ln of the extreme-value tails of the segments that are unlikely by themselves."""
-        found = self.passages(text)
-        if not found:
-            return 0.0
-        log_n = math.log(max(2, found[-1][1]))
-        return sum(tail for _, _, s in found if (tail := tail_of(s, log_n, self.rate, self.log_k)) > 1.0)
+        """Sum of -ln of the tails of the segments that are unlikely by themselves, from the least on, so that the sum is
+        the same in any order of the passages."""
+        return math.fsum(tail for *_, tail in self.tails(text) if tail > 1.0)
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.base + self.slope * math.log1p(self.evidence(text))))))
@@ -127,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and one number pair for each sample document reach the driver.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = hash_sample(marked, "id", "toxic", sample_rows).select("id", F.col("group").alias("toxic"), (F.col("k") % 2).alias("half"))
-    sample = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = sampled(own, hash_sample(marked, "id", "toxic", sample_rows), sample_rows, ["id"]).select(F.col("group").alias("toxic"), (F.col("k") % 2).alias("half"), "text")
     share = marked.agg(F.avg("toxic").alias("s")).first()["s"] or 0.0
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     delta, z = log_odds(F.col("c1"), F.col("c0"), float(n1), float(n0))
     scored = counts.select("feature", delta.alias("delta"), z.alias("z"))
     telling = scored.filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()
-    model = flat | {"scores": {r.feature: r.delta for r in telling}, "background": -0.5}
+    model = flat | {"scores": {r.feature: r.delta for r in telling}, "background": BACKGROUND}
     return calibrate(model, sample, share)
 
 
@@ -174,8 +181,8 @@ def calibrate(model: dict, sample: DataFrame, share: float) -> dict:
         own = _scorer(shared)
         rows = []
         for text in batch.column("text").to_pylist():
-            found = own.passages(text)
-            rows.append((max((s for _, _, s in found), default=0.0), max(1, found[-1][1] if found else len(words(text)))))
+            found, n = own.passages(text)
+            rows.append((max((s for _, _, s in found), default=0.0), max(1, n)))
         return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], ["toxic", "best", "n"])
 
     other = sample.filter("half = 0")
@@ -183,11 +190,7 @@ def calibrate(model: dict, sample: DataFrame, share: float) -> dict:
     clean = seen[seen.toxic == 0]
     if not len(clean):
         return model
-    # tail of single segments: with S the best of n words, rate*S - ln n is Gumbel distributed around ln K
-    centred = clean.best.to_numpy()
-    spread = max(0.3, float(np.std(centred)))
-    rate = math.pi / (spread * math.sqrt(6))
-    log_k = float(np.mean(rate * centred - np.log(np.maximum(2, clean.n.to_numpy())))) - 0.5772156649
+    rate, log_k = tail_fit(clean.best.to_numpy(float), clean.n.to_numpy(float))
     model = model | {"rate": rate, "log_k": log_k}
     shared2 = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
 
@@ -204,6 +207,20 @@ def calibrate(model: dict, sample: DataFrame, share: float) -> dict:
     return model
 
 
+def tail_fit(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The most likely L and ln K for best scores S of texts of n words, where P(S < x) = exp(-K n exp(-L x)).
+
+    At a given L the best K is N / sum(n exp(-L S)); the derivative of what is left falls in L, so its zero is bisected.
+    """
+    low, high = 0.02, 20.0
+    for _ in range(80):
+        rate = (low + high) / 2
+        weight = n * np.exp(-rate * (best - best.min()))
+        slope = 1 / rate - best.mean() + (weight @ best) / weight.sum()
+        low, high = (rate, high) if slope > 0 else (low, rate)
+    return rate, float(np.log(len(best)) - np.log(np.sum(n * np.exp(-rate * (best - best.min())))) + rate * best.min())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with a small ridge on the slope."""
     b = np.zeros(2)
@@ -221,7 +238,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def with_score(docs: DataFrame, model: dict, out_col: str = "score", text_col: str = "text") -> DataFrame:
     """docs with a column of the score of the text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     @F.arrow_udf("double")
@@ -234,7 +250,6 @@ def with_score(docs: DataFrame, model: dict, out_col: str = "score", text_col: s
 
 def with_passages(docs: DataFrame, model: dict, out_col: str = "passages", text_col: str = "text") -> DataFrame:
     """docs with the maximal-scoring segments of each text: words from a to b (exclusive), score and -ln of the tail."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("tail", pa.float64())]))
 
@@ -242,9 +257,7 @@ def with_passages(docs: DataFrame, model: dict, out_col: str = "passages", text_
     def find(texts: pa.Array) -> pa.Array:
         own, out = _scorer(shared), []
         for t in texts:
-            found = own.passages(t.as_py())
-            log_n = math.log(max(2, found[-1][1])) if found else 0.0
-            out.append([{"a": a, "b": b, "score": s, "tail": tail_of(s, log_n, own.rate, own.log_k)} for a, b, s in found])
+            out.append([{"a": a, "b": b, "score": s, "tail": tail} for a, b, s, tail in own.tails(t.as_py())])
         return pa.array(out, kind)
 
     return docs.withColumn(out_col, find(F.col(text_col).cast("string")))
