@@ -1,18 +1,22 @@
 """From documents to a mixture: language ID, near-duplicates, benchmark passages, personal data, mixing.
 
 Each stage takes and returns the columns of documents, but for the last, which adds what the mixture says of a
-document: its tokens, the weight of its source, its block and its copies.  A stage's rows are written and read again
-before the next one begins.
+document: its tokens, the weight of its source, its block and its copies.  A stage's rows are written to the shared
+folder and read again before the next one begins; the rows of the stage before it are deleted then, and the last ones when
+the application ends.
+
+Defined results: every row is judged by itself, also with a null or repeated doc_id; equal rows are near-duplicates, so
+one of them stays; null, empty and letterless texts go at the first stage; a null lang does not train, and without any
+lang no language is known and no document stays; an empty table passes through as one; very long texts are read whole;
+further columns of any name come along, but n_tokens, weight, block and copies make way for those of the last stage.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from tessera.llm import decontam, langid, mixing, pii, simhash
-from tessera.llm.common import LOCAL_CHECKPOINTS, table
+from tessera.llm.common import removed, shared_folder, table, written
 
 
 def language_id(spark, docs, sf_dir):
@@ -53,11 +57,12 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over documents; what passes from one to the next is in the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
-    return docs.select(*[F.col(c) for c in docs.columns])
+            docs = written(docs, f"{folder}/{i}")
+            if i:
+                removed(spark, f"{folder}/{i - 1}")
+    return docs
