@@ -1,21 +1,31 @@
 """Personal data: detection, and keyed surrogates of the same type, script, gender and format.
 
 Found are e-mail addresses, IBANs with a right check number, payment card numbers, IP addresses (also compressed), US
-social security numbers, phone numbers, and names after a title with later mentions of them or of their words (but for
-words that the text also has in lower case).  Each surrogate comes from a keyed permutation (over the characters, each
-position moving within its own class of characters), so different values get different surrogates and the same value
-the same one everywhere, without a table of all values: letters stay letters of their script, digits digits,
-punctuation stays; card and IBAN check digits are recomputed; a valid card stays valid and an invalid one invalid;
-e-mail case and phone punctuation are laid over the surrogate of the normalised value.  Known given names are permuted
-within their script and gender; other name letters keep vowel, consonant and case.
+social security numbers, phone numbers, birth dates after a word for birth, street addresses in four languages, and names:
+after a title, before a Chinese, Japanese or Korean one, or a known given name with a surname; with later mentions of
+them or of their words (but for words that the text also has in lower case).  Digits of any script and full-width forms
+count as the plain ones.  Each surrogate comes from a keyed permutation (over the characters, each position moving within
+its own class of characters), so different values get different surrogates and the same value the same one everywhere,
+without a table of all values: letters stay letters of their script, digits digits, punctuation stays; card and IBAN check
+digits are recomputed; a valid card stays valid and an invalid one invalid; e-mail case and phone punctuation are laid
+over the surrogate of the normalised value.  Known given names are permuted within their script and gender; other name
+letters keep vowel, consonant and case, and endings that mark gender stay.
+
+Classes of letters are listed for Latin, Cyrillic and Greek; any other letter moves among the letters of its script and
+kind in its block of 256 code points, any other digit among the digits of its script.
+
+The key comes from the setting `spark.tessera.surrogateKey`.  Where it is not set, each driver process draws one of its
+own, so surrogates cannot be undone, nor told again by another run.
 
 Collision checks: each permutation is one cycle through all values of its format, a step of fixed size between a
 Feistel network and its inverse, so no value is its own surrogate and nothing depends on the document.  Where a part of
 a format is kept apart (known names, invalid cards, made-up exchanges), the cycle is walked to the next value of the
-part.  collisions() checks a whole table of pairs.  Only a value without any character of a class stays as it is.
+part.  collisions() checks a whole table of pairs.  Only a value without any character of a class of two stays as it is.
 
-Defined results: null text stays null, without entities; spans are code points of the original text, end exclusive;
-overlapping finds keep the first kind in the order above; repeated rows get equal results.
+Defined results: null text stays null, without entities; empty text has none; spans are code points of the original text,
+end exclusive; overlapping finds keep the first kind in the order above; repeated rows get equal results; very long texts
+are read whole, in time that grows with their length.  Not found: names without a title or a known given name, dates
+without a word for birth, addresses of other forms.
 """
 
 from __future__ import annotations
@@ -24,15 +34,20 @@ import hashlib
 import ipaddress
 import math
 import re
+import secrets
+import unicodedata
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import packed, table
 
-DEFAULT_KEY = "tessera-surrogates"
+KEY_SETTING = "spark.tessera.surrogateKey"
+#: The key of this process, where no other is set.
+DEFAULT_KEY = secrets.token_hex(32)
 ROUNDS = 6
 
 # Titles by gender, and given names by script and gender.
@@ -59,14 +74,39 @@ CLASSES = [
     "βγδζθκλμνξπρστφχψς",
 ]
 _CLASS = {c: alphabet for alphabet in CLASSES for c in alphabet}
-#: The classes of capitals, without letters whose capital is missing or that of another letter.
-_CAPITALS = {c: capitals for alphabet in CLASSES for capitals in ["".join(x for x in alphabet if len(x.upper()) == 1 and x.upper().lower() == x)] for c in capitals}
+
+
+@lru_cache(65536)
+def _letters(c: str) -> str | None:
+    """The class of a lower-case or caseless character: a listed one, or by script, kind and block; None for no class."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.digit(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if kind not in ("Ll", "Lo"):
+        return None
+    script, first = unicodedata.name(c, "").split(" ")[0], ord(c) & ~0xFF
+    own = "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind and x.lower() == x and x not in _CLASS and unicodedata.name(x, "").split(" ")[0] == script)
+    return own if len(own) > 1 else None
+
+
+@lru_cache(65536)
+def _capitals(c: str) -> str | None:
+    """The class of a character whose capital stands there, without letters whose capital is missing or that of another."""
+    own = "".join(x for x in _letters(c) or "" if len(x.upper()) == 1 and x.upper().lower() == x)
+    return own if len(own) > 1 and c in own else None
+
+
 _KNOWN = {name: group for group, names in GIVEN.items() for name in names}
 # Country calling codes of one and two digits; the others have three.
 _CODES = {*"17", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 _TITLE = "|".join(sorted(map(re.escape, MALE + FEMALE + NEUTRAL), key=len, reverse=True))
 _DIGIT = re.compile("[0-9]")
+#: Digits of other scripts, and full-width forms of ASCII.
+_WIDE = re.compile(r"(?![0-9])\d|[\uff01-\uff5e]")
 #: No look-behind in front, so that the search skips to the titles' first letters.
 _NAME = re.compile(rf"({_TITLE})(\.? )([^\W\d_][^\W\d_]+(?:[ -][^\W\d_][^\W\d_]+){{0,2}})")
 _DOMAIN = re.compile(r"@((?:[\w-]+\.)+[^\W\d_]{2,})")
@@ -79,6 +119,75 @@ _IP6_SHORT = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?)?\(?\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{7,15}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,8}\)?){2,5}(?!\d)")
 
+# Words for birth, months, kinds of streets, frequent Chinese surnames, titles behind and before names.
+_BORN = re.compile(r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|birthday|dob|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento|родил(?:ся|ась)|дата рождения))[ :]{1,3}(?:is )?")
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_DATE = re.compile(rf"(?P<y>\d{{4}})-(?P<m>\d\d)-(?P<d>\d\d)(?!\d)|(?P<a>\d\d?)(?P<sep>[./-])(?P<b>\d\d?)(?P=sep)(?P<y2>\d{{4}})(?!\d)|(?P<d3>\d\d?) (?P<m3>{'|'.join(MONTHS)}) (?P<y3>\d{{4}})(?!\d)|(?P<m4>{'|'.join(MONTHS)}) (?P<d4>\d\d?), (?P<y4>\d{{4}})(?!\d)")
+_FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+_STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Ct|Square|Terrace|rue|avenue|boulevard|place|Calle|Avenida|Plaza|bis|ter|de|del|la|du|des"
+#: One of these is in every text that the patterns for birth dates and addresses can match: looking for them is quick.
+_CUES = ("born", "birth", "dob", "geboren", "geburtsdatum", "né", "naissance", "nacid", "nacimiento", "родил", "рождения")
+_STREET_WORDS = (" Street", " St", " Road", " Rd", " Avenue", " Ave", " Lane", " Ln", " Drive", " Boulevard", " Blvd", " Court", " Ct", " Square", " Terrace", "straße ", "strasse ", "gasse ", "allee ", "platz ", "weg ", " rue ", " avenue ", " boulevard ", " place ", "Calle ", "Avenida ", "Plaza ")
+_STREET_END = re.compile("straße|strasse|gasse|allee|platz|weg")
+_ADDRESS = re.compile(r"(?<!\w)\d{1,5} (?:[^\W\d_a-z][\w'’]+ ){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Ct|Square|Terrace)\b|(?<!\w)[A-ZÄÖÜ][a-zäöüß]{2,}(?:straße|strasse|gasse|allee|platz|weg) \d{1,4}(?!\w)|(?<!\w)\d{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place) (?:de la |du |des |de )?[A-ZÀ-Þ]\w+(?:[ -][A-ZÀ-Þ]\w+){0,3}|(?<!\w)(?:Calle|Avenida|Plaza) (?:de la |del |de )?[A-ZÀ-Þ]\w+(?: [A-ZÀ-Þ]\w+){0,3},? \d{1,4}(?!\w)")
+_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_BEFORE_TITLE = re.compile(rf"[{_SURNAMES}][\u4e00-\u9fff]{{1,2}}(?=先生|女士|小姐|太太)|(?:[\u4e00-\u9fff]{{1,4}}|[\u30a1-\u30fa\u30fc]{{2,8}})(?=さん|様|氏)|(?<!\w)[\uac00-\ud7a3]{{2,4}}(?= 씨)")
+_AFTER_TITLE = re.compile(r"(?<!\w)(?:السيدة|السيد|الدكتورة|الدكتور) ([\u0621-\u064a]{2,})|(?<!\w)(?:श्रीमती|श्री|डॉ\.) ([\u0905-\u0963]{2,})|(?<!\w)(?:גברת|מר|ד״ר) ([\u05d0-\u05ea]{2,})")
+_GIVEN = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_KNOWN, key=lambda n: (-len(n), n)))}) ([^\W\d_][^\W\d_]+)(?!\w)")
+_GIVEN_WORDS = tuple(f"{n} " for n in _KNOWN)
+#: Endings of names that tell the gender of who bears them; they stay.
+_ENDING = re.compile(r"(?:(?:ов|ев|ёв|ин|ын)а?|ск(?:ий|ая)|[aoаяα])\Z", re.IGNORECASE)
+
+
+def _told(text: str, words: tuple[str, ...]) -> bool:
+    return any(w in text for w in words)
+
+
+def fold(text: str) -> str:
+    """text with the digits of all scripts and full-width forms as plain ones, character by character."""
+    if text.isascii() or not _WIDE.search(text):
+        return text
+    return _WIDE.sub(lambda m: chr(ord(m[0]) - 0xFEE0) if "\uff01" <= m[0] <= "\uff5e" else str(unicodedata.digit(m[0])), text)
+
+
+def _dressed(was: str, plain: str, made: str) -> str:
+    """made, the surrogate of plain, in the digits and forms that was, the original, has in place of the plain ones."""
+    if was == plain:
+        return made
+
+    def like(old: str, new: str) -> str:
+        if "\uff01" <= old <= "\uff5e" and "!" <= new <= "~":
+            return chr(ord(new) + 0xFEE0)
+        return chr(ord(old) - unicodedata.digit(old) + int(new)) if old.isdecimal() and new in "0123456789" else new
+
+    if len(made) == len(was):
+        return "".join(n if o == p else like(o, n) for o, p, n in zip(was, plain, made, strict=True))
+    first = next((o for o, p in zip(was, plain, strict=True) if o != p and o.isdecimal()), "0")
+    return "".join(like(first, n) if n.isdecimal() else n for n in made)
+
+
+def _day(value: str) -> tuple[date, str] | None:
+    """A date and its form ("y-m-d", "dmy", "mdy", "d month", "month d"), if it is one from 1900 to 2099.
+
+    Of two numbers in front of the year the second is the month, unless only the first can be one.
+    """
+    m = _DATE.fullmatch(value)
+    if not m:
+        return None
+    if m["y"]:
+        y, month, day, form = m["y"], m["m"], m["d"], "y-m-d"
+    elif m["sep"]:
+        american = int(m["a"]) <= 12 < int(m["b"])
+        y, month, day, form = (m["y2"], m["a"], m["b"], "mdy") if american else (m["y2"], m["b"], m["a"], "dmy")
+    else:
+        named = m["m3"] or m["m4"]
+        y, month, day, form = m["y3"] or m["y4"], MONTHS.index(named) + 1, m["d3"] or m["d4"], "d month" if m["m3"] else "month d"
+    try:
+        found = date(int(y), int(month), int(day))
+    except ValueError:
+        return None
+    return (found, form) if 0 <= found.toordinal() - _FIRST_DAY < _DAYS else None
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -106,12 +215,21 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
+    text = fold(text)
 
     def take(kind: str, spans: list[tuple[int, int]]) -> None:
+        """Notes spans and blanks them out of the text, all at once."""
         nonlocal text
-        for a, b in spans:
-            found.append((a, b, kind))
-            text = f"{text[:a]}{chr(0) * (b - a)}{text[b:]}"
+        if spans:
+            spans.sort()
+            parts, done = [], 0
+            for a, b in spans:
+                if a < done:
+                    continue
+                found.append((a, b, kind))
+                parts += [text[done:a], chr(0) * (b - a)]
+                done = b
+            text = "".join([*parts, text[done:]])
 
     if "@" in text:
         spans, floor = [], 0
@@ -127,22 +245,25 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         take("email", spans)
     if "::" in text:
         take("ip6", [m.span() for m in _IP6_SHORT.finditer(text) if any(_groups(m[0]) or ())])
-    if not _DIGIT.search(text):
-        take("name", _names(text))
-        return sorted(found)
-    take("iban", [m.span() for m in _IBAN.finditer(text) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and _iban_ok(v)])
-    take("card", [m.span() for m in _CARD.finditer(text)])
-    take("ip", [m.span() for m in _IP4.finditer(text)])
-    if text.count(":") >= 7:
-        take("ip6", [m.span() for m in _IP6.finditer(text) if any(_groups(m[0]) or ())])
-    take("ssn", [m.span() for m in _SSN.finditer(text)])
-    take("phone", [m.span() for m in _PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15])
+    if _DIGIT.search(text):
+        take("iban", [m.span() for m in _IBAN.finditer(text) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and _iban_ok(v)])
+        take("card", [m.span() for m in _CARD.finditer(text)])
+        take("ip", [m.span() for m in _IP4.finditer(text)])
+        if text.count(":") >= 7:
+            take("ip6", [m.span() for m in _IP6.finditer(text) if any(_groups(m[0]) or ())])
+        take("ssn", [m.span() for m in _SSN.finditer(text)])
+        if _told(text.lower(), _CUES):
+            take("birth", [d.span() for m in _BORN.finditer(text) if (d := _DATE.match(text, m.end()))])
+        take("phone", [m.span() for m in _PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15])
+        if _told(text, _STREET_WORDS):
+            take("address", [m.span() for m in _ADDRESS.finditer(text)])
     take("name", _names(text))
     return sorted(found)
 
 
 def _names(text: str) -> list[tuple[int, int]]:
-    """Up to three capitalised words after a title, and where else the text has them, together or one by one."""
+    """Up to three capitalised words after a title, a known given name with a capitalised word, names beside titles of
+    scripts without capitals, and where else the text has them, together or one by one."""
     out: list[tuple[int, int]] = []
     for m in _NAME.finditer(text):
         end, first = m.start(3), True
@@ -152,20 +273,34 @@ def _names(text: str) -> list[tuple[int, int]]:
             end, first = m.start(3) + part.end(), False
         if not first and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
             out.append((m.start(3), end))
+    if _told(text, _GIVEN_WORDS):
+        out += [m.span() for m in _GIVEN.finditer(text) if m[1][0].isupper()]
+    joined = []
+    if not text.isascii():
+        joined = [m.span() for m in _BEFORE_TITLE.finditer(text)]
+        out += joined + [m.span(m.lastindex) for m in _AFTER_TITLE.finditer(text)]
     if not out:
         return out
+    out = _disjoint(out)
     wholes = {text[a:b] for a, b in out}
     parts = {w for name in wholes for w in re.split("[ -]", name)}
-    plain = {w for w in {w.lower() for w in parts} if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)}
+    plain = {w for w in {w.lower() for w in parts} if w not in parts and re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)}
     wanted = wholes | {w for w in parts if w.lower() not in plain}
-    again = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w) for w in sorted(wanted, key=lambda w: (-len(w), w))) + r")(?!\w)")
-    taken = sorted(out)
-    at = 0
-    for m in again.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        if at == len(taken) or m.end() <= taken[at][0]:
-            out.append(m.span())
+    run_on = {text[a:b] for a, b in joined}  # scripts without spaces: a name of two letters or more counts anywhere
+
+    def listed(words: set[str]) -> str:
+        return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+    patterns = [rf"(?<!\w)(?:{listed(wanted)})(?!\w)", *([listed({w for w in run_on if len(w) > 1})] if any(len(w) > 1 for w in run_on) else [])]
+    return _disjoint(out + [m.span() for m in re.finditer("|".join(patterns), text)])
+
+
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of overlapping spans the first, and of those the longest."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -202,13 +337,13 @@ class Surrogates:
                 break
         return self._feistel(out, radix, tweak, True)
 
-    def chars(self, value: str, tweak: str, alphabets: list[str | None] | None = None, cased: bool = False) -> str:
+    def chars(self, value: str, tweak: str, alphabets: list[str | None] | None = None, cased: bool = False, ending: int = 0) -> str:
         """value with every character of a class replaced within the class; others, and None in alphabets, stay.
 
-        cased: values that differ in case are different.
+        cased: values that differ in case are different; ending: that many characters at the end stay.
         """
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-        own = alphabets or [(_CAPITALS if cased and c != v else _CLASS).get(c) for c, v in zip(low, value, strict=True)]
+        own = alphabets or [None if i >= len(value) - ending else (_capitals if cased and c != v else _letters)(c) for i, (c, v) in enumerate(zip(low, value, strict=True))]
         at = [i for i, a in enumerate(own) if a and low[i] in a]
         if not at:
             return value
@@ -298,17 +433,60 @@ class Surrogates:
         if word in _KNOWN:
             order = _order(self.key, *_KNOWN[word])
             return order[(order.index(word) + 1) % len(order)]
-        made = self.chars(word, "name", cased=True)
+        marked = _ENDING.search(word)
+        ending = len(marked[0]) if marked and len(word) - len(marked[0]) >= 3 else 0
+        made = self.chars(word, "name", cased=True, ending=ending)
         while made in _KNOWN:
-            made = self.chars(made, "name", cased=True)
+            made = self.chars(made, "name", cased=True, ending=ending)
         return made
 
+    def _birth(self, value: str) -> str:
+        """Another day, past the 12th of its month if the value's is, so that its form can be read in no other way."""
+        known = _day(value)
+        if not known:
+            made = self._digits(value, "date")
+            while _day(made):
+                made = self._digits(made, "date")
+            return made
+        at, late = known[0].toordinal() - _FIRST_DAY, known[0].day > 12
+        while True:
+            high, low = self._permute([at // 256, at % 256], [_DAYS // 256 + 1, 256], "birth")
+            at = high * 256 + low
+            if at < _DAYS and (date.fromordinal(_FIRST_DAY + at).day > 12) == late:
+                break
+        day, form = date.fromordinal(_FIRST_DAY + at), known[1]
+        if form == "y-m-d":
+            return day.isoformat()
+        if form == "d month":
+            return f"{day.day} {MONTHS[day.month - 1]} {day.year}"
+        if form == "month d":
+            return f"{MONTHS[day.month - 1]} {day.day}, {day.year}"
+        m = _DATE.fullmatch(value)
+        short = len(m["a"] + m["b"]) < 4 and not (m["a"] + m["b"]).startswith("0") and m["b"][0] != "0"
+        first, second = (day.month, day.day) if form == "mdy" else (day.day, day.month)
+        return m["sep"].join([str(first) if short else f"{first:02d}", str(second) if short else f"{second:02d}", str(day.year)])
+
+    def _address(self, value: str) -> str:
+        """House numbers and the words of the street's name; kinds of streets stay."""
+        out = []
+        for part in re.split(r"(\d+|[^\W\d_]+)", value):
+            end = _STREET_END.search(part)
+            if part.isdigit():
+                out.append(self._digits(part, "house"))
+            elif end and part.endswith(end[0]) and end.start():
+                out.append(self.chars(part, "street", cased=True, ending=len(part) - end.start()))
+            elif part in _STREETS.split("|"):
+                out.append(part)
+            else:
+                out.append(self.chars(part, "street", cased=True))
+        return "".join(out)
+
     def _name(self, value: str) -> str:
         return "".join(p if p in (" ", "-") else self._word(p) for p in re.split("([ -])", value))
 
     def of(self, kind: str, value: str) -> str:
         """The surrogate of a value."""
-        made = {"email": self._email, "phone": self._phone, "card": self._card, "iban": self._iban, "ip": self._ip, "ip6": self._ip6, "ssn": lambda v: self._digits(v, "ssn")}
+        made = {"email": self._email, "phone": self._phone, "card": self._card, "iban": self._iban, "ip": self._ip, "ip6": self._ip6, "ssn": lambda v: self._digits(v, "ssn"), "birth": self._birth, "address": self._address}
         return made.get(kind, self._name)(value)
 
 
@@ -332,6 +510,9 @@ def _normal(kind: str, value: str) -> str:
         return re.sub("[ -]", "", value)
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "birth":
+        known = _day(value)
+        return known[0].isoformat() if known else value
     if kind == "ip6":
         return str(ipaddress.IPv6Address(value))
     return value
@@ -344,7 +525,8 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
         return text, []
     out, done, entities = [], 0, []
     for a, b, kind in spans:
-        made = surrogates.of(kind, text[a:b])
+        plain = fold(text[a:b])
+        made = _dressed(text[a:b], plain, surrogates.of(kind, plain))
         out += [text[done:a], made]
         done = b
         entities.append((a, b, kind, made))
@@ -354,8 +536,14 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
 RESULT = "struct<text:string,n_entities:long,entities:string>"
 
 
-def with_surrogates(docs: DataFrame, out_col: str = "safe", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def key_of(spark) -> str:
+    """The key that the session names, or that of this process."""
+    return spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY
+
+
+def with_surrogates(docs: DataFrame, out_col: str = "safe", text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with a column of (text with surrogates, number of entities, kind:start:end of each, comma-joined)."""
+    key = key or key_of(docs.sparkSession)
 
     @F.arrow_udf(RESULT)
     def safe(texts: pa.Array) -> pa.Array:
@@ -367,15 +555,16 @@ def with_surrogates(docs: DataFrame, out_col: str = "safe", text_col: str = "tex
     return docs.withColumn(out_col, safe(F.col(text_col).cast("string")))
 
 
-def pairs(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pairs(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """kind, value (normalised), surrogate (normalised) of every entity."""
+    key = key or key_of(docs.sparkSession)
 
     @F.arrow_udf("array<struct<kind:string,value:string,surrogate:string>>")
     def listed(texts: pa.Array) -> pa.Array:
         own, out = Surrogates(key), []
         for t in texts:
             text = t.as_py()
-            out.append([{"kind": k, "value": _normal(k, text[a:b]), "surrogate": _normal(k, s)} for a, b, k, s in replace(text, own)[1]])
+            out.append([{"kind": k, "value": _normal(k, fold(text[a:b])), "surrogate": _normal(k, fold(s))} for a, b, k, s in replace(text, own)[1]])
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())])))
 
     return docs.select(F.inline(listed(F.col(text_col).cast("string"))))
@@ -394,8 +583,8 @@ def op7_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     return with_surrogates(docs).select("doc_id", "safe.text", "safe.n_entities", "safe.entities")
 
 
-def replaced(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in text and n_chars to match, other columns as they are."""
-    done = with_surrogates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text")), key=key)
+    done = with_surrogates(docs.select(packed(docs).alias("doc"), F.col("text")), key=key)
     new = {"text": F.col("safe.text"), "n_chars": F.coalesce(F.length("safe.text"), F.lit(0)).cast("long")}
-    return done.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
