@@ -6,7 +6,9 @@ Base spans come from three fixed patterns.  The method adds strings that a byte-
 short numbers, or touches a base span.  Of a run that is not reported as a whole, the stretches between separators and
 parts encoded well (words) are judged in the same way, so that words of a path do not hide a string among them.
 
-Defined results: null text is as empty text, no spans; spans are code points, end exclusive; each row is judged alone.
+Defined results: null text is as empty text, no spans; spans are code points, end exclusive; each row is judged alone, also
+equal ones; very long texts are read whole, in time that grows with their length; an empty table has no rows; only id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,9 +107,18 @@ def _stretches(value: str, enc) -> list[tuple[int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, str]], enc) -> list[tuple[int, int, str]]:
     out = []
+    starts: list[int] = []
+    ends: list[int] = []  # the base spans, merged where they overlap
+    for x, y, _ in sorted(base):
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
 
     def take(a: int, b: int) -> bool:
-        if any(a < y and x < b for x, y, _ in base) or not _is_random(text[a:b], enc):
+        i = bisect_right(ends, a)  # the first that ends behind a
+        if (i < len(starts) and starts[i] < b) or not _is_random(text[a:b], enc):
             return False
         out.append((a, b, "random"))
         return True
