@@ -1,16 +1,20 @@
 """Edit-aware token counts: a segment tree over the pre-tokens of each document.
 
 A byte-pair encoder never merges across pre-tokens, so a text's token count is the sum over its pre-tokens.  A tree
-keeps, for each pre-token, its characters and tokens (leaves), and over blocks of leaves the sums.  An edit replaces
-characters [start, end) by a string: the tree is descended to the block of the edit, pre-tokens are cut anew from the
-last boundary that lies at least CONTEXT characters before the edit (no rule of the split pattern looks further ahead)
+keeps, for each pre-token, its characters and tokens (leaves), and over blocks of leaves a binary tree of sums.  Edits
+replace characters [start, end) by strings.  For each the tree is descended to its block, and pre-tokens are cut anew from
+the last boundary that lies at least CONTEXT characters before the edit (no rule of the split pattern looks further ahead)
 until a new boundary behind the edit falls on an old one (the pattern never looks back, so all later boundaries agree);
-only these pre-tokens are encoded, and the sums of the blocks above them are updated.
+only these pre-tokens are encoded, and the sums of the blocks above them are updated.  All edits of a text go in one sweep.
 
-Trees live in a table as struct<lens array<int>, counts array<int>> beside the text, so later edits need no new count.
+Trees live whole in a table, leaves and sums, as struct<lens, counts, sizes, chars, tokens> beside the text, so that later
+edits need no new count: lens and counts of the leaves, leaves of each block, and the sums as an implicit binary tree, its
+root at index 1.
 
-Defined results: null text counts as empty; edits of a document must not overlap, are given in the coordinates of the
-text before all of them, and are clipped to it; a null replacement is empty; repeated rows are counted one by one.
+Defined results: null text counts as empty; edits of a document are given in the coordinates of the text before all of
+them and clipped to it; what an earlier one (by start, then end) replaces is left out of a later one; a null replacement is
+empty; repeated rows are counted one by one; an edit of an unknown document changes nothing; very long texts are read whole.
+A document and its edits must fit into one task's memory.
 """
 
 from __future__ import annotations
@@ -51,110 +55,157 @@ class Counter:
 class TokenTree:
     """Leaves in blocks, and a binary tree of (characters, tokens) sums over the blocks."""
 
-    def __init__(self, text: str, counter: Counter, lens: Iterable[int] | None = None, counts: Iterable[int] | None = None):
+    def __init__(self, text: str, counter: Counter, kept: dict | None = None):
+        """kept: the arrays of an earlier tree of the same text, which are taken as they are."""
         self.text, self.counter = text, counter
-        if lens is None:
-            pieces = _SPLIT.findall(text)
-            lens, counts = [len(p) for p in pieces], list(map(counter.of, pieces))
-        lens, counts = list(lens), list(counts)
-        self.blocks = [(lens[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(lens), BLOCK)] or [([], [])]
-        self._grow()
-
-    def _grow(self) -> None:
-        size = 1 << max(0, (len(self.blocks) - 1).bit_length())
-        self.size, self.chars, self.tokens = size, np.zeros(2 * size, np.int64), np.zeros(2 * size, np.int64)
-        self.chars[size : size + len(self.blocks)] = [sum(b[0]) for b in self.blocks]
-        self.tokens[size : size + len(self.blocks)] = [sum(b[1]) for b in self.blocks]
-        level = size
-        while level > 1:
-            half = level // 2
-            self.chars[half:level] = self.chars[level : 2 * level].reshape(-1, 2).sum(1)
-            self.tokens[half:level] = self.tokens[level : 2 * level].reshape(-1, 2).sum(1)
-            level = half
+        if kept is not None:
+            self.lens, self.counts, self.sizes, self.chars, self.tokens = (np.array(kept[k]) for k in PARTS)
+            return
+        pieces = _SPLIT.findall(text)
+        n = len(pieces)
+        self.lens, self.counts = np.fromiter(map(len, pieces), np.int32, n), np.fromiter(map(counter.of, pieces), np.int32, n)
+        self._grow(np.diff(np.append(np.arange(0, max(n, 1), BLOCK), n)))
+
+    def _grow(self, sizes: np.ndarray) -> None:
+        """The sums over blocks of so many leaves."""
+        self.sizes = sizes.astype(np.int32)
+        size = 1 << max(0, (len(sizes) - 1).bit_length())
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        out = []
+        for values in (self.lens, self.counts):
+            sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[cuts]
+            tree = np.zeros(2 * size, np.int64)
+            tree[size : size + len(sizes)] = np.diff(sums)
+            level = size
+            while level > 1:
+                tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(1)
+                level //= 2
+            out.append(tree)
+        self.chars, self.tokens = out
+
+    def arrays(self) -> dict:
+        return {k: getattr(self, k) for k in PARTS}
 
     @property
     def total(self) -> int:
         return int(self.tokens[1])
 
     def leaves(self) -> tuple[list[int], list[int]]:
-        return [n for b in self.blocks for n in b[0]], [n for b in self.blocks for n in b[1]]
+        return self.lens.tolist(), self.counts.tolist()
 
     def _find(self, at: int) -> tuple[int, int]:
         """The block that holds character at (the last one for the end of the text) and where it begins."""
-        node, begin = 1, 0
-        while node < self.size:
+        node, begin, low, span = 1, 0, 0, len(self.chars) // 2
+        while span > 1:
+            span //= 2
             node *= 2
-            if at >= begin + self.chars[node] and node + 1 - (self.size if node >= self.size else 0) < (len(self.blocks) if node >= self.size else 1 << 62):
+            if low + span < len(self.sizes) and at >= begin + self.chars[node]:
                 begin += int(self.chars[node])
+                low += span
                 node += 1
-        block = min(node - self.size, len(self.blocks) - 1)
-        return block, begin if block == node - self.size else int(sum(self.chars[self.size : self.size + block]))
-
-    def _update(self, block: int) -> None:
-        node = self.size + block
-        self.chars[node], self.tokens[node] = sum(self.blocks[block][0]), sum(self.blocks[block][1])
-        while node > 1:
-            node //= 2
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        return low, begin
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Replaces [start, end); returns how many pre-tokens were encoded."""
-        size = len(self.text)
-        start = max(0, min(start, size))
-        end = max(start, min(end, size))
-        # the last boundary at least CONTEXT characters before the edit
-        first, begin = self._find(max(0, start - CONTEXT))
-        keep, at = 0, begin
-        for n in self.blocks[first][0]:
-            if at + n > start - CONTEXT:
-                break
-            at += n
-            keep += 1
-        self.text = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        # old boundaries from the end of the edit on, one after another
-        last, i, old = first, keep, at
-        lens: list[int] = []
-        counts: list[int] = []
-        done = False
-        for m in _SPLIT.finditer(self.text, at):
-            here = m.start()
-            if here >= start + len(new):
-                while old < here - shift:
-                    while i >= len(self.blocks[last][0]):
-                        last, i = last + 1, 0
-                    old += self.blocks[last][0][i]
-                    i += 1
-                if old == here - shift:
-                    done = True
-                    break
-            lens.append(m.end() - here)
-            counts.append(self.counter.of(m[0]))
-        if not done:
-            last, i = len(self.blocks) - 1, len(self.blocks[-1][0])
-        head, tail = self.blocks[first], self.blocks[last]
-        if first == last:
-            own = (head[0][:keep] + lens + head[0][i:], head[1][:keep] + counts + head[1][i:])
-            self.blocks[first] = own
-        else:
-            self.blocks[first] = (head[0][:keep] + lens, head[1][:keep] + counts)
-            for b in range(first + 1, last):
-                self.blocks[b] = ([], [])
-            self.blocks[last] = (tail[0][i:], tail[1][i:])
-        if len(self.blocks[first][0]) > 4 * BLOCK:
-            big = self.blocks[first]
-            self.blocks[first : first + 1] = [(big[0][j : j + BLOCK], big[1][j : j + BLOCK]) for j in range(0, len(big[0]), BLOCK)]
-            self._grow()
-        else:
-            for b in range(first, last + 1):
-                self._update(b)
-        return len(lens)
-
-
-TREE = "struct<lens:array<int>,counts:array<int>>"
-_TREE = pa.struct([("lens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-_AFTER = pa.struct([("text", pa.string()), ("tree", _TREE), ("n_encoded", pa.int64())])
+        return self.edit_all([(start, end, new)])
+
+    def _spliced(self, edits: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
+        """Makes the new text; the edits as (start, end) before and after."""
+        size, done, at = len(self.text), 0, 0
+        pieces, spans = [], []
+        for a, b, new in sorted(edits, key=lambda e: e[:2]):
+            a = max(done, min(a, size))
+            b = max(a, min(b, size))
+            pieces += [self.text[done:a], new]
+            at += a - done
+            spans.append((a, b, at, at + len(new)))
+            done, at = b, at + len(new)
+        self.text = "".join([*pieces, self.text[done:]])
+        return spans
+
+    def edit_all(self, edits: Iterable[tuple[int, int, str]]) -> int:
+        """Replaces all [start, end) of the text as it is; returns how many pre-tokens were encoded."""
+        spans = self._spliced(edits)
+        lens, starts = self.lens, np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        changes: list[tuple[int, int, int, list[int], list[int]]] = []  # block, leaves from p to q, what takes their place
+        k, n = 0, len(lens)
+        while k < len(spans):
+            # the last boundary at least CONTEXT characters before the edit
+            limit = spans[k][0] - CONTEXT
+            block, at = self._find(max(0, limit))
+            p, last = int(starts[block]), int(starts[block + 1])
+            while p < last and at + lens[p] <= limit:
+                at += int(lens[p])
+                p += 1
+            q, old = p, at
+            new_lens: list[int] = []
+            new_counts: list[int] = []
+            for m in _SPLIT.finditer(self.text, at + (spans[k - 1][3] - spans[k - 1][1] if k else 0)):
+                here = m.start()
+                while k + 1 < len(spans) and here > spans[k + 1][2] - CONTEXT:
+                    k += 1  # too near to the next edit to stop before it
+                shift = spans[k][3] - spans[k][1]
+                if here >= spans[k][3]:
+                    while old < here - shift:
+                        old += int(lens[q])
+                        q += 1
+                    if old == here - shift:
+                        break
+                new_lens.append(m.end() - here)
+                new_counts.append(self.counter.of(m[0]))
+            else:
+                q, k = n, len(spans)  # cut anew to the end
+            changes.append((block, p, q, new_lens, new_counts))
+            k += 1
+        self._put(changes, starts)
+        return sum(len(c[3]) for c in changes)
+
+    def _put(self, changes: list[tuple[int, int, int, list[int], list[int]]], starts: np.ndarray) -> None:
+        """Takes the changes over into leaves and blocks, and updates the sums above them."""
+        sizes, touched = self.sizes.copy(), set()
+        parts: tuple[list, list] = ([], [])
+        done = 0
+        for block, p, q, lens, counts in changes:
+            for out, old, new in zip(parts, (self.lens, self.counts), (lens, counts), strict=True):
+                out += [old[done:p], np.array(new, np.int32)]
+            done = q
+            sizes[block] += len(lens)
+            touched.add(block)
+            b = block
+            while b < len(sizes) and starts[b] < q:
+                sizes[b] -= max(0, min(q, int(starts[b + 1])) - max(p, int(starts[b])))
+                touched.add(b)
+                b += 1
+        self.lens, self.counts = (np.concatenate([*out, old[done:]]) for out, old in zip(parts, (self.lens, self.counts), strict=True))
+        if sizes.max() > 4 * BLOCK:
+            self._grow(np.concatenate([np.diff(np.append(np.arange(0, max(s, 1), BLOCK), s)) for s in sizes]))
+            return
+        self.sizes = sizes
+        starts, size = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), len(self.chars) // 2
+        for b in touched:
+            self.chars[size + b] = self.lens[starts[b] : starts[b + 1]].sum()
+            self.tokens[size + b] = self.counts[starts[b] : starts[b + 1]].sum()
+        nodes = {(size + b) // 2 for b in touched}
+        while nodes and 0 not in nodes:
+            for node in nodes:
+                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
+                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+            nodes = {node // 2 for node in nodes}
+
+
+PARTS = {"lens": pa.int32(), "counts": pa.int32(), "sizes": pa.int32(), "chars": pa.int64(), "tokens": pa.int64()}
+TREE = f"struct<{','.join(f'{k}:array<{v}>'.replace('int32', 'int').replace('int64', 'long') for k, v in PARTS.items())}>"
+
+
+def _trees(trees: list[TokenTree | None]) -> pa.StructArray:
+    parts = []
+    for k, kind in PARTS.items():
+        own = [getattr(t, k) if t else np.empty(0, kind.to_pandas_dtype()) for t in trees]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in own], dtype=np.int64))).astype(np.int32)
+        parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else [], kind)))
+    return pa.StructArray.from_arrays(parts, list(PARTS), mask=pa.array([t is None for t in trees], pa.bool_()))
+
+
 _counters: dict[int, Counter] = {}
 
 
@@ -167,25 +218,20 @@ def _counter(shared) -> Counter:
 
 
 def tree_of(spark, text: Column, vocabulary_path: str = DEFAULT_VOCABULARY) -> Column:
-    """The leaves of the tree of a text."""
+    """The tree of a text."""
     shared = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     @F.arrow_udf(TREE)
     def grow(texts: pa.Array) -> pa.Array:
-        counter, lens, counts, ends = _counter(shared), [], [], [0]
-        for t in texts:
-            pieces = _SPLIT.findall(t.as_py() or "")
-            lens.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
-            counts.append(np.fromiter(map(counter.of, pieces), np.int32, len(pieces)))
-            ends.append(ends[-1] + len(pieces))
-        parts = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (lens, counts)]
-        return pa.StructArray.from_arrays(parts, ["lens", "counts"])
+        counter = _counter(shared)
+        return _trees([TokenTree(t.as_py() or "", counter) for t in texts])
 
     return grow(text)
 
 
 def n_tokens(tree: Column) -> Column:
-    return F.aggregate(tree["counts"], F.lit(0).cast("long"), lambda a, n: a + n)
+    """The sum at the root."""
+    return F.element_at(tree["tokens"], 2)
 
 
 def edited(spark, text: Column, tree: Column, edits: Column, vocabulary_path: str = DEFAULT_VOCABULARY) -> Column:
@@ -194,17 +240,17 @@ def edited(spark, text: Column, tree: Column, edits: Column, vocabulary_path: st
 
     @F.arrow_udf(f"struct<text:string,tree:{TREE},n_encoded:long>")
     def apply(texts: pa.Array, trees: pa.Array, changes: pa.Array) -> pa.Array:
-        counter, out = _counter(shared), []
+        counter, grown, counted = _counter(shared), [], []
         for t, old, e in zip(texts, trees, changes, strict=True):
-            own = sorted(((x["a"], x["b"], x["new"] or "") for x in (e.as_py() or [])), reverse=True)
-            if not own:
-                out.append({"text": t.as_py(), "tree": None, "n_encoded": 0})
-                continue
-            grown = TokenTree(t.as_py() or "", counter, old["lens"].values.to_numpy(), old["counts"].values.to_numpy())
-            n = sum(grown.edit(a, b, new) for a, b, new in own)  # from the end, so that earlier places hold
-            lens, counts = grown.leaves()
-            out.append({"text": grown.text, "tree": {"lens": lens, "counts": counts}, "n_encoded": n})
-        return pa.array(out, _AFTER)
+            own = [(x["a"], x["b"], x["new"] or "") for x in (e.as_py() or [])]
+            if own:
+                grown.append(TokenTree(t.as_py() or "", counter, {k: old[k].values.to_numpy() for k in PARTS}))
+                counted.append(grown[-1].edit_all(own))
+            else:
+                grown.append(None)
+                counted.append(0)
+        text = pa.array([g.text if g else t.as_py() for g, t in zip(grown, texts, strict=True)], pa.string())
+        return pa.StructArray.from_arrays([text, _trees(grown), pa.array(counted, pa.int64())], ["text", "tree", "n_encoded"])
 
     done = apply(text, tree, edits)
     return F.struct(done["text"].alias("text"), F.coalesce(done["tree"], tree).alias("tree"), done["n_encoded"].alias("n_encoded"))
