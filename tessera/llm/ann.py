@@ -1,23 +1,26 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy graph search.
 
-Equal vectors are one node, named by the smallest vec_id.  The graph starts from random-projection trees (planes drawn
+Equal vectors are one node, with a number of its own.  The graph starts from random-projection trees (planes drawn
 from a bounded sample, blocks of bounded size, every node in one block of each tree) and is improved in rounds of joins
 of neighbours of neighbours: each node gathers a sample of its neighbours and of the nodes it is a neighbour of, they
 are compared with each other, and each takes what beats the last entry of its own list.  Only pairs with an entry not
-compared before are tried.  Rounds end when few lists change.
+compared before are tried.  Rounds end when few lists change (LEAST_CHANGE of their entries).
 
 A search starts at the query's own list and goes on greedily: of the best POOL nodes seen, those not yet opened are
 opened together, their neighbours in both directions scored, until no query has one left to open.
 
-Vectors travel as 16-bit integers with a scale; the nearest found are scored again in double precision on the original
-vectors.  Defined results: rows with a null id or vector, a vector of zeros, with null or non-finite components, or of
+Long vectors are near to most others by inner product: nodes that are neighbours of many are looked up with their rows
+spread, not shuffled to one place.  Vectors travel as 16-bit integers with a scale; the nearest found are scored again in
+double precision on the original vectors.  Defined results: rows with a null id or vector, a vector of zeros, with null or non-finite components, or of
 another length than most vectors take no part; equal vectors tie and come by id; with fewer candidates than k all are
-returned.  Rows that repeat an id are separate candidates; a query leaves out the rows of its own id.
+returned.  Rows that repeat an id are separate candidates; a query leaves out the rows of its own id; an empty table has no
+rows.  Only the id and vector columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,13 @@ from tessera.llm.common import cut, lookup, table
 NEIGHBOURS, SAMPLE, PROPOSALS = 40, 24, 8
 #: Trees, nodes of a block, first neighbours from a block, vectors drawn for the planes, levels of a tree.
 TREES, BLOCK, FIRST, PLANES, DEPTH = 4, 512, 12, 2048, 12
-ROUNDS, LEAST_CHANGE, POOL, MAX_HOPS = 6, 0.03, 120, 8
+LEAST_CHANGE, POOL = 0.03, 120
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v of the rows that take part."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     own = own.filter(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
     sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return own.filter(F.size("v") == (sizes.d if sizes else 0))
@@ -52,12 +55,14 @@ def _stack(vectors: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(vectors.to_pylist()), np.int16).reshape(n, -1).astype(np.float32)
 
 
-@F.arrow_udf(T.StructType([T.StructField("q", T.BinaryType()), T.StructField("s", T.FloatType())]))
+@F.arrow_udf(T.StructType([T.StructField("q", T.BinaryType()), T.StructField("s", T.DoubleType())]))
 def _packed(vectors: pa.Array) -> pa.Array:
-    m = np.array(vectors.to_pylist(), np.float32) if len(vectors) else np.empty((0, 1), np.float32)
-    scale = np.abs(m).max(1) / 32767 if len(m) else np.empty(0, np.float32)
-    q = np.round(m / np.maximum(scale, 1e-38)[:, None]).astype(np.int16)
-    return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in q], pa.binary()), pa.array(scale.astype(np.float32))], ["q", "s"])
+    if not len(vectors):
+        return pa.StructArray.from_arrays([pa.array([], pa.binary()), pa.array([], pa.float64())], ["q", "s"])
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    most = np.abs(m).max(1)
+    q = np.round(m / most[:, None] * 32767).astype(np.int16)
+    return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in q], pa.binary()), pa.array(most / 32767)], ["q", "s"])
 
 
 def _tree_codes(nodes: DataFrame, n: int) -> Column:
@@ -65,7 +70,7 @@ def _tree_codes(nodes: DataFrame, n: int) -> Column:
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(PLANES).select("q", "s").toPandas()
     if not len(rows):
         return F.array(F.lit(0).cast("long"))
-    sample = np.frombuffer(b"".join(rows.q), np.int16).reshape(len(rows), -1).astype(np.float32) * rows.s.to_numpy()[:, None]
+    sample = np.frombuffer(b"".join(rows.q), np.int16).reshape(len(rows), -1).astype(np.float64) * rows.s.to_numpy()[:, None]
     depth = int(np.ceil(np.log2(max(1.0, n / BLOCK))))
     rng = np.random.default_rng(7)
     trees = []
@@ -73,10 +78,10 @@ def _tree_codes(nodes: DataFrame, n: int) -> Column:
         planes, cuts = [], []
         for _ in range(depth):
             a, b = rng.choice(len(sample), 2, replace=len(sample) < 2)
-            plane = sample[a] - sample[b] if len(planes) < DEPTH else rng.standard_normal(sample.shape[1]).astype(np.float32)
+            plane = sample[a] - sample[b] if len(planes) < DEPTH else rng.standard_normal(sample.shape[1])
             planes.append(plane)
             cuts.append(float(np.median(sample @ plane)))
-        trees.append((np.array(planes, np.float32).reshape(depth, sample.shape[1]), np.array(cuts, np.float32)))
+        trees.append((np.array(planes, np.float64).reshape(depth, sample.shape[1]), np.array(cuts, np.float64)))
 
     @F.arrow_udf("array<long>")
     def codes(vectors: pa.Array, scales: pa.Array) -> pa.Array:
@@ -124,18 +129,18 @@ def _best(sims: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-_EDGES = "u long, w long, sim float"
+_EDGES = "u long, w long, sim double"
 
 
 def _edges(u: list[np.ndarray], w: list[np.ndarray], sim: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(w)), pa.array(np.concatenate(sim).astype(np.float32))], ["u", "w", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(w)), pa.array(np.concatenate(sim).astype(np.float64))], ["u", "w", "sim"])
 
 
 def _compare(group: pa.Table, key: str, fresh: bool, most: int) -> Iterator[pa.RecordBatch]:
     """All members of each run of key with each other; fresh: only pairs with a fresh member, beating the member's worst."""
     keys = group.column(key).to_numpy()
     ids, scales = group.column("member").to_numpy(), group.column("s").to_numpy()
-    m = _stack(group.column("q")) * scales[:, None]
+    m = _stack(group.column("q"))
     new = group.column("fresh").to_numpy() if fresh else None
     worst = group.column("worst").to_numpy() if fresh else None
     starts = np.concatenate(([0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]))
@@ -143,7 +148,8 @@ def _compare(group: pa.Table, key: str, fresh: bool, most: int) -> Iterator[pa.R
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b - a < 2:
             continue
-        sims = m[a:b] @ m[a:b].T
+        with np.errstate(over="ignore"):
+            sims = (m[a:b] @ m[a:b].T) * scales[a:b, None] * scales[None, a:b]
         np.fill_diagonal(sims, -np.inf)
         if fresh:
             sims[~(new[a:b, None] | new[None, a:b])] = -np.inf
@@ -176,6 +182,13 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "w"))).filter(F.col("k") <= k).drop("k")
 
 
+def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left, a written table, with the columns of right, which has all its keys once; keys may be very frequent in left."""
+    rows = left.groupBy(key).agg(F.count("*").alias("rows"))
+    sums = rows.agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()
+    return lookup(left, right.join(rows, key), key, "rows", total=sums.n or 0, most=sums.most or 0)
+
+
 def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
     """u, w, sim, fresh from blocks of bounded size."""
     coded = cut(nodes.select("node", "q", "s", F.explode(_tree_codes(nodes, n)).alias("code")))
@@ -185,20 +198,20 @@ def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
     return cut(_top(edges.groupBy("u", "w").agg(F.max("sim").alias("sim")), k).withColumn("fresh", F.lit(True)))
 
 
-def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
     """The graph (u, w, sim) over nodes (node, q, s): NN-descent."""
     graph = first_graph(nodes, n, k)
-    for step in range(rounds):
+    for step in count():
         draw = F.xxhash64("u", "w", F.lit(step))
         mine = Window.partitionBy("u", "fresh").orderBy(draw, "w")
         graph = graph.withColumn("drawn", F.row_number().over(mine) <= SAMPLE)
         forth = graph.filter("drawn").select(F.col("u").alias("owner"), F.col("w").alias("member"), "fresh")
         theirs = Window.partitionBy("w", "fresh").orderBy(draw, "u")
         back = graph.withColumn("k", F.row_number().over(theirs)).filter(F.col("k") <= SAMPLE).select(F.col("w").alias("owner"), F.col("u").alias("member"), "fresh")
-        members = forth.unionAll(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh"))
-        last = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("sim")).select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-        carried = nodes.join(last, "node", "left").select(F.col("node").alias("member"), "q", "s", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-        found = _joined(members.join(carried, "member"), "owner", True, PROPOSALS)
+        members = cut(forth.unionAll(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh")))
+        last = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("sim")).select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("sim")).otherwise(F.lit(float("-inf"))).alias("worst"))
+        carried = nodes.join(last, "node", "left").select(F.col("node").alias("member"), "q", "s", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
+        found = _joined(_spread(members, carried, "member"), "owner", True, PROPOSALS)
         both = graph.select("u", "w", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(False).alias("found")).unionAll(found.withColumns({"fresh": F.lit(True), "found": F.lit(True)}))
         merged = both.repartition("u").groupBy("u", "w").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.min("found").alias("found"))
         after = cut(_top(merged, k))
@@ -209,12 +222,13 @@ def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -
     return graph.select("u", "w", "sim")
 
 
-@F.arrow_udf(T.FloatType())
+@F.arrow_udf(T.DoubleType())
 def _dot(a: pa.Array, sa: pa.Array, b: pa.Array, sb: pa.Array) -> pa.Array:
     if not len(a):
-        return pa.array([], pa.float32())
+        return pa.array([], pa.float64())
     dots = np.einsum("ij,ij->i", _stack(a), _stack(b)).astype(np.float64)
-    return pa.array((dots * sa.to_numpy(zero_copy_only=False) * sb.to_numpy(zero_copy_only=False)).astype(np.float32))
+    with np.errstate(over="ignore"):
+        return pa.array(dots * sa.to_numpy(zero_copy_only=False) * sb.to_numpy(zero_copy_only=False))
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
@@ -223,23 +237,23 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = P
     Each hop writes only what it adds; nodes scored before are looked up for the queries that are still on their way.
     """
     back = graph.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim")
-    ways = cut(graph.select("u", "w").unionAll(_top(back, NEIGHBOURS).select("u", "w")).distinct().select(F.col("u").alias("w"), F.col("w").alias("next")))
+    both = graph.select("u", "w").unionAll(_top(back, NEIGHBOURS).select("u", "w"))
+    ways = cut(both.groupBy(F.col("u").alias("w")).agg(F.collect_set("w").alias("nexts")))  # at most two lists a node
     asked = queries.select(F.col("node").alias("q")).join(nodes.select(F.col("node").alias("q"), F.col("q").alias("qv"), F.col("s").alias("qs")), "q")
     asked = cut(asked)
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "w")
     held = cut(graph.join(asked.select(F.col("q").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), "w", "sim", F.lit(False).alias("open")))
     seen = held.select("q", "w")
-    for _ in range(MAX_HOPS):
+    while True:
         front = held.filter("NOT open").select("q", "w")
         if not front.limit(1).count():
             break
-        reached = front.join(ways, "w").select("q", F.col("next").alias("w")).filter("q <> w").distinct()
-        fresh = reached.join(seen.join(front.select("q").distinct(), "q", "left_semi"), ["q", "w"], "left_anti")
-        scored = fresh.join(asked, "q").join(nodes.select(F.col("node").alias("w"), F.col("q").alias("wv"), "s"), "w")
-        scored = cut(scored.select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open")))
-        seen = seen.unionAll(scored.select("q", "w"))
-        both = held.withColumn("open", F.lit(True)).unionAll(scored)
-        held = cut(both.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= pool).drop("k"))
+        reached = _spread(front, ways, "w").select("q", F.explode("nexts").alias("w")).filter("q <> w").distinct()
+        fresh = cut(reached.join(seen.join(front.select("q").distinct(), "q", "left_semi"), ["q", "w"], "left_anti"))
+        seen = seen.unionAll(fresh)
+        scored = _spread(fresh, nodes.select(F.col("node").alias("w"), F.col("q").alias("wv"), "s"), "w").join(asked, "q").select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open"))
+        every = held.withColumn("open", F.lit(True)).unionAll(scored)
+        held = cut(every.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= pool).drop("k"))
     return held.select("q", "w", "sim")
 
 
@@ -251,14 +265,17 @@ def exact(a: str, b: str) -> Column:
 def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, neighbours: int = NEIGHBOURS, pool: int = POOL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of the rows for which is_query (of vec_id) holds."""
     own = cut(usable(rows, id_col, vector_col))
-    classes = cut(own.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
+    # numbered by partition and place in it, which are the same for the same table; ids may repeat
+    classes = own.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).sortWithinPartitions("v")
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     nodes = cut(classes.select("node", _packed("v").alias("p")).select("node", "p.q", "p.s"))
     graph = build(nodes, classes.count(), neighbours)
-    # the classes' rows: k + 1 of each are enough, one may be the query itself
+    # the classes' rows: k of each of k + 1 ids are enough, one id may be that of the query itself
     several = classes.filter("n > 1")
-    first = Window.partitionBy("node").orderBy("vec_id")
+    first, same = Window.partitionBy("node").orderBy("vec_id"), Window.partitionBy("node", "vec_id").orderBy("vec_id")
     members = lookup(own, several.select("v", "node", "n"), "v", "n").filter(F.col("node").isNotNull()).select("node", "vec_id")
-    members = members.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= k + 1).select("node", "vec_id").unionAll(classes.filter("n = 1").select("node", F.col("node").alias("vec_id")))
+    members = members.withColumn("k", F.row_number().over(same)).filter(F.col("k") <= k)
+    members = members.withColumn("k", F.dense_rank().over(first)).filter(F.col("k") <= k + 1).select("node", "vec_id").unionAll(classes.filter("n = 1").select("node", F.col("least").alias("vec_id")))
     asked = cut(lookup(own.filter(is_query), classes.select("v", "node", "n"), "v", "n").select(F.col("vec_id").alias("query_id"), "node"))
     askers = cut(asked.groupBy("node").agg(F.count("*").alias("n")))
     found = search(nodes, graph, askers.select("node"), pool)
@@ -267,9 +284,13 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     scored = near.join(vectors.select(F.col("node").alias("q"), F.col("v").alias("a")), "q").join(vectors.select(F.col("node").alias("w"), F.col("v").alias("b")), "w").select("q", "w", exact("a", "b").alias("score"))
     listed = scored.join(members.withColumnRenamed("node", "w"), "w")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    listed = listed.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= k + 1)
+    # k rows of an id at most, so that among 2k rows k are of other ids than the query's
+    own_best = Window.partitionBy("q", "vec_id").orderBy(F.desc("score"))
+    listed = listed.withColumn("k", F.row_number().over(own_best)).filter(F.col("k") <= k)
+    listed = listed.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2 * k)
     packed = listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near")).select(F.col("q").alias("node"), "near").join(askers, "node")
-    answered = lookup(asked, packed, "node", "n").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
+    packed = cut(packed)
+    answered = lookup(asked, packed, "node", "n", total=asked.count()).withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     return answered.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 
 

@@ -127,19 +127,21 @@ def sampled(rows: DataFrame, chosen: DataFrame, most: int, by: list[str]) -> Dat
     return cut(own.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= most).select("group", "k", "text"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot_share: int = 500, total: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot_share: int = 500, total: int | None = None, most: int | None = None) -> DataFrame:
     """Left join of right, unique on key, where a few keys may hold most rows of left.
 
     weight: a column of right with the number of rows that left has of the key; total: the number of left's rows, if
-    known.  Keys with more than a hot_share-th of all rows are fewer than hot_share (a proven bound): they are broadcast
-    and their rows of left, and those without a key, are not shuffled.  left is read three times, so it should be a
-    written table.
+    known; most: the number of rows of its most frequent key, if known and left has no row without a key.  Keys with more
+    than a hot_share-th of all rows are fewer than hot_share (a proven bound): they are broadcast and their rows of left,
+    and those without a key, are not shuffled.  left is read three times then, so it should be a written table.
     """
     if total is None:
         total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
     limit = max(64, total // hot_share)
     rest = [c for c in right.columns if c not in (key, weight)]
     named = right.select(F.col(key).alias("_key"), weight, *[F.col(c).alias(f"_r_{c}") for c in rest])
+    if most is not None and most <= limit:
+        return left.join(named.drop(weight), F.col(key) == F.col("_key"), "left").select(*left.columns, *[F.col(f"_r_{c}").alias(c) for c in rest])
     hot, cold = named.filter(F.col(weight) > limit).drop(weight), named.filter(F.col(weight) <= limit).drop(weight)
     out = [*left.columns, *[F.col(f"_r_{c}").alias(c) for c in rest]]
     frequent = left.join(F.broadcast(hot), F.col(key) == F.col("_key")).select(*out)
