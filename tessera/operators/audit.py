@@ -53,7 +53,7 @@ def orphan_snapshots(nodes: DataFrame, edges: DataFrame, topics: DataFrame) -> D
 
 def dangling_paths(edges: DataFrame, disk: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Owned paths without pattern signs that are not among disk (path)."""
-    owned = edges.filter((F.col("type") == "owns") & F.col("to").startswith("path:")).select("from", F.substring("to", 6, 1_000_000).alias("path")).filter(~F.col("path").rlike("[*?]")).distinct()
+    owned = edges.filter((F.col("type") == "owns") & F.col("to").startswith("path:")).select("from", F.substring("to", F.lit(6), F.length("to")).alias("path")).filter(~F.col("path").rlike("[*?]")).distinct()
     got = owned.join(disk.select("path"), "path", "left_anti")
     if agents is not None:
         got = got.join(agents.select(F.col("id").alias("from"), "file"), "from", "left")

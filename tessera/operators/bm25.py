@@ -48,6 +48,11 @@ def document_frequency(found: DataFrame) -> DataFrame:
     return found.select("doc", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
+def row_frequency(docs: DataFrame, fields: list[Field]) -> DataFrame:
+    """term, df as document_frequency, where every document is one row: one shuffle, of sums."""
+    return docs.select(F.explode(F.array_distinct(F.concat(*[F.col(f.name) for f in fields]))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def matches(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field]) -> DataFrame:
     """doc, for each field its length, and for each field its tokens that are query terms: one row for every document.
 
@@ -61,11 +66,11 @@ def matches(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field])
     if len(terms) <= LITERAL_TERMS:
         held = [F.filter(f.name, lambda w: w.isin(terms)).alias(f.name) if terms else F.array().cast("array<string>").alias(f.name) for f in fields]
         return settled(docs.select(F.col(doc).alias("doc"), *lengths, *held))
-    found = postings(docs, doc, fields, queries)
-    listed = found.groupBy("doc").agg(*[F.flatten(F.collect_list(F.when(F.col("field") == f.name, F.array_repeat("term", F.col("tf").cast("int"))))).alias(f.name) for f in fields])
-    if docs.select(doc).distinct().count() != docs.count():
-        raise ValueError("with so many terms each document must be one row")
-    return settled(docs.select(F.col(doc).alias("doc"), *lengths).join(listed, "doc", "left"))
+    # a document may be several rows: each has a number of its own, written with it
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), *[F.col(f.name) for f in fields]))
+    found = postings(rows, "row", fields, queries)
+    listed = found.groupBy(F.col("doc").alias("row")).agg(*[F.flatten(F.collect_list(F.when(F.col("field") == f.name, F.array_repeat("term", F.col("tf").cast("int"))))).alias(f.name) for f in fields])
+    return settled(rows.select("row", "doc", *lengths).join(listed, "row", "left").drop("row"))
 
 
 def _weighed(slim: DataFrame, fields: list[Field], grouped: bool = False) -> tuple[DataFrame, int]:

@@ -144,3 +144,8 @@ def with_open_items(existing: Column, items: Column) -> Column:
     ended = F.concat(existing, F.when(existing.endswith("\n"), "\n").otherwise("\n\n"))
     start = F.when(F.coalesce(existing, F.lit("")) == "", F.lit("# Open Items\n\n")).otherwise(ended)
     return F.concat(start, F.array_join(items, "\n"))
+
+
+def type_counts(notes: DataFrame) -> DataFrame:
+    """type, n: how many notes of each type wait for review."""
+    return notes.groupBy("type").agg(F.count("*").alias("n"))

@@ -48,6 +48,16 @@ def clean_reference(c: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(F.regexp_replace(c, "^`+|`+$", ""), " — .*$", "")), F.lit("\\"), F.lit("/"))
 
 
+def section_body(c: Column, heading: Column) -> Column:
+    """What stands below the first heading of that name, up to the next heading; the whole text where there is none."""
+    rows = F.split(c, "\n")
+    at = F.array_position(F.transform(rows, lambda x: F.when(x.startswith("## "), F.trim(F.substring(x, F.lit(4), F.length(x)))).otherwise(F.lit(None).cast("string"))), heading)
+    rest = F.slice(rows, (F.greatest(at, F.lit(1)) + 1).cast("int"), F.size(rows))
+    end = F.array_position(F.transform(rest, lambda x: x.startswith("## ")), True)
+    own = F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
+    return F.when(F.coalesce(at, F.lit(0)) > 0, F.array_join(own, "\n")).otherwise(c)
+
+
 def first_node(nodes: DataFrame) -> DataFrame:
     """file, id: the smallest node id of each file."""
     return nodes.filter(F.coalesce("file", F.lit("")) != "").groupBy("file").agg(F.min("id").alias("id"))
@@ -136,4 +146,4 @@ def prompt_packages(symbols: DataFrame) -> DataFrame:
 def carried_heading(rows: DataFrame, key: str) -> DataFrame:
     """lines() with the heading above each line."""
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("heading", F.last(F.when(F.col("x").startswith("## "), F.substring("x", 4, 1000)), ignorenulls=True).over(w))
+    return rows.withColumn("heading", F.last(F.when(F.col("x").startswith("## "), F.substring("x", F.lit(4), F.length("x"))), ignorenulls=True).over(w))

@@ -32,6 +32,11 @@ def pruned(runs: DataFrame, days: int, now: int) -> DataFrame:
     return since_days(runs, days, now)
 
 
+def removed(runs: DataFrame, days: int, now: int) -> DataFrame:
+    """What the retention delete takes away."""
+    return runs.filter(F.lit(days > 0) & ~F.coalesce(F.col("recorded_at") >= now - 86_400 * days, F.lit(False)))
+
+
 def with_session(runs: DataFrame) -> DataFrame:
     """Adds the session column of later versions; '' where there is none."""
     has = "session" in runs.columns

@@ -45,7 +45,7 @@ def batch(spark, d):
 
 
 def df_terms(spark, d):
-    return bm25.document_frequency(bm25.postings(_docs(spark, d), "doc_id", FIELDS))
+    return bm25.row_frequency(_docs(spark, d), FIELDS)
 
 
 def avg_len(spark, d):

@@ -29,7 +29,7 @@ def retained(spark, d):
 
 def pruned(spark, d):
     r, now = _recent(spark, d)
-    return r.join(usage.pruned(r, 7, now).select("id"), "id", "left_anti").groupBy("command").agg(F.count("*").alias("removed"))
+    return usage.removed(r, 7, now).groupBy("command").agg(F.count("*").alias("removed"))
 
 
 QUERIES = {
