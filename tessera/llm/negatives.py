@@ -74,7 +74,7 @@ def _chosen(sample: list[np.ndarray]) -> dict[int, np.ndarray]:
     """Pivots for each length of vector: the first, then again and again what is farthest from those chosen."""
     out = {}
     for size in {len(v) for v in sample}:
-        m = np.array([v for v in sample if len(v) == size]).reshape(-1, size)
+        m = np.array([v for v in sample if len(v) == size])
         at, gap = [0], ((m - m[0]) ** 2).sum(1)
         while len(at) < min(PIVOTS, len(m)) and gap.max() > 0:
             at.append(int(gap.argmax()))
@@ -187,7 +187,7 @@ def _blocks_of(data: bytes) -> list[_Anchors]:
     out = []
     for size in {len(x) for x in v}:
         which = np.array([i for i, x in enumerate(v) if len(x) == size])
-        out.append(_Anchors(at[which], ids[which], [labels[i] for i in which], np.array([v[i] for i in which], float).reshape(-1, size), pivots.get(size, np.empty((0, size))), most))
+        out.append(_Anchors(at[which], ids[which], [labels[i] for i in which], np.array([v[i] for i in which], float).reshape(len(which), size), pivots.get(size, np.empty((0, size))), most))
     return out
 
 
