@@ -10,10 +10,10 @@ equal blocks; two vectors at distance <= RADIUS agree in at least BLOCKS - RADIU
 grid of at least one choice of that many blocks.  Cells are joined, the Manhattan distance of the whole vectors filters,
 the Hamming distance verifies.
 
-A cell of more than CELL_LIMIT classes is not joined with itself.  Its classes are linked exactly in another way: each
-is put under its 65 variants at distance <= 1; classes under one variant are within 2 of each other, and classes within
-2 of each other share a variant, so linking every class to the smallest under each variant gives the same components
-in 65 rows a class.
+The classes of a cell of more than CELL_LIMIT classes are joined in a finer grid, of 16 blocks and choices of 14, over
+the fingerprints' own segments, not only their counts: its cells hold at most 256 classes, as 8 bits are left open.  The
+same two tests follow.  Of the cells that two classes share, one is named by the blocks in which they differ: only there
+the pair is made.
 
 Defined results: null, empty or blank text has fingerprint zero and is linked like any other; a null doc_id keeps its
 fingerprint, links like any other, and names a component only if no row of it has an id (then component_id is null);
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, keyed, lookup, packed, per_batch, table, unpacked
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
-BLOCKS, CELL_LIMIT = 8, 64
+BLOCKS, FINE_BLOCKS, CELL_LIMIT = 8, 16, 64
+CELL = ["pick", "bits"]
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -78,38 +79,66 @@ def embedded(fp: Column) -> Column:
     return fp.bitwiseOR(upper).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(upper).bitwiseAND(low), 1))
 
 
+def _masks(blocks: int, radius: int) -> list[tuple[tuple[int, ...], int]]:
+    """The blocks left out of each choice of blocks - radius blocks, and the bits of those chosen."""
+    width = BITS // blocks
+    out = []
+    for open_ in combinations(range(blocks), radius):
+        mask = sum(((1 << width) - 1) << (width * b) for b in range(blocks) if b not in open_)
+        out.append((open_, mask - (1 << 64) if mask >> 63 else mask))
+    return out
+
+
 def cells(e: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
-    """An array with the cell of an embedding in the grid of every choice of blocks - radius blocks."""
+    """An array with the cell of e in the grid of every choice of blocks - radius blocks: its number and the chosen bits."""
+    return F.array(*[F.struct(F.lit(i).alias("pick"), e.bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for i, (_, mask) in enumerate(_masks(blocks, radius))])
+
+
+def _named(pick: Column, differ: Column, blocks: int) -> Column:
+    """Whether the cell of this choice is the one where a pair that differs in these bits is made: of two left-out blocks,
+    both where it differs, or the one, and the first other block beside it."""
     width = BITS // blocks
-    picks = []
-    for i, pick in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in pick)
-        picks.append(F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
-    return F.array(*picks)
+    out = F.lit(False)
+    for i, ((low, high), _) in enumerate(_masks(blocks, 2)):
+        there = [differ.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) != 0 for m in (((1 << width) - 1) << (width * b) for b in (low, high))]
+        own = there[0] & there[1]
+        if low == 0:
+            own = own | (~there[0] & there[1])
+        if (low, high) == (0, 1):
+            own = F.lit(True)
+        out = F.when(pick == i, own).otherwise(out)
+    return out
+
+
+def _spread(classes: DataFrame, by: str, blocks: int) -> DataFrame:
+    """A row (fp, e, node, pick, bits) for each cell of a class, written once."""
+    return cut(classes.select("fp", "e", "node", F.explode(cells(F.col(by), blocks)).alias("cell")).select("fp", "e", "node", "cell.*"))
+
+
+def _met(spread: DataFrame, by: str, blocks: int) -> DataFrame:
+    """Pairs (a, b) of rows of a cell that are within RADIUS, by the Manhattan distance of the embeddings and then exactly;
+    by: what the cells are cut from."""
+    left = spread.select(*CELL, F.col("fp").alias("fp_a"), F.col("e").alias("e_a"), F.col("node").alias("a"))
+    right = spread.select(*CELL, F.col("fp").alias("fp_b"), F.col("e").alias("e_b"), F.col("node").alias("b"))
+    near = left.join(right, CELL).filter((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("e_a").bitwiseXOR(F.col("e_b"))) <= RADIUS))
+    near = near.filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS)
+    return near.filter(_named(F.col("pick"), F.col(f"{by}_a").bitwiseXOR(F.col(f"{by}_b")), blocks)).select("a", "b")
 
 
 def links(classes: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Edges (a, b) between different fingerprints whose components are those of all pairs within RADIUS.
+    """Edges (a, b) between all pairs of different fingerprints within RADIUS.
 
-    classes: one row for each fingerprint fp with its node id.  The cells' keys are read twice, so they are written once.
+    classes: one row for each fingerprint fp with its node id.
     """
-    spread = cut(classes.withColumn("e", embedded(F.col("fp"))).select("fp", "e", "node", F.explode(cells(F.col("e"))).alias("cell")))
-    sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    spread = _spread(classes.withColumn("e", embedded(F.col("fp"))), "e", BLOCKS)
+    sizes = spread.groupBy(*CELL).agg(F.count("*").alias("n")).filter("n > 1")
     # cells with over a 500th of all rows are fewer than 500: their rows are told by a broadcast and not shuffled by cell
-    huge = F.broadcast(sizes.filter(F.col("n") > max(cell_limit, spread.count() // 500)).select("cell"))
-    others = spread.join(huge, "cell", "left_anti")
-    shared = others.join(sizes.filter(F.col("n") <= cell_limit).select("cell"), "cell", "left_semi")
-    left = shared.select("cell", F.col("fp").alias("fp_a"), F.col("e").alias("e_a"), F.col("node").alias("a"))
-    right = shared.select("cell", F.col("fp").alias("fp_b"), F.col("e").alias("e_b"), F.col("node").alias("b"))
-    near = left.join(right, "cell").filter((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("e_a").bitwiseXOR(F.col("e_b"))) <= RADIUS))
-    pairs = near.filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS).select("a", "b")
-    full = others.join(sizes.filter(F.col("n") > cell_limit).select("cell"), "cell", "left_semi").unionByName(spread.join(huge, "cell", "left_semi"))
-    crowded = full.select("fp", "node").distinct()
-    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)])
-    variants = crowded.select("node", F.explode(ball).alias("variant"))
-    first = variants.groupBy("variant").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("variant", "b")
-    stars = variants.join(first, "variant").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
-    return pairs.unionAll(stars).distinct()
+    huge = F.broadcast(sizes.filter(F.col("n") > max(cell_limit, spread.count() // 500)).select(*CELL))
+    others = spread.join(huge, CELL, "left_anti")
+    pairs = _met(others.join(sizes.filter(F.col("n") <= cell_limit).select(*CELL), CELL, "left_semi"), "e", BLOCKS)
+    full = others.join(sizes.filter(F.col("n") > cell_limit).select(*CELL), CELL, "left_semi").unionByName(spread.join(huge, CELL, "left_semi"))
+    fine = _spread(full.select("fp", "e", "node").distinct(), "fp", FINE_BLOCKS)
+    return pairs.unionAll(_met(fine, "fp", FINE_BLOCKS)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
