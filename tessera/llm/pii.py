@@ -261,6 +261,9 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+_WORDS, _END = re.compile(r"(\w+)"), object()
+
+
 def _names(text: str) -> list[tuple[int, int]]:
     """Up to three capitalised words after a title, a known given name with a capitalised word, names beside titles of
     scripts without capitals, and where else the text has them, together or one by one."""
@@ -284,15 +287,46 @@ def _names(text: str) -> list[tuple[int, int]]:
     out = _disjoint(out)
     wholes = {text[a:b] for a, b in out}
     parts = {w for name in wholes for w in re.split("[ -]", name)}
-    plain = {w for w in {w.lower() for w in parts} if w not in parts and re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)}
-    wanted = wholes | {w for w in parts if w.lower() not in plain}
-    run_on = {text[a:b] for a, b in joined}  # scripts without spaces: a name of two letters or more counts anywhere
-
-    def listed(words: set[str]) -> str:
-        return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-
-    patterns = [rf"(?<!\w)(?:{listed(wanted)})(?!\w)", *([listed({w for w in run_on if len(w) > 1})] if any(len(w) > 1 for w in run_on) else [])]
-    return _disjoint(out + [m.span() for m in re.finditer("|".join(patterns), text)])
+    cut = _WORDS.split(text)
+    plain = {text[a:b] for a, b in _occurrences(text, cut, {w.lower() for w in parts} - parts)}
+    out += _occurrences(text, cut, wholes | {w for w in parts if w.lower() not in plain})
+    run_on = {text[a:b] for a, b in joined if b - a > 1}  # scripts without spaces: a name of two letters or more counts anywhere
+    for size in {len(w) for w in run_on}:
+        out += [(i, i + size) for i in range(len(text) - size + 1) if text[i : i + size] in run_on]
+    return _disjoint(out)
+
+
+def _occurrences(text: str, cut: list[str], phrases: set[str]) -> list[tuple[int, int]]:
+    """Where the text, cut at the borders of its words, has one of the phrases between such borders; at each place the
+    longest.  Phrases begin with a word; they are told apart word by word in one pass, however many there are."""
+    trie: dict = {}
+    for phrase in phrases:
+        node = trie
+        for step in _WORDS.split(phrase)[1:]:
+            node = node.setdefault(step, {})
+        # a phrase that ends in a word has an empty last step
+        node[_END] = len(phrase)
+    if not trie:
+        return []
+    out, at = [], 0
+    for i in range(1, len(cut), 2):
+        at += len(cut[i - 1])
+        node, k, best = trie.get(cut[i]), i + 1, 0
+        while node:
+            if k % 2:
+                node = node.get(cut[k])
+            else:
+                for end, below in node.items():  # other ends than words: the text goes on with something else than a word
+                    if end is not _END and _END in below and cut[k].startswith(end) and (not end or len(cut[k]) > len(end) or k + 1 == len(cut)):
+                        best = max(best, below[_END])
+                node = node.get(cut[k])
+            k += 1
+            if k >= len(cut):
+                break
+        if best:
+            out.append((at, at + best))
+        at += len(cut[i])
+    return out
 
 
 def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
