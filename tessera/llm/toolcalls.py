@@ -17,7 +17,7 @@ Defined results: null text is a missing argument (not valid); null conv_id or tu
 first of several results (by turn, then content) counts; equal messages are kept row by row; calls of a conversation that
 share an id are one, at the first turn, to what depends on them; a call on a cycle, or behind one, has null round; an
 unknown tool, bad JSON, a missing, unknown or mistyped argument is not valid; an empty table has no rows; very long texts
-are read whole.  Only the four columns are read, so further ones may have any name.
+are read whole; white space may stand before a JSON object; integers of more than 38 digits become doubles.  Only the four columns are read, so further ones may have any name.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def valid(name: Column, arguments: Column, schemas: dict[str, Params]) -> Column
 def events(messages: DataFrame) -> DataFrame:
     """kind (call, result, message), conv_id, turn, role, text, call_id, name, arguments (JSON), content, after (array of ids)."""
     rows = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
-    parsed = rows.withColumn("v", F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), F.try_parse_json("text")))
+    parsed = rows.withColumn("v", F.when(F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^[ \t\n\r]*\{"), F.try_parse_json("text")))
     listed = parsed.withColumn("calls", F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>"))).withColumn("answers", F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string")))
     explicit = listed.filter(F.size("calls") > 0).withColumn("c", F.explode("calls"))
     raw = F.try_variant_get("c", "$.arguments", "variant")
