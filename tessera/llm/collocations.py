@@ -30,26 +30,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few, free, removed, shared_folder, table, written
+from tessera.llm.common import free, removed, shared_folder, table, written
 
 #: Bytes of text that a block holds; a piece is never cut, so that a longer one makes a larger block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 LEAST, LONGEST, SHARE, TOP, MILLION = 10, 3, 50, 2000, 1_000_000
 #: A-Z to a-z, tab to space, the ends of pieces to line feeds.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
-_BLOCK = "block long, lang string, words array<string>, lens array<int>, positions binary, phrases array<string>, counts array<int>, starts array<int>, alive binary, keys array<long>, sizes array<int>"
+_BLOCK = "block long, lang string, words array<string>, lens array<int>, positions binary, phrases array<string>, counts array<int>, starts array<int>, alive binary, lists long, keys binary, sizes binary"
+#: Keys of lists that one task compares; keys have so many bits.
+PART_KEYS, KEY_BITS = 2_000_000, 48
 _CODEC = pa.Codec("zstd", 1)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed differences."""
-    raw = np.diff(numbers.astype("<i4"), prepend=np.int32(0)).tobytes()
+def _packed(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers as differences, their bytes by place, compressed."""
+    raw = np.ascontiguousarray(np.diff(numbers.astype(kind), prepend=np.zeros(1, kind)).view(np.uint8).reshape(len(numbers), -1).T).tobytes() if len(numbers) else b""
     return len(raw).to_bytes(8, "little") + (_CODEC.compress(raw, asbytes=True) if raw else b"")
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.cumsum(np.frombuffer(_CODEC.decompress(data[8:], size, asbytes=True), "<i4"), dtype=np.int32) if size else np.empty(0, np.int32)
+def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not size:
+        return np.empty(0, kind)
+    raw = np.frombuffer(_CODEC.decompress(data[8:], size, asbytes=True), np.uint8).reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(kind).ravel(), dtype=kind)
 
 
 def inverted(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -66,12 +71,12 @@ def inverted(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, np.bincount(number, minlength=len(coded.dictionary)).astype(np.int32), at[np.argsort(number, kind="stable")]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """Translated text in parts of up to BLOCK_BYTES, cut where pieces end."""
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """Translated text in parts of up to so many bytes, cut where pieces end."""
     text = text.translate(_TABLE)
-    while len(text) > BLOCK_BYTES:
-        at = text.rfind(b"\n", 0, BLOCK_BYTES)
-        at = text.find(b"\n", BLOCK_BYTES) if at < 0 else at
+    while len(text) > size:
+        at = text.rfind(b"\n", 0, size)
+        at = text.find(b"\n", size) if at < 0 else at
         if at < 0:
             break
         yield text[: at + 1]
@@ -92,11 +97,17 @@ def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class _Lists:
-    """Phrases of one length in a block: for each, its words' numbers, its key, and the positions where it begins."""
+    """Phrases of one length in a block, by key: for each, its words' numbers, its key, and the positions where it begins."""
 
     def __init__(self, words: np.ndarray, keys: np.ndarray, lens: np.ndarray, starts: np.ndarray):
         self.words, self.keys, self.lens, self.starts = words, keys, lens, starts
 
+    def by_key(self) -> _Lists:
+        order = np.argsort(self.keys >> np.uint64(64 - KEY_BITS), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return _Lists(self.words[order], self.keys[order], self.lens[order], self.starts[np.argsort(np.repeat(place, self.lens), kind="stable")])
+
     def only(self, which: np.ndarray) -> _Lists:
         keep = np.zeros(len(self.lens), bool)
         keep[which] = True
@@ -112,13 +123,15 @@ class _Lists:
         met = met[places[at[met]] == follow[met]]
         pair = phrase[met].astype(np.int64) * len(postings.lens) + owner[at[met]]
         by = np.argsort(pair, kind="stable")
-        pairs, lens = np.unique(pair[by], return_counts=True)
+        pair = pair[by]
+        begin = np.flatnonzero(np.diff(pair, prepend=-1))
+        pairs, lens = pair[begin], np.diff(np.append(begin, len(pair)))
         first, last = pairs // max(1, len(postings.lens)), pairs % max(1, len(postings.lens))
-        return _Lists(np.column_stack([self.words[first], last]).astype(np.int32), _longer(self.keys[first], postings.keys[last]), lens.astype(np.int32), self.starts[met][by])
+        return _Lists(np.column_stack([self.words[first], last]).astype(np.int32), _longer(self.keys[first], postings.keys[last]), lens.astype(np.int32), self.starts[met][by]).by_key()
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "lang": pa.string(), "words": pa.list_(pa.string()), "lens": pa.list_(pa.int32()), "positions": pa.binary(), "phrases": pa.list_(pa.string()), "counts": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "alive": pa.binary(), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32())}
+    kinds = {"block": pa.int64(), "lang": pa.string(), "words": pa.list_(pa.string()), "lens": pa.list_(pa.int32()), "positions": pa.binary(), "phrases": pa.list_(pa.string()), "counts": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "alive": pa.binary(), "lists": pa.int64(), "keys": pa.binary(), "sizes": pa.binary()}
 
     def column(name: str, kind: pa.DataType) -> pa.Array:
         if not pa.types.is_list(kind):
@@ -138,7 +151,8 @@ def _row(block: int, lang: str, words: pa.Array, postings: _Lists, now: _Lists |
         said = pc.binary_join_element_wise(said, words.take(pa.array(held.words[:, k])), " ")
     return {
         "block": block, "lang": lang, "words": words, "lens": postings.lens, "positions": _packed(postings.starts), "phrases": said, "counts": held.lens,
-        "starts": held.words.ravel(), "alive": _packed(held.starts), "keys": (following.keys >> np.uint64(16)).astype(np.int64), "sizes": following.lens,
+        "starts": held.words.ravel(), "alive": _packed(held.starts if held.words.shape[1] > 1 else held.starts[:0]), "lists": len(following.lens),
+        "keys": _packed(following.keys >> np.uint64(64 - KEY_BITS), "<u8"), "sizes": _packed(following.lens),
     }
 
 
@@ -148,41 +162,86 @@ def _postings(lang: str, words: pa.Array, lens: np.ndarray, positions: np.ndarra
 
 def _block(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
     words, lens, positions = inverted(b"\n".join(texts))
-    postings = _postings(lang, words, lens, positions)
+    postings = _postings(lang, words, lens, positions).by_key()
+    words = words.take(pa.array(postings.words[:, 0]))
+    postings.words = np.arange(len(words), dtype=np.int32)[:, None]
     return _batch([_row(number, lang, words, postings, None, postings)])
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(bits: int):
+    """The keys of blocks' lists, dealt by their first bits: part, block, the number of the first list, keys and sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, sizes in zip(*(batch.column(n).to_pylist() for n in ("block", "keys", "sizes")), strict=True):
+                keys, sizes = _unpacked(keys, "<u8"), _unpacked(sizes)
+                if not len(keys):
+                    continue
+                part = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                end = np.append(begin[1:], len(part))
+                rows = [(int(part[b]), block, int(b), _packed(keys[b:e], "<u8"), _packed(sizes[b:e])) for b, e in zip(begin, end, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "block", "first", "keys", "sizes"])
+
+    return run
+
+
+def _common(least: int):
+    """Of all blocks' lists with keys of a part, those whose keys occur often enough in all: block and list numbers."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, sizes = [_unpacked(x, "<u8") for x in group["keys"].to_pylist()], [_unpacked(x) for x in group["sizes"].to_pylist()]
+        of, ends = np.concatenate(keys), np.cumsum([len(k) for k in keys])
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
+        often = np.add.reduceat(np.concatenate(sizes).astype(np.int64)[order], first) >= least
+        keep = np.empty(len(of), bool)
+        keep[order] = np.repeat(often, np.diff(np.append(first, len(of))))
+        numbers = [np.flatnonzero(k) + f for k, f in zip(np.split(keep, ends[:-1]), group["first"].to_pylist(), strict=True)]
+        rows = [(b, _packed(n)) for b, n in zip(group["block"].to_pylist(), numbers, strict=True) if len(n)]
+        return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "own": pa.array([n for _, n in rows], pa.binary())})
+
+    return run
+
+
+def _cut_blocks(size: int):
     """Blocks of one lang each; a task holds at most two blocks' worth of texts before it closes the largest."""
-    held: dict[str, list[bytes]] = {}
-    sizes: dict[str, int] = {}
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for part in _pieces(text.as_py().encode()):
-                while sizes and (sizes.get(lang, 0) + len(part) > BLOCK_BYTES and lang in sizes or sum(sizes.values()) > 2 * BLOCK_BYTES):
-                    full = max(sizes, key=sizes.get)
-                    number += 1
-                    del sizes[full]
-                    yield _block(number, full, held.pop(full))
-                held.setdefault(lang, []).append(part)
-                sizes[lang] = sizes.get(lang, 0) + len(part)
-    for lang, texts in held.items():
-        number += 1
-        yield _block(number, lang, texts)
-
-
-def _extend(last: bool):
-    """From a block with its lists' numbers that are frequent (own) to the block of the next length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for part in _pieces(text.as_py().encode(), size):
+                    while sizes and (lang in sizes and sizes[lang] + len(part) > size or sum(sizes.values()) > 2 * size):
+                        full = max(sizes, key=sizes.get)
+                        number += 1
+                        del sizes[full]
+                        yield _block(number, full, held.pop(full))
+                    held.setdefault(lang, []).append(part)
+                    sizes[lang] = sizes.get(lang, 0) + len(part)
+        for lang, texts in held.items():
+            number += 1
+            yield _block(number, lang, texts)
+
+    return run
+
+
+def _extend(words_before: int, last: bool):
+    """From a block of phrases of so many words, with the numbers of the frequent lists among those one word longer (own),
+    to the block of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i] for n in batch.schema.names}
-                lang, words, own = r["lang"].as_py(), r["words"].values, np.sort(np.asarray(r["own"].values, np.int64))
+                lang, words, own = r["lang"].as_py(), r["words"].values, np.sort(np.concatenate([_unpacked(x) for x in r["own"].as_py()]))
                 postings = _postings(lang, words, np.asarray(r["lens"].values), _unpacked(r["positions"].as_py()))
-                if len(r["starts"].values):
-                    held = np.asarray(r["starts"].values).reshape(len(r["counts"].values), -1)
+                if words_before == 1:
+                    now = postings.extended(postings).only(own)
+                elif words_before:
+                    held = np.asarray(r["starts"].values).reshape(-1, words_before)
                     keys = postings.keys[held[:, 0]]
                     for k in range(1, held.shape[1]):
                         keys = _longer(keys, postings.keys[held[:, k]])
@@ -203,24 +262,24 @@ def _kept(df: DataFrame) -> tuple[DataFrame, str]:
     return written(df, path), path
 
 
-def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of the phrases of up to longest words that occur at least so often, and (lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lists, path = _kept(texts.mapInArrow(_cut_blocks, _BLOCK))
+    lists, path = _kept(texts.mapInArrow(_cut_blocks(block_bytes), _BLOCK))
     sizes, _ = _kept(lists.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
     levels = []
     for words in range(1, longest + 1):
-        each = lists.select("block", F.posexplode(F.arrays_zip("keys", "sizes")).alias("list", "of")).select("block", "list", F.col("of.keys").alias("key"), F.col("of.sizes").alias("size"))
-        counted, counts = _kept(each.groupBy("key").agg(F.sum("size").alias("f")).filter(F.col("f") >= least).select("key"))
-        own = each.join(few(counted), "key", "left_semi").groupBy("block").agg(F.collect_list("list").alias("own"))
+        total = lists.agg(F.sum("lists").alias("n")).first().n or 0
+        bits = max(6, (total // PART_KEYS).bit_length())
+        parts = lists.select("block", "keys", "sizes").mapInArrow(_dealt(bits), "part long, block long, first long, keys binary, sizes binary")
+        own = parts.groupBy("part").applyInArrow(_common(least), "block long, own binary").groupBy("block").agg(F.collect_list("own").alias("own"))
         following = lists.select("block", "lang", "words", "lens", "positions", "counts", "starts", "alive").join(own, "block")
         before = path
-        lists, path = _kept(following.mapInArrow(_extend(words == longest), _BLOCK))
+        lists, path = _kept(following.mapInArrow(_extend(words - 1, words == longest), _BLOCK))
         found, _ = _kept(lists.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum("counts").alias("f")).filter(F.col("f") >= least))
         levels.append(found.select("lang", "phrase", F.lit(words).alias("words"), "f"))
         removed(spark, before)
-        removed(spark, counts)
         free(spark)
     removed(spark, path)
     out = levels[0]
@@ -234,9 +293,9 @@ def _part(words: str, begin, count):
     return F.array_join(F.slice(words, begin, count), " ")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's best phrases of 2 to longest words."""
-    phrases, sizes = frequent(docs, text_col, lang_col, least, longest)
+    phrases, sizes = frequent(docs, text_col, lang_col, least, longest, block_bytes)
     several = phrases.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("said"))
     cuts = several.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part("said", F.lit(1), F.col("k")).alias("first"), _part("said", F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
