@@ -1,38 +1,36 @@
 """Order MinHash: document fingerprints that are sensitive to edit distance.
 
-A text is a row of units: runs of up to eight letters and digits, and every other character that is not white space by
-itself, as are the characters of scripts without spaces.  Its k-mers are K units in a row (all units, if fewer), each
-with the number of its earlier occurrences in the text, so that repeats are elements of their own.  One hash orders the
-elements, and its range is divided into SLOTS parts: a slot selects the TUPLE least elements from the beginning of its
-part on, beyond its end and again from the first part where it holds fewer.  The selected k-mers are put back into text
-order and hashed as a tuple, which is the slot's entry.  The share of equal entries is the likeness of two texts: it falls
-with the k-mers that differ and with those that changed places.
+A text is a row of units: runs of up to twelve letters of the Latin, Greek and Cyrillic alphabets and digits, and every
+other character that is not white space by itself, so that scripts without spaces are read character by character.  Its
+k-mers are K units in a row (all units, if fewer), each with the number of its earlier occurrences in the text, so that
+repeats are elements of their own.  One hash orders the elements, and its range is divided into SLOTS parts: a slot selects
+the TUPLE least elements from the beginning of its part on, beyond its end and again from the first part where it holds
+fewer.  The selected k-mers are put back into text order and hashed as a tuple, which is the slot's entry.  The share of
+equal entries is the likeness of two texts: it falls with the k-mers that differ and with those that changed places.
 
 All of it is array and string functions inside one row, so nothing is shuffled for a fingerprint and whole texts of any
-length are read in time n log n.  The order of documents is found on ids alone, by ranges; one neighbour's text moves, cut
-to what is needed of it.
+length are read in time n log n.  To meet its next document a text moves once: documents are dealt to ranges of ids, and
+the first one of a range is also sent to the range before.
 
 Defined results: null text is empty; a text without units has zeros as entries, and is like others without units; equal
-texts have equal fingerprints.  Rows that share an id all have the next greater id's document as their next, and of
-several rows with that id the one with the smallest hash of its text; a single id is its own next.  Rows without an id
-have no next document: their ends are cut off, and near_next is 0.  An empty table has no rows.  Only the id and text
-columns are read, so further columns may have any name.
+texts have equal fingerprints.  Documents follow each other by id, rows that share an id by the hashes of their texts; the
+first follows the last, so a single row follows itself.  Rows without an id have no next document: their ends are cut off,
+and near_next is 0.  An empty table has no rows.  Only the id and text columns are read, so further columns may have any
+name.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few, shared_folder, table, written
+from tessera.llm.common import table
 
 #: Units in a k-mer, k-mers in a tuple, entries (a power of two).
 K, TUPLE, SLOTS = 3, 2, 64
-#: Scripts that are written without spaces: a unit is one character.
-SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNIT = rf"[{SINGLE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{SINGLE}]]{{1,8}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
+UNIT = r"[0-9A-Za-z\u00C0-\u024F\u0370-\u052F]{1,12}|\S"
+#: Documents of a range, and most ranges.
+RANGE_ROWS, RANGES = 2_000, 65_536
 _PLACE = (1 << 31) - 1
 
 
@@ -64,7 +62,7 @@ def signature(text: Column, k: int = K, size: int = TUPLE, slots: int = SLOTS) -
         return _let(hashed, selected)
 
     def selected(mers: Column) -> Column:
-        return _let(F.array_sort(F.transform(mers, _packed)), lambda by_mer: numbered(mers, by_mer))
+        return _let(F.sort_array(F.transform(mers, _packed)), lambda by_mer: numbered(mers, by_mer))
 
     def numbered(mers: Column, by_mer: Column) -> Column:
         # equal k-mers lie together, in text order: where each run begins, then the occurrences of each
@@ -83,7 +81,7 @@ def signature(text: Column, k: int = K, size: int = TUPLE, slots: int = SLOTS) -
 
             return F.flatten(F.transform(begin, run))
 
-        return _let(F.array_sort(_let(first, runs)), lambda elements: least(mers, elements))
+        return _let(F.sort_array(_let(first, runs)), lambda elements: least(mers, elements))
 
     def least(mers: Column, elements: Column) -> Column:
         # the first elements of each part; what a slot selects is among them, and in a row
@@ -94,7 +92,7 @@ def signature(text: Column, k: int = K, size: int = TUPLE, slots: int = SLOTS) -
         begins = F.concat(begins, F.array_repeat(F.lit(0), slots - 1 - slot(F.element_at(near, -1))))
 
         def entry(i: Column) -> Column:
-            places = F.array_sort(F.transform(F.sequence(F.lit(0), F.least(F.lit(size), F.size(near)) - 1), lambda t: F.get(near, (i + t) % F.size(near)).bitwiseAND(F.lit(_PLACE).cast("long"))))
+            places = F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(size), F.size(near)) - 1), lambda t: F.get(near, (i + t) % F.size(near)).bitwiseAND(F.lit(_PLACE).cast("long"))))
             return F.shiftright(F.xxhash64(F.transform(places, lambda p: F.get(mers, p.cast("int")))), 32).cast("int")
 
         return F.transform(begins, entry)
@@ -118,47 +116,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), signature(F.col(text_col), **settings).alias("fingerprint"))
 
 
-def _folder(df: DataFrame) -> str:
-    return f"{shared_folder(df.sparkSession)}/fingerprints-{uuid.uuid4().hex}"
-
+def bounds(ids: DataFrame) -> list[int]:
+    """The least ids of ranges that hold about RANGE_ROWS rows (more, beyond RANGES ranges): the least of all, and every
+    so-manyth of a sample by hash that the driver gets, of about 20 ids a range."""
+    n, least = ids.agg(F.count("*"), F.min("doc_id")).first()
+    ranges = min(RANGES, -(-n // RANGE_ROWS))
+    every = max(1, n // (20 * ranges)) if n else 1
+    drawn = sorted(r.doc_id for r in ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).distinct().collect())
+    step = max(1, len(drawn) // ranges) if ranges else 1
+    return sorted({least, *drawn[step::step]}) if n else []
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """doc_id, mark, asker, need for the different ids of rows (doc_id, text): the id before it, after which it comes (of
-    the first, the last), half the length of the longest text with that id, and the smallest hash of its own texts.
 
-    Ids are dealt to ranges; the driver gets the first and the last id of each range, a row for each partition of a
-    shuffle.
-    """
-    own = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("mark"), F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
-    ranged = written(own.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), _folder(rows))
-    edges = sorted(ranged.groupBy("part").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "half")).alias("high")).collect(), key=lambda r: r.low)
-    before = [(e.part, edges[i - 1].high.doc_id, edges[i - 1].high.half) for i, e in enumerate(edges)]
-    of = rows.sparkSession.createDataFrame(before, "part int, last long, last_half int")
-    w = Window.partitionBy("part").orderBy("doc_id")
-    last = ranged.withColumns({"asker": F.lag("doc_id").over(w), "need": F.lag("half").over(w)}).join(few(of), "part")
-    return last.select("doc_id", "mark", F.coalesce("asker", "last").alias("asker"), F.coalesce("need", "last_half").alias("need"))
+def _range_of(c: Column, lows: list[int]) -> Column:
+    """The number of the range that an id lies in, by bisection."""
+    held = F.array(*[F.lit(x).cast("long") for x in lows])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(lows).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step) <= c, at + step).otherwise(at))
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """doc_id, n_chars, edited, entries, edited_entries, next_entries of each row: its text with the last half replaced by
-    the beginning of the next document's, and the three fingerprints (that of the next is null where there is none)."""
+    """doc_id, n_chars, edited_sha256, entries, edited_entries, next_entries of each row: the hash of its text with the last
+    half replaced by the beginning of the next document's, and the three fingerprints (null, where there is no next)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    named, nameless = rows.filter("doc_id IS NOT NULL"), rows.filter("doc_id IS NULL")
-    order = written(neighbours(named), _folder(docs))
-    # of several rows with an id one text goes to the document before it
-    told = named.join(order, "doc_id").filter(F.xxhash64("text") == F.col("mark"))
-    heads = told.groupBy(F.col("asker").alias("doc_id")).agg(F.first(F.substring(F.col("text"), F.lit(1), F.col("need"))).alias("head"))
+    named = rows.filter("doc_id IS NOT NULL")
+    lows = bounds(named.select("doc_id"))
+    own = rows.withColumn("entries", signature(F.col("text"), **settings))
     half = F.floor(F.length("text") / 2).cast("int")
 
-    def edited(head: Column) -> Column:
-        return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(head, F.lit(1), half))
-
-    both = named.join(heads, "doc_id", "left").select("doc_id", "text", edited(F.col("head")).alias("edited")).unionAll(nameless.select("doc_id", "text", edited(F.lit("")).alias("edited")))
-    made = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("own"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signature(F.col("text"), **settings).alias("entries"), signature(F.col("edited"), **settings).alias("edited_entries"))
-    made = written(made, _folder(docs))
-    following = made.join(order, "doc_id").filter(F.col("own") == F.col("mark")).groupBy(F.col("asker").alias("doc_id")).agg(F.first("entries").alias("next_entries"))
-    named = made.filter("doc_id IS NOT NULL").join(following, "doc_id", "left")
-    return named.unionByName(made.filter("doc_id IS NULL"), allowMissingColumns=True).drop("own")
+    def edited(following: Column) -> Column:
+        return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(following, F.lit(1), half))
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "entries", signature(F.col("edited"), **settings).alias("edited_entries"), "next_entries")
+
+    nameless = own.filter("doc_id IS NULL").select("*", edited(F.lit("")).alias("edited"), F.lit(None).cast("array<int>").alias("next_entries"))
+    if not lows:
+        return told(nameless)
+    at, last = _range_of(F.col("doc_id"), lows), len(lows) - 1
+    # a guest is the first of its range, and comes after all documents of the range before
+    firsts = F.array(*[F.lit(x).cast("long") for x in lows])
+    placed = own.filter("doc_id IS NOT NULL").withColumn("range", at)
+    before = F.when(F.col("range") == 0, F.lit(last)).otherwise(F.col("range") - 1)
+    seats = F.when(F.get(firsts, F.col("range")) == F.col("doc_id"), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))))
+    seated = placed.select("doc_id", "text", "entries", F.explode(seats).alias("seat")).select("doc_id", "text", "entries", "seat.range", "seat.guest")
+    w = Window.partitionBy("range").orderBy("guest", "doc_id", F.xxhash64("text"))
+    met = seated.repartition("range").withColumns({"next_text": F.lead("text").over(w), "next_entries": F.lead("entries").over(w)}).filter("guest = 0")
+    return told(met.withColumn("edited", edited(F.col("next_text")))).unionByName(told(nameless))
 
 
 def op13_order_minhash(spark, sf_dir: str) -> DataFrame:
