@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import in_scope
+from tessera.operators.bm25 import broadcast_if_small
 
 # Trust by tier, boosts, thresholds, and stems that speak of code.
 TRUST = {"specs": "high", "docs": "medium", "context": "medium", "notes": "low"}
@@ -86,10 +87,26 @@ def with_code_survivor(kept: DataFrame, passed: DataFrame, code_query: Column, c
     return rest.select(*cols).unionByName(added.select(*cols))
 
 
+def in_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The columns of paths (path, ...) and of scopes (scope, ...) for each path that lies in a scope.
+
+    A trie of literal prefixes, by equality: a scope lies under what it says before its first wildcard, a path looks up its
+    own beginnings of the lengths that scopes have (the driver gets these lengths, a number each).  Only scopes with
+    wildcards before their end are tested as patterns, and only on paths that share their prefix.
+    """
+    bare = F.regexp_replace(F.regexp_replace("scope", r"\*\*$", ""), r"\*$", "")
+    known = scopes.filter(F.col("scope") != "").withColumn("_prefix", F.regexp_extract(bare, r"^[^*?\[\\]*", 0)).withColumn("_plain", F.col("_prefix") == bare)
+    lengths = sorted(r.n for r in known.select(F.length("_prefix").alias("n")).distinct().collect())
+    own = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
+    looked = paths.filter(F.col("path").isNotNull()).withColumn("_prefix", F.explode(F.transform(own, lambda n: F.substring(F.col("path"), F.lit(1), n))))
+    met = looked.join(broadcast_if_small(known), "_prefix")
+    return met.filter(F.col("_plain") | in_scope(F.col("path"), F.col("scope"))).drop("_prefix", "_plain")
+
+
 def connected(nodes: DataFrame, edges: DataFrame, scopes: DataFrame) -> DataFrame:
     """id, agent: agents that read a node, and agents with a scope (agent, scope) that holds its file."""
     reads = edges.filter(F.col("type") == "reads").select(F.col("to").alias("id"), F.regexp_replace("from", "^agent:", "").alias("agent"))
-    held = nodes.filter(F.coalesce("file", F.lit("")) != "").select("id", "file").join(scopes.select("agent", "scope"), in_scope(F.col("file"), F.col("scope"))).select("id", "agent")
+    held = in_scopes(nodes.filter(F.coalesce("file", F.lit("")) != "").select("id", F.col("file").alias("path")), scopes.select("agent", "scope")).select("id", "agent")
     return reads.unionAll(held).distinct()
 
 
@@ -121,30 +138,61 @@ def implementing_packages(reach: DataFrame, cap: int = PACKAGES) -> DataFrame:
     return reach.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).withColumn("rank", F.col("rank").cast("long"))
 
 
-def entry_points(symbols: DataFrame, least: float = LEAST, cap: int = ENTRY_POINTS) -> list[dict]:
-    """The first cap of one query's symbols (relevance, reach, package, file, symbol, line).
+def near_tie_order(symbols: DataFrame, cap: int = ENTRY_POINTS, tie: float = NEAR_TIE) -> DataFrame:
+    """The first cap symbols of each query, with rank; symbols: query_id, relevance, reach, package, file, symbol, line and
+    orig, the place in which the graph names them.
 
-    The order counts relevance only beyond NEAR_TIE and so is none that SQL could sort by, nor is it transitive: Spark
-    cuts out the most relevant, many times cap, and an insertion sort on the driver orders them.
+    Relevance counts only where it differs by more than tie; else reach, package (both descending), file, symbol, line and
+    orig decide.  Such an order is not transitive, so it is defined by insertion: symbols are taken as the graph names them,
+    each goes behind the last one that it does not precede.  Where relevances that follow each other differ by more than
+    tie, nothing crosses: what lies between such gaps is a run, and only runs that reach the first cap places are ordered,
+    each by itself, on executors.
+
+    A histogram in steps of half a tie comes first: symbols on either side of three empty steps are further apart than the
+    tie, so what lies beyond those, once cap symbols are counted, is left out before anything is sorted.  A run no wider
+    than the tie is ordered by its keys alone, without a fold, whose time grows with the square of a run.
     """
+    step = tie / 2
+    binned = symbols.withColumn("_bin", F.floor(F.col("relevance") / step).cast("long"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("_bin"))
+    bins = binned.groupBy("query_id", "_bin").agg(F.count("*").alias("n")).withColumns({"before": F.sum("n").over(w) - F.col("n"), "gap": F.lag("_bin").over(w) - F.col("_bin")})
+    # the first bin behind an empty step with cap symbols before it
+    ends = bins.filter((F.col("before") >= cap) & (F.col("gap") > 3)).groupBy("query_id").agg(F.max("_bin").alias("_end"))
+    near = binned.join(broadcast_if_small(ends), "query_id", "left").filter(F.col("_end").isNull() | (F.col("_bin") > F.col("_end"))).drop("_bin", "_end")
+    by = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
+    runs = near.withColumn("_cut", F.coalesce((F.lag("relevance").over(by) - F.col("relevance") > tie).cast("int"), F.lit(0))).withColumn("_at", F.row_number().over(by))
+    runs = runs.withColumn("_start", F.max(F.when((F.col("_cut") == 1) | (F.col("_at") == 1), F.col("_at"))).over(by)).filter(F.col("_start") <= cap)
+    own = Window.partitionBy("query_id", "_start")
+    runs = runs.withColumn("_wide", F.max("relevance").over(own) - F.min("relevance").over(own) > tie)
+    keys = own.orderBy(F.desc("reach"), F.desc("package"), "file", "symbol", "line", "orig")
+    tight = runs.filter(~F.col("_wide")).withColumn("rank", F.col("_start") - 1 + F.row_number().over(keys)).filter(F.col("rank") <= cap)
+    rest = [c for c in symbols.columns if c != "query_id"]
+    item = F.struct("orig", "_start", *[c for c in rest if c != "orig"])
+    listed = runs.filter("_wide").groupBy("query_id", "_start").agg(F.sort_array(F.collect_list(item)).alias("all"))
+
+    def precedes(x: Column, y: Column) -> Column:
+        """Whether x goes before y."""
+        apart = F.abs(x["relevance"] - y["relevance"]) > tie
+        keys = F.when(x["reach"] != y["reach"], x["reach"] > y["reach"]).when(x["package"] != y["package"], x["package"] > y["package"])
+        for name in ("file", "symbol", "line", "orig"):
+            keys = keys.when(x[name] != y[name], x[name] < y[name])
+        return F.when(apart, x["relevance"] > y["relevance"]).otherwise(keys.otherwise(F.lit(False)))
+
+    def insert(done: Column, x: Column) -> Column:
+        at = F.coalesce(F.array_max(F.transform(done, lambda y, i: F.when(~precedes(x, y), i + 1))), F.lit(0))
+        return F.flatten(F.transform(F.array(at), lambda p: F.concat(F.slice(done, F.lit(1), p), F.array(x), F.slice(done, p + 1, F.size(done)))))
+
+    ordered = F.aggregate("all", F.slice("all", 1, 0), insert)
+    wide = listed.select("query_id", "_start", F.posexplode(F.slice(ordered, 1, cap)).alias("_n", "x")).select("query_id", (F.col("_start") + F.col("_n")).alias("rank"), *[F.col(f"x.{c}").alias(c) for c in rest])
+    return tight.select("query_id", "rank", *rest).unionAll(wide.filter(F.col("rank") <= cap))
+
+
+def entry_points(symbols: DataFrame, least: float = LEAST, cap: int = ENTRY_POINTS) -> list[dict]:
+    """The first cap of one query's symbols (relevance, reach, package, file, symbol, line), as rows of the driver; without
+    a place in the graph (orig) they are named by relevance and the further keys."""
     good = symbols.filter(F.col("relevance") >= least)
-    ranked = good.orderBy(F.desc("relevance"), F.desc("reach"), F.desc("package"), "file", "symbol", "line")
-    rows = [r.asDict() for r in ranked.limit(max(1000, 20 * cap)).collect()]
-    ordered: list[dict] = []
-    for r in rows:
-        at = len(ordered)
-        while at and _before(r, ordered[at - 1]):
-            at -= 1
-        ordered.insert(at, r)
-    return ordered[:cap]
-
-
-def _before(a: dict, b: dict) -> bool:
-    gap = abs(a["relevance"] - b["relevance"])
-    if gap > NEAR_TIE:
-        return a["relevance"] > b["relevance"]
-    if a["reach"] != b["reach"]:
-        return a["reach"] > b["reach"]
-    if a["package"] != b["package"]:
-        return a["package"] > b["package"]
-    return (a["file"], a["symbol"], a["line"]) < (b["file"], b["symbol"], b["line"])
+    if "orig" not in symbols.columns:
+        names = F.struct(-F.col("relevance"), -F.col("reach"), "package", "file", "symbol", "line")
+        good = good.withColumn("orig", names)
+    rows = near_tie_order(good.withColumn("query_id", F.lit("q")), cap).orderBy("rank").collect()
+    return [{k: v for k, v in r.asDict().items() if k not in ("query_id", "rank", "orig")} for r in rows]

@@ -204,13 +204,13 @@ def _entry_points(nodes: DataFrame, terms: DataFrame, scope: list[str], reach: d
     for x in scope:
         inside |= text.in_scope(F.col("file"), F.lit(x))
     own = nodes.filter((F.col("type") == "code_symbol") & (inside | F.coalesce("package", F.lit("")).isin(list(reach))))
-    docs = settled(own.select(F.monotonically_increasing_id().alias("row"), "file", F.col("name").alias("symbol"), F.col("symbol_kind").alias("kind_name"), "line", F.coalesce("package", F.lit("")).alias("package"), tokens(F.col("name")).alias("title"), path_tokens(F.col("package")).alias("path"), tokens(F.col("symbol_kind")).alias("kind")))
+    docs = settled(own.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("orig"), "file", F.col("name").alias("symbol"), F.col("symbol_kind").alias("kind_name"), "line", F.coalesce("package", F.lit("")).alias("package"), tokens(F.col("name")).alias("title"), path_tokens(F.col("package")).alias("path"), tokens(F.col("symbol_kind")).alias("kind")))
     fields = [Field("title", s["retrieval.fields.weight_title"], s["fields.b_text"]), Field("path", s["retrieval.fields.weight_path"], s["fields.b_path"]), Field("kind", s["retrieval.fields.weight_kind"], s["fields.b_text"])]
     got = bm25.scores(docs, expanded(terms), "row", fields, s["retrieval.bm25.k1"])
     score = F.lit(0.0)
     for package, value in reach.items():
         score = F.when(F.col("package") == package, float(value)).otherwise(score)
-    rows = docs.join(got.select(F.col("doc").alias("row"), "score"), "row").select((F.col("score") * retrieval.CODE_BOOST * s["retrieval.agent_affinity"]).alias("relevance"), score.alias("reach"), "package", "file", "symbol", F.col("kind_name").alias("kind"), "line")
+    rows = docs.join(got.select(F.col("doc").alias("row"), "score"), "row").select((F.col("score") * retrieval.CODE_BOOST * s["retrieval.agent_affinity"]).alias("relevance"), score.alias("reach"), "package", "file", "symbol", F.col("kind_name").alias("kind"), "line", "orig")
     return [{k: r[k] for k in ("file", "symbol", "kind", "line", "package", "relevance")} for r in retrieval.entry_points(rows, s["retrieval.min_relevance"], max(1, round(s["retrieval.max_code_entry_points"])))]
 
 

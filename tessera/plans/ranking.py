@@ -139,16 +139,6 @@ def implementing(spark, d):
     return retrieval.implementing_packages(reach(spark, d)).select("package", "rank", F.round("score", 6).alias("score"))
 
 
-def entry_points(spark, d):
-    """Parts as symbols of their brand; near ties are ordered on the driver."""
-    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", text.words(F.col("p_name")).alias("title"), text.path_words(F.col("p_brand")).alias("path"))
-    first = parts.select(F.explode("title").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(2)
-    got = bm25.scores(parts, first.select(F.lit("q").alias("query_id"), "term"), "p_partkey", [Field("title", 2.5, 0.75), Field("path", 1.7, 0.5)], k1=1.05)
-    rows = got.join(parts.withColumnRenamed("p_partkey", "doc"), "doc").select((F.col("score") * retrieval.CODE_BOOST * retrieval.AFFINITY).alias("relevance"), F.lit(0.0).alias("reach"), F.col("p_brand").alias("package"), F.col("p_brand").alias("file"), F.col("p_name").alias("symbol"), F.col("doc").alias("line"))
-    best = [(i + 1, r["package"], r["symbol"], r["line"], round(r["relevance"], 6)) for i, r in enumerate(retrieval.entry_points(rows))]
-    return spark.createDataFrame(best, "rank int, package string, symbol string, line long, relevance double")
-
-
 def _counts(c, spark, d, name="documents", key="doc_id", col="text"):
     return table(spark, d, name).select(F.explode(c(F.coalesce(col, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
@@ -180,7 +170,6 @@ QUERIES = {
     "concept_coverage": concept_coverage,
     "package_reach": package_reach,
     "implementing_packages": implementing,
-    "entry_points": entry_points,
     "tokens_unigram": lambda s, d: _counts(text.words, s, d),
     "tokens_bigram": lambda s, d: _counts(lambda c: text.bigrams(text.words(c)), s, d),
     "tokens_path": lambda s, d: _counts(text.path_words, s, d, "pages", "page_id", "url"),

@@ -8,17 +8,24 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera.operators import usage
 
-
-#: Used only where the session names no checkpoint folder.
+#: Used only where a local session names no checkpoint folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessera"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, which only local sessions may leave unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_CHECKPOINTS
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that all executors share, and read from there: no plan behind it, nothing to
     recompute."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
