@@ -57,6 +57,16 @@ def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view(kind).ravel(), dtype=kind)
 
 
+def _grouped(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and places (neither negative) sorted by group, then place: as one number, where both have room in 63 bits."""
+    bits = int(place.max(initial=0)).bit_length()
+    if int(group.max(initial=0)).bit_length() + bits > 63:
+        order = np.lexsort((place, group))
+        return group[order], place[order]
+    both = np.sort(group.astype(np.int64) << bits | place)
+    return both >> bits, (both & ((1 << bits) - 1)).astype(np.int32)
+
+
 def inverted(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """words, the length of each word's list, and the lists one after another, of translated bytes."""
     data = np.frombuffer(raw, np.uint8)
@@ -68,7 +78,7 @@ def inverted(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
     coded = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False)
-    return coded.dictionary, np.bincount(number, minlength=len(coded.dictionary)).astype(np.int32), at[np.argsort(number, kind="stable")]
+    return coded.dictionary, np.bincount(number, minlength=len(coded.dictionary)).astype(np.int32), _grouped(number, at)[1]
 
 
 def _pieces(text: bytes, size: int) -> Iterator[bytes]:
@@ -103,10 +113,13 @@ class _Lists:
         self.words, self.keys, self.lens, self.starts = words, keys, lens, starts
 
     def by_key(self) -> _Lists:
-        order = np.argsort(self.keys >> np.uint64(64 - KEY_BITS), kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        return _Lists(self.words[order], self.keys[order], self.lens[order], self.starts[np.argsort(np.repeat(place, self.lens), kind="stable")])
+        keys = self.keys >> np.uint64(64 - KEY_BITS)
+        order = np.argsort(keys)
+        if (np.diff(keys[order]) == 0).any():  # else there is one order only, however it was found
+            order = np.argsort(keys, kind="stable")
+        lens, begins = self.lens[order], (np.cumsum(self.lens) - self.lens)[order]
+        at = np.arange(len(self.starts)) + np.repeat(begins - (np.cumsum(lens) - lens), lens)
+        return _Lists(self.words[order], self.keys[order], lens, self.starts[at])
 
     def only(self, which: np.ndarray) -> _Lists:
         keep = np.zeros(len(self.lens), bool)
@@ -115,19 +128,20 @@ class _Lists:
 
     def extended(self, postings: _Lists) -> _Lists:
         """Merge join of the positions that follow each phrase with the postings of all words: lists of longer phrases."""
-        order = np.argsort(postings.starts, kind="stable")
+        order = np.argsort(postings.starts)
         places, owner = postings.starts[order], np.repeat(np.arange(len(postings.lens)), postings.lens)[order]
-        phrase, follow = np.repeat(np.arange(len(self.lens)), self.lens), self.starts + self.words.shape[1]
+        order = np.argsort(self.starts)
+        phrase, starts = np.repeat(np.arange(len(self.lens)), self.lens)[order], self.starts[order]
+        follow = starts + self.words.shape[1]
         at = np.searchsorted(places, follow)
         met = np.flatnonzero(at < len(places))
         met = met[places[at[met]] == follow[met]]
-        pair = phrase[met].astype(np.int64) * len(postings.lens) + owner[at[met]]
-        by = np.argsort(pair, kind="stable")
-        pair = pair[by]
+        # the words that come next, numbered apart within each phrase
+        pair, starts = _grouped(phrase[met] * len(postings.lens) + owner[at[met]], starts[met])
         begin = np.flatnonzero(np.diff(pair, prepend=-1))
         pairs, lens = pair[begin], np.diff(np.append(begin, len(pair)))
         first, last = pairs // max(1, len(postings.lens)), pairs % max(1, len(postings.lens))
-        return _Lists(np.column_stack([self.words[first], last]).astype(np.int32), _longer(self.keys[first], postings.keys[last]), lens.astype(np.int32), self.starts[met][by]).by_key()
+        return _Lists(np.column_stack([self.words[first], last]).astype(np.int32), _longer(self.keys[first], postings.keys[last]), lens.astype(np.int32), starts).by_key()
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
