@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.operators import usage
+from tessera.sources.versions import Versions
 
 #: Used only where a local session names no checkpoint folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessera"
@@ -63,26 +64,35 @@ def read_overlay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return whole.select(F.inline("concepts")), whole.select(F.inline("edges")), whole.select("schema_version", "graph_hash", "model", "generated_at")
 
 
+def _log(spark: SparkSession, path: str) -> Versions:
+    """The usage log; files of a log without versions become its first one."""
+    log = Versions(spark, path)
+    if not log.numbers() and exists(spark, path) and log.plain():
+        log.replace(spark.read.option("mergeSchema", "true").parquet(path), 0, "taken over")
+    return log
+
+
 def open_runs(spark: SparkSession, path: str) -> DataFrame:
     """The usage log: an empty one where there is none, files without a session column read with ''."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], usage.SCHEMA)
-    return usage.with_dotted_filters(usage.with_session(spark.read.option("mergeSchema", "true").parquet(path)))
+    return usage.with_dotted_filters(usage.with_session(_log(spark, path).read(usage.SCHEMA)))
 
 
-def append_runs(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_runs(rows: DataFrame, path: str, batch: tuple[str, int] | None = None) -> bool:
+    """Adds runs in one step; a batch (stream, number) that the log has already is left out, and false comes back."""
+    return _log(rows.sparkSession, path).append(rows, batch)
 
 
 def prune_runs(spark: SparkSession, path: str, days: int, now: int) -> int:
-    """Rewrites the log without runs older than days; returns how many went."""
-    before = open_runs(spark, path)
-    kept = usage.pruned(before, days, now)
-    gone = before.count() - kept.count()
+    """Puts a version of the log without runs older than days in place of the newest; returns how many went.
+
+    The count comes with the write; a version that another writer put meanwhile raises a Conflict and loses nothing.
+    """
+    log = _log(spark, path)
+    number = log.manifest()["number"]
+    before = usage.with_dotted_filters(usage.with_session(log.read(usage.SCHEMA, number)))
+    gone = usage.removed(before, days, now).count()
     if gone:
-        beside = f"{path.rstrip('/')}.next"
-        kept.write.mode("overwrite").parquet(beside)
-        spark.read.parquet(beside).write.mode("overwrite").parquet(path)
+        log.replace(usage.pruned(before, days, now), number, f"pruned {gone}")
     return gone
 
 
