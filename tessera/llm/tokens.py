@@ -19,7 +19,7 @@ A document and its edits must fit into one task's memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -275,9 +275,31 @@ def redactions(spark, text: Column) -> Column:
     return find(text)
 
 
+def recounted(docs: DataFrame, find, vocabulary_path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_encoded, n_tokens_after of docs (doc_id, text): the sums of each text's tree
+    before and after its edits, find(text) -> (a, b, new) of each.  A task holds one tree at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["n_tokens", "n_pretokens", "n_edits", "n_encoded", "n_tokens_after"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(shared)
+        for batch in batches:
+            rows = []
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                tree, edits = TokenTree(text, counter), find(text)
+                before, pieces = tree.total, len(tree.lens)
+                rows.append((before, pieces, len(edits), tree.edit_all(edits) if edits else 0, tree.total))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]], names=["doc_id", *names])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _redacted(text: str) -> list[tuple[int, int, str]]:
+    return [(a, b, f"<{k.upper()}>") for a, b, k in pii.detect(text)]
+
+
 def op3_edit_token_counts(spark, sf_dir: str) -> DataFrame:
     """Token counts of every whole document before and after the redaction of personal data, by trees and edits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
-    grown = docs.withColumns({"tree": tree_of(spark, F.col("text")), "edits": redactions(spark, F.col("text"))})
-    after = grown.withColumn("after", edited(spark, F.col("text"), F.col("tree"), F.col("edits")))
-    return after.select("doc_id", n_tokens(F.col("tree")).alias("n_tokens"), F.size("tree.lens").cast("long").alias("n_pretokens"), F.size("edits").cast("long").alias("n_edits"), F.col("after.n_encoded").alias("n_encoded"), n_tokens(F.col("after.tree")).alias("n_tokens_after"))
+    return recounted(table(spark, sf_dir, "documents"), _redacted)
