@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["check", "code", "severity", "message", "file", "line", "refs"]
@@ -162,6 +162,60 @@ def report(parts: list[DataFrame], least: str | None = None) -> DataFrame:
     return every.orderBy(rank, "check", "code", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "message")
 
 
+def one_pass(nodes: DataFrame, edges: DataFrame, concepts: DataFrame | None = None, concept_edges: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
+    """The findings of all checks of nodes and of the overlay, each table read once: nodes meet their inbound counts in one
+    join, are grouped once by what a check speaks of (a file, or a node), and each group says what is wrong with it; concepts
+    and their edges are grouped together by concept, with the total beside them (a rollup)."""
+    kinds = {"spec_section": "file", "doc": "file", "decision": "id", "context_snapshot": "id"}
+    told = nodes.filter(F.col("type").isin(*kinds)).join(inbound(edges), "id", "left")
+    key = F.when(F.col("type").isin(*[k for k, by in kinds.items() if by == "file"]), F.col("file")).otherwise(F.col("id"))
+    groups = told.groupBy("type", key.alias("key")).agg(
+        F.max(F.coalesce("referring", F.lit(0))).alias("referring"), F.max(F.coalesce("any", F.lit(0))).alias("any"), F.array_sort(F.collect_set("id")).alias("ids"), F.min("file").alias("file"), F.min("name").alias("name"),
+        F.count("*").alias("n"),
+    )
+    if topics is not None:
+        declared = topics.select(F.lower("topic").alias("topic")).distinct().withColumn("declared", F.lit(True))
+        topic = F.when(F.col("type") == "context_snapshot", F.lower(F.split_part(F.coalesce("file", F.lit("")), F.lit("/"), F.lit(2))))
+        groups = groups.withColumn("topic", topic).join(declared, "topic", "left")
+    else:
+        groups = groups.withColumn("declared", F.lit(True))
+    kind, no_ids = F.col("type"), F.array().cast("array<string>")
+
+    def said(code: str, severity: str, message: Column, refs: Column) -> Column:
+        return F.struct(F.lit("orphans").alias("check"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.col("file").alias("file"), F.lit(None).cast("long").alias("line"), refs.alias("refs"))
+
+    wrong = (
+        F.when((kind == "spec_section") & (F.col("referring") == 0), said("ORPH001", "error", F.format_string("spec file %s is not referenced by any agent or document", "file"), F.col("ids")))
+        .when((kind == "decision") & (F.col("referring") == 0), said("ORPH001", "error", F.format_string("decision %s is not referenced by any agent or document", "name"), F.col("ids")))
+        .when((kind == "doc") & (F.col("any") == 0), said("ORPH002", "warn", F.format_string("doc file %s has no inbound references", "file"), no_ids))
+        .when((kind == "context_snapshot") & (F.col("any") == 0) & F.col("declared").isNull(), said("ORPH003", "info", F.format_string("context snapshot %s is not referenced by any agent", "file"), F.col("ids")))
+    )
+    # a node id that several nodes share gives a finding each, as the single checks do
+    times = F.when(kind.isin("decision", "context_snapshot"), F.col("n")).otherwise(1).cast("int")
+    out = groups.withColumn("wrong", wrong).filter(F.col("wrong").isNotNull()).select(F.explode(F.array_repeat("wrong", times)).alias("w")).select("w.*")
+    if concepts is None or concept_edges is None:
+        return out
+    open_ = (~F.coalesce("reviewed", F.lit(False))).cast("long")
+    both = concepts.select("id", "name", open_.alias("open"), F.lit(1).alias("concept"), F.lit(0).alias("implements")).unionAll(concept_edges.select(F.col("from").alias("id"), F.lit(None).cast("string").alias("name"), open_.alias("open"), F.lit(0).alias("concept"), (F.col("type") == "implements").cast("int").alias("implements")))
+    items = both.rollup("id").agg(F.grouping("id").alias("total"), F.sum("open").alias("open"), F.sum("concept").alias("concept"), F.max("implements").alias("implements"), F.min("name").alias("name"))
+    code = F.when(F.col("total") == 1, "STALE003").otherwise("COV005")
+    bad = items.filter(((F.col("total") == 1) & (F.col("open") > 0)) | ((F.col("total") == 0) & (F.col("concept") > 0) & (F.col("implements") == 0)))
+    message = F.when(F.col("total") == 1, F.format_string("%d overlay items are not reviewed", "open")).otherwise(F.format_string('concept "%s" (%s) has no implementing code package', "name", "id"))
+    more = bad.select(F.when(F.col("total") == 1, "staleness").otherwise("coverage").alias("check"), code.alias("code"), F.lit("warn").alias("severity"), message.alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.when(F.col("total") == 1, no_ids).otherwise(F.array("id")).alias("refs"))
+    return out.unionByName(more)
+
+
+def run(findings: DataFrame, write, at: str = "error", checks: tuple[str, ...] = ()) -> dict:
+    """Writes the findings of the checks by write(report) and says, of that one action, how many there are of each severity,
+    and whether one is as bad as at: {"error": n, "warn": n, "info": n, "failed": bool}."""
+    chosen = selected(findings, list(checks))
+    seen = Observation()
+    # above the sort, whose sampling reads what lies below it a second time
+    write(report([chosen]).observe(seen, *[F.count_if(F.col("severity") == s).alias(s) for s in RANK]))
+    counts = seen.get
+    return {**counts, "failed": any(counts[s] for s, r in RANK.items() if r <= RANK[at])}
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """severity, n with a row for each severity."""
     spark = findings.sparkSession

@@ -104,8 +104,9 @@ def near_duplicates(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     spread = b.withColumn("n", F.length("other_norm")).join(F.broadcast(shapes), "n").withColumn("part", F.substring("other_norm", F.col("at"), F.col("width")))
     pairs = wanted.join(spread, ["n", "at", "width", "part"]).select("name", "norm", "t", "other", "other_norm")
     short = cut.filter("width = 0").withColumn("n", F.explode(F.sequence(F.lit(0), F.length("norm") + F.col("t")))).join(b.withColumn("n", F.length("other_norm")), "n").select("name", "norm", "t", "other", "other_norm")
-    found = pairs.unionAll(short).distinct().withColumn("distance", F.levenshtein("norm", "other_norm"))
-    return found.filter(F.col("distance") <= F.col("t")).select("name", "other", F.col("distance").cast("int").alias("distance"))
+    found = pairs.unionAll(short).withColumn("distance", F.when(F.col("t") == 3, F.levenshtein("norm", "other_norm", 3)).otherwise(F.levenshtein("norm", "other_norm", 2)))
+    # a pair that shares several parts is found several times; few are left of those compared
+    return found.filter("distance >= 0").select("name", "other", F.col("distance").cast("int").alias("distance")).distinct()
 
 
 def fresh(overlay: DataFrame, graph_hash: str, model: str) -> bool:

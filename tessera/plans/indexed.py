@@ -111,4 +111,5 @@ SELECT query_id, doc AS doc_id, rank, round(score, 6) AS score FROM (SELECT *, r
 best AS (SELECT query_id, doc FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) = 1)
 SELECT query_id, doc AS doc_id, field, round(sum(contrib * part / total), 6) AS share FROM contrib JOIN best USING (query_id, doc) JOIN parts USING (doc, term) WHERE part > 0 GROUP BY 1, 2, 3""",
     "vocabulary": f"WITH raw AS (SELECT {_BODY} AS body, {_PATH} AS path FROM documents), every AS (SELECT unnest(body) AS word FROM raw UNION ALL SELECT unnest(path) FROM raw), {sql_stems('every')} SELECT word, term FROM voc",
+    "tokens_stemmed": f"WITH raw AS (SELECT unnest({_BODY}) AS word FROM documents), {sql_stems('raw')} SELECT term AS stem, count(*) AS n FROM raw JOIN voc USING (word) GROUP BY 1",
 }

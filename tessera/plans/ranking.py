@@ -89,8 +89,10 @@ def route(spark, d):
 
 
 def route_owner(spark, d):
-    got = _owner_scores(spark, d)
-    return routing.route(got, temperature=2.0, least_candidate=0.02).select("query_id", "owner", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("candidates", lambda x: x["name"]), ",").alias("candidates"))
+    docs, asked = _docs(spark, d), _terms(spark)
+    found = routing.found_scores(docs, asked, "source", FIELDS, grouped=True).withColumn("score", F.round("score", 9))
+    got, owners = routing.with_absent(found, asked, docs.select(F.col("source").alias("doc")).distinct(), 0.02)
+    return routing.route(got, temperature=2.0, least_candidate=0.02, owners=owners).select("query_id", "owner", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("candidates", lambda x: x["name"]), ",").alias("candidates"))
 
 
 def penalty(spark, d):
@@ -149,9 +151,14 @@ def stemmed(spark, d):
 
 
 def rewrite(spark, d):
-    rows = [(1, ["code", "index"]), (2, ["code"]), (3, ["code", "graph", "index"]), (4, ["index", "load"]), (5, []), (6, ["code", "index", "codeindex"])]
-    terms = spark.createDataFrame(rows, "id int, terms array<string>")
-    return terms.select("id", F.array_join(text.drop_noise(F.col("terms")), " ").alias("kept"), F.array_join(text.expand_terms(F.col("terms")), " ").alias("expanded"))
+    """The words of each item, of which some lengths stand for the words that a rewrite looks for."""
+
+    def said(w):
+        n = F.length(w) % 5
+        return F.when(n == 0, "code").when(n == 1, "index").when((n == 2) & w.startswith("t"), "codeindex").otherwise(w)
+
+    own = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.transform(F.slice(text.words(F.coalesce("text", F.lit(""))), F.lit(1), F.col("item_id").cast("int") % 4 + 1), said)).alias("terms"))
+    return own.select("item_id", F.array_join(text.drop_noise(F.col("terms")), " ").alias("kept"), F.array_join(text.expand_terms(F.col("terms")), " ").alias("expanded"))
 
 
 QUERIES = {
@@ -255,7 +262,10 @@ SELECT 'q' AS query_id, t.doc AS owner, round(t.conf, 6) AS confidence, CASE WHE
     "tokens_unigram": _count_sql(_W, "documents"),
     "tokens_bigram": f"WITH w AS (SELECT {_W} AS w FROM documents) SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || '_' || w[i + 1])) AS term FROM w) GROUP BY term",
     "tokens_path": _count_sql(sql_path("coalesce(url, '')"), "pages"),
-    "query_rewrite": "SELECT * FROM (VALUES (1, 'index', 'index codeindex'), (2, 'code', 'code'), (3, 'graph index', 'graph index codeindex'), (4, 'index load', 'index load'), (5, '', ''), (6, 'index codeindex', 'index codeindex')) v(id, kept, expanded)",
+    "query_rewrite": f"""WITH w AS (SELECT item_id, list_transform(({_W})[1:item_id % 4 + 1], lambda w: CASE WHEN length(w) % 5 = 0 THEN 'code' WHEN length(w) % 5 = 1 THEN 'index' WHEN length(w) % 5 = 2 AND starts_with(w, 't') THEN 'codeindex' ELSE w END) AS l FROM benchmark),
+t AS (SELECT item_id, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]) AS terms FROM w),
+k AS (SELECT item_id, terms, CASE WHEN len(terms) > 1 AND len(list_filter(terms, lambda x: x <> 'code')) > 0 THEN list_filter(terms, lambda x: x <> 'code') ELSE terms END AS kept FROM t)
+SELECT item_id, array_to_string(kept, ' ') AS kept, array_to_string(CASE WHEN list_contains(terms, 'code') AND list_contains(kept, 'index') AND NOT list_contains(kept, 'codeindex') THEN list_append(kept, 'codeindex') ELSE kept END, ' ') AS expanded FROM k""",
     "token_estimate": "SELECT doc_id, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM documents",
     "slugify": "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS bare FROM part",
     "camel_split": f"""WITH n AS (SELECT p_partkey, {sql_words("regexp_replace(translate('load' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || '.runAll', './_', '   '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')")} AS w FROM part)

@@ -144,8 +144,8 @@ def drift_unmentioned(spark, d):
 
 
 def _report(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
-    return [audit.orphan_specs(n, e), audit.orphan_decisions(n, e), audit.orphan_docs(n, e), audit.unimplemented(_concepts(spark, d), _concept_edges(spark, d)), audit.unreviewed(_concepts(spark, d), _concept_edges(spark, d))]
+    """The findings of all checks, from one reading of the graph and of the overlay."""
+    return [audit.one_pass(nodes(spark, d), edges(spark, d), _concepts(spark, d), _concept_edges(spark, d))]
 
 
 def staleness(spark, d):
@@ -181,8 +181,9 @@ def validate(spark, d):
 
 
 def near_duplicates(spark, d):
-    names = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
-    return overlay.near_duplicates(names, names)
+    """Words of benchmark items as proposals, the symbols of documents as what there is."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +")).alias("name")).filter(F.length("name") >= 6).distinct()
+    return overlay.near_duplicates(words, _symbols(spark, d).select("name").filter(F.length("name") >= 6).distinct())
 
 
 # ---- texts ----
@@ -350,8 +351,9 @@ t AS (SELECT agent, scope, regexp_replace(scope, '/+$', '') AS path FROM s WHERE
     "overlay_merge_edges": f"""WITH {_CON}, m AS (SELECT id FROM con WHERE flagged OR reviewed), e AS (SELECT "from", "to", type, false AS reviewed FROM ce WHERE "to" < 'package:4' UNION ALL SELECT "from", "to", type, reviewed FROM ce WHERE reviewed AND "to" >= 'package:4') SELECT * FROM e WHERE "from" IN (SELECT id FROM m)""",
     "overlay_validate": """SELECT doc_id, 'concept:' || doc_id AS "from", 'nation:' || doc_id % 40 AS "to", CASE WHEN toxic = 1 THEN 'implements' ELSE 'drifted_from' END AS type, 'EXTRACTED' AS tag, CASE WHEN doc_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, doc_id % 2 = 0 AS reviewed FROM labels WHERE quality = 1 AND doc_id % 40 IN (SELECT n_nationkey FROM nation)""",
     "allowlist": f"WITH {_GRAPH}, {_CON} SELECT id FROM nodes UNION SELECT id FROM con WHERE reviewed",
-    "near_duplicates": """WITH n AS (SELECT DISTINCT s_name AS name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS norm FROM supplier)
-SELECT a.name, b.name AS other, CAST(levenshtein(a.norm, b.norm) AS INTEGER) AS distance FROM n a, n b WHERE levenshtein(a.norm, b.norm) <= CASE WHEN length(a.norm) > 10 THEN 3 ELSE 2 END""",
+    "near_duplicates": f"""WITH {_CAND}, a AS (SELECT DISTINCT t AS name, lower(t) AS norm FROM (SELECT unnest(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +')) AS t FROM benchmark) WHERE length(t) >= 6),
+b AS (SELECT DISTINCT name AS other, lower(name) AS other_norm FROM syms WHERE length(name) >= 6)
+SELECT name, other, CAST(levenshtein(norm, other_norm) AS INTEGER) AS distance FROM a, b WHERE abs(length(norm) - length(other_norm)) <= 3 AND levenshtein(norm, other_norm) <= CASE WHEN length(norm) > 10 THEN 3 ELSE 2 END""",
     "md_sections": """WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 m AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN '## ' || t ELSE t END AS t FROM l),
 g AS (SELECT *, count(*) FILTER (WHERE starts_with(t, '## ')) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM m)
