@@ -1,4 +1,4 @@
-"""Scopes of agents over paths, and entry points in near-tie order."""
+"""Scopes of agents over paths, entry points in near-tie order, and symbols of Go sources."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from tessera.operators import bm25, retrieval
 from tessera.operators.bm25 import Field
 from tessera.plans.common import sql_path, sql_words, table
 from tessera.plans.ranking import sql_scores
+from tessera.sources import workspace
 
 _SYMBOL_FIELDS = [Field("title", 2.5, 0.75), Field("path", 1.7, 0.5)]
 
@@ -43,11 +44,28 @@ def entry_points(spark, d):
     return retrieval.near_tie_order(rows.filter(F.col("relevance") >= retrieval.LEAST)).select("query_id", "rank", "package", "symbol", "line", F.round("relevance", 6).alias("relevance"))
 
 
-QUERIES = {"connected_agents": connected_agents, "entry_points": entry_points}
+def go_symbols(spark, d):
+    """The symbols of a Go source made of each document: its text in a comment and in a raw string, beside declarations, and
+    beside what looks like some in literals."""
+    own = F.coalesce("text", F.lit(""))
+    number = F.col("doc_id").cast("string")
+    source = F.concat(
+        F.lit("package p\n/*\n"), F.replace(own, F.lit("*/"), F.lit("")), F.lit("\nfunc InComment() {}\n*/\nvar raw = `"), F.replace(own, F.lit("`"), F.lit("")), F.lit("\nfunc InRaw() {}\n`\nfunc F"), number,
+        F.lit('() { s := "func InString() {"; type Local int }\ntype (\n\tT'), number, F.lit(" struct {\n\t\tField int\n\t}\n)\nconst V"), number, F.lit(", w = '{', 2\n"),
+    )
+    sources = table(spark, d, "documents").select(F.concat(F.lit("code/"), number, F.lit(".go")).alias("path"), source.alias("text"))
+    packages = sources.select(F.col("path").alias("file"), F.lit("p").alias("package"))
+    return workspace.symbols(sources, packages)
+
+
+QUERIES = {"go_symbols": go_symbols, "connected_agents": connected_agents, "entry_points": entry_points}
 
 _BEFORE = """CASE WHEN abs(x[1].relevance - y.relevance) > 0.12::DOUBLE THEN x[1].relevance > y.relevance WHEN x[1].reach <> y.reach THEN x[1].reach > y.reach WHEN x[1].package <> y.package THEN x[1].package > y.package
   WHEN x[1].symbol <> y.symbol THEN x[1].symbol < y.symbol ELSE x[1].line < y.line END"""
 ORACLE_SQL = {
+    "go_symbols": """WITH n AS (SELECT doc_id, 2 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS n FROM documents),
+r AS (SELECT doc_id, n, unnest(['F', 'T', 'V']) AS name, unnest(['func', 'type', 'value']) AS kind, unnest([9, 11, 15]) AS line FROM n)
+SELECT 'p' AS package, name || doc_id AS name, kind, 'code/' || doc_id || '.go' AS file, CAST(line + n AS INTEGER) AS line FROM r""",
     "connected_agents": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
 s AS (SELECT DISTINCT 'a' || page_id % 50 AS agent, CASE page_id % 7 WHEN 0 THEN split_part(path, '/', 1) || '/**' WHEN 1 THEN regexp_replace(path, '/[^/]*$', '/*') WHEN 2 THEN path WHEN 3 THEN path[1:5] || '*'
   WHEN 4 THEN regexp_replace(regexp_replace(path, '^[^.]*', '*'), '[0-9]+.*$', '??*') WHEN 5 THEN split_part(path, '/', 1) || '/*/*[0-4]' ELSE '' END AS scope FROM p),

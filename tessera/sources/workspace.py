@@ -66,28 +66,59 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("module"))
 
 
-_FUNC, _TYPE, _VALUE = r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)", r"^type\s+([A-Z]\w*)", r"^(?:var|const)\s+([A-Z]\w*)"
+_ESCAPE = r"""\\[\\"'abfnrtvxuU0-7]"""
+_PIECE = r"""(?s)//[^\n]*+|/\*.*?\*/|`[^`]*+`|"[^"\n]*+"|'[^'\n]*+'|[^/`"']++|."""
+_NAME = r"[\p{L}_][\p{L}\p{Nd}_]*"
+
+
+def go_code(text: Column) -> Column:
+    """A Go source with comments blank and literals empty, line for line.
+
+    Escapes go first: those that may stand in a string stand for nothing elsewhere that matters, as a backslash does not
+    escape a back quote.  Then the text is cut, from left to right, into comments, literals and what lies between.
+    """
+    cut = F.regexp_extract_all(F.regexp_replace(text, _ESCAPE, "__"), F.lit(_PIECE), F.lit(0))
+
+    def kept(piece: Column) -> Column:
+        ends = F.regexp_replace(piece, r"[^\n]+", "")
+        return F.when(piece.startswith("//") | piece.startswith("/*"), F.concat(F.lit(" "), ends)).when((F.length(piece) > 1) & piece.substr(1, 1).isin('"', "'", "`"), F.concat(F.lit('""'), ends)).otherwise(piece)
+
+    return F.array_join(F.transform(cut, kept), "")
 
 
 def symbols(sources: DataFrame, packages: DataFrame) -> DataFrame:
-    """package, name, kind, file, line of exported names; by the lines' shapes, grouped declarations included.
+    """package, name, kind, file, line of the exported names that Go sources declare outside functions.
 
-    sources: (path, text); packages: (file, package).
+    sources: (path, text); packages: (file, package).  Statements are lines of go_code(), cut at semicolons; how deep each
+    lies is a running sum of brackets, so that only declarations count, single or in groups, and not what looks like one in a
+    literal, a comment, a body or the rest of a longer expression.  A file without a package clause, or whose brackets do not
+    balance, has no symbols.
     """
-    lines = graph.lines(sources.withColumnRenamed("path", "file"), "file")
-    w = graph.Window.partitionBy("file").orderBy("line").rowsBetween(graph.Window.unboundedPreceding, 0)
-    opens = F.regexp_extract("x", r"^(type|var|const)\s*\($", 1)
-    block = F.last(F.when(opens != "", opens).when(F.col("x").startswith(")"), "").when(F.col("x").rlike(r"^\S"), ""), ignorenulls=True).over(w)
-    inner = F.regexp_extract("x", r"^\t([A-Z]\w*)\b", 1)
-    kinds = F.array(
-        F.struct(F.regexp_extract("x", _FUNC, 1).alias("name"), F.lit("func").alias("kind")),
-        F.struct(F.regexp_extract("x", _TYPE, 1).alias("name"), F.lit("type").alias("kind")),
-        F.struct(F.regexp_extract("x", _VALUE, 1).alias("name"), F.lit("value").alias("kind")),
-        F.struct(F.when(F.col("block") == "type", inner).otherwise("").alias("name"), F.lit("type").alias("kind")),
-        F.struct(F.when(F.col("block").isin("var", "const"), inner).otherwise("").alias("name"), F.lit("value").alias("kind")),
-    )
-    found = lines.withColumn("block", block).select("file", "line", F.explode(F.filter(kinds, lambda k: k["name"] != "")).alias("k"))
-    return found.join(packages, "file", "left").select("package", "k.name", "k.kind", "file", F.col("line").cast("int").alias("line"))
+    cut = sources.select(F.col("path").alias("file"), F.posexplode(F.split(go_code(F.col("text")), "\n")).alias("line", "x"))
+    parts = cut.select("file", (F.col("line") + 1).alias("line"), F.posexplode(F.split("x", ";")).alias("nth", "x")).withColumn("x", F.trim(F.regexp_replace("x", r"\s+", " ")))
+
+    def count(signs: str) -> Column:
+        return F.length("x") - F.length(F.translate("x", signs, ""))
+
+    w = graph.Window.partitionBy("file").orderBy("line", "nth")
+    upto, every = w.rowsBetween(graph.Window.unboundedPreceding, 0), graph.Window.partitionBy("file")
+    deep = parts.withColumn("step", count("{([") - count("})]")).withColumn("depth", F.sum("step").over(upto))
+    deep = deep.withColumns({"before": F.col("depth") - F.col("step"), "sound": (F.sum("step").over(every) == 0) & (F.min("depth").over(every) >= 0) & F.max(F.col("x").rlike(r"^package \w")).over(every)}).filter("sound AND x <> ''")
+    opens = F.regexp_extract("x", r"^(type|var|const) ?\(", 1)
+    # the group that a statement lies in, and whether it goes on with the one before, whose end asks for more
+    grouped = deep.withColumns({
+        "block": F.last(F.when(F.col("before") == 0, opens), ignorenulls=True).over(upto),
+        "goes_on": F.coalesce((F.lag("line").over(w) < F.col("line")) & F.lag("x").over(w).rlike(r"[-+*/%&|^<>=!,.:]$") & ~F.lag("x").over(w).rlike(r"(\+\+|--)$"), F.lit(False)),
+    })
+    alone = F.when(F.col("before") == 0, F.regexp_extract("x", rf"^(?:type|var|const) ({_NAME}(?: ?, ?{_NAME})*)", 1))
+    inner = F.when((F.col("before") == 1) & (F.col("block") != ""), F.regexp_extract(F.regexp_replace("x", r"^(?:type|var|const) ?\( ?", ""), rf"^({_NAME}(?: ?, ?{_NAME})*)", 1))
+    first = F.when((F.col("before") == 0) & (opens != ""), F.regexp_extract("x", rf"\( ?({_NAME}(?: ?, ?{_NAME})*)", 1))
+    kind = F.when(F.coalesce(F.nullif(opens, F.lit("")), F.regexp_extract("x", "^(type|var|const) ", 1), F.lit("")) == "type", "type")
+    kind = F.when(F.col("before") == 1, F.when(F.col("block") == "type", "type").otherwise("value")).otherwise(F.coalesce(kind, F.lit("value")))
+    function = F.when(F.col("before") == 0, F.regexp_extract("x", rf"^func ?(?:\([^)]*\) ?)?({_NAME})", 1))
+    names = F.concat(F.split(F.coalesce(F.nullif(function, F.lit("")), F.nullif(alone, F.lit("")), F.nullif(inner, F.lit("")), first, F.lit("")), " ?, ?"))
+    said = grouped.filter(~F.col("goes_on")).select("file", "line", "nth", F.when(F.coalesce(function, F.lit("")) != "", "func").otherwise(kind).alias("kind"), F.explode(names).alias("name"))
+    return said.filter(F.col("name").rlike(r"^\p{Lu}")).join(packages, "file", "left").select("package", "name", "kind", "file", F.col("line").cast("int").alias("line"))
 
 
 def agents(found: DataFrame) -> DataFrame:
