@@ -270,3 +270,32 @@ def as_text(findings: DataFrame) -> DataFrame:
     """value: severity, code, place and message on a line."""
     place = F.concat(F.col("file"), F.when(F.coalesce("line", F.lit(0)) > 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
     return findings.select(F.concat_ws(" ", F.rpad("severity", 5, " "), "code", place, "message").alias("value"))
+
+
+# Headings of the styled report, and what sets them off on a terminal.
+HEADINGS = {"error": ("Errors", "1;31"), "warn": ("Warnings", "1;33"), "info": ("Info", "1;36")}
+
+
+def as_styled(findings: DataFrame, least: str = "info", cap: int = 25, colours: bool = True) -> DataFrame:
+    """line, value: for each severity down to least its heading, with how many of how many are shown, and at most cap
+    findings below; the counts of all stand first.  Colours are terminal codes.
+
+    A task ranks its own findings before they meet, so a severity with most of them is no more than cap a task.
+    """
+    def styled(c: Column, code: str) -> Column:
+        return F.concat(F.lit(f"\x1b[{code}m"), c, F.lit("\x1b[0m")) if colours else c
+
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    counts = severity_counts(findings).withColumn("rank", rank)
+    first = counts.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "n", "severity"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["severity"])), ", ").alias("value"))
+    told = F.lit("")
+    for name, (text, code) in HEADINGS.items():
+        told = F.when(F.col("severity") == name, styled(F.lit(text), code)).otherwise(told)
+    more = F.when(F.col("n") > cap, F.format_string("  (showing %d of %d)", F.lit(cap), F.col("n"))).otherwise("")
+    heads = counts.filter((F.col("n") > 0) & (F.col("rank") <= RANK[least])).select("rank", F.lit(0).alias("at"), F.concat(told, more).alias("value"))
+    w = Window.partitionBy("severity").orderBy("check", "code", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "message")
+    kept = findings.filter(rank <= RANK[least]).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= cap)
+    place = F.concat(F.col("file"), F.when(F.coalesce("line", F.lit(0)) > 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
+    rows = kept.select(rank.alias("rank"), "at", F.concat_ws(" ", F.lit("  "), styled(F.col("code"), "2"), F.nullif(place, F.lit("")), "message").alias("value"))
+    every = first.select(F.lit(-1).alias("rank"), F.lit(0).alias("at"), "value").unionAll(heads).unionAll(rows)
+    return every.withColumn("line", F.row_number().over(Window.orderBy("rank", "at"))).select("line", "value").orderBy("line")

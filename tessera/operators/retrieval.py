@@ -44,8 +44,12 @@ def with_relevance(scored: DataFrame, affine: Column | None = None) -> DataFrame
     return out.withColumn("relevance", F.col("score") * boost(F.col("tier"), F.col("trust")) * factor)
 
 
+def block_order_of(*by: str):
+    return Window.partitionBy(*by).orderBy(F.desc("relevance"), F.desc(trust_rank(F.col("trust"))), "file", "section")
+
+
 def block_order(by: str = "query_id"):
-    return Window.partitionBy(by).orderBy(F.desc("relevance"), F.desc(trust_rank(F.col("trust"))), "file", "section")
+    return block_order_of(by)
 
 
 def blocks(relevant: DataFrame, least: float = LEAST, cap: int = BLOCKS) -> DataFrame:
@@ -54,12 +58,18 @@ def blocks(relevant: DataFrame, least: float = LEAST, cap: int = BLOCKS) -> Data
 
 
 def with_scope_survivor(relevant: DataFrame, scoped: Column, least: float = LEAST, cap: int = BLOCKS) -> DataFrame:
-    """blocks(), but if none is in scope and a later one is, the first such takes the last place."""
-    passed = relevant.filter(F.col("relevance") >= least).withColumn("rank", F.row_number().over(block_order())).withColumn("scoped", F.coalesce(scoped, F.lit(False)))
+    """blocks(), but if none is in scope and a later one is, the first such takes the last place.
+
+    First the best cap blocks in scope and the best cap others of each query are taken, which a task does for its own rows
+    before anything moves; all that counts is among them.
+    """
+    passed = relevant.filter(F.col("relevance") >= least).withColumn("scoped", F.coalesce(scoped, F.lit(False)))
+    near = passed.withColumn("_k", F.row_number().over(block_order_of("query_id", "scoped"))).filter(F.col("_k") <= cap).drop("_k")
     q = Window.partitionBy("query_id")
+    ranked = near.withColumn("rank", F.row_number().over(block_order()))
     first = F.min(F.when(F.col("scoped"), F.col("rank"))).over(q)
     last = F.least(F.max("rank").over(q), F.lit(cap))
-    marked = passed.withColumns({"first": first, "last": last})
+    marked = ranked.withColumns({"first": first, "last": last})
     swap = F.col("first").isNotNull() & (F.col("first") > cap)
     keep = F.when(swap, (F.col("rank") < F.col("last")) | (F.col("rank") == F.col("first"))).otherwise(F.col("rank") <= cap)
     return marked.filter(keep).withColumn("rank", F.least("rank", "last").cast("long")).drop("first", "last")
@@ -116,10 +126,12 @@ def excluded(nodes: DataFrame, include_notes: bool) -> DataFrame:
 
 
 def concept_threshold(scores: DataFrame, least: float = CONCEPT_LEAST, of_top: float = CONCEPT_OF_TOP) -> DataFrame:
-    """Scores (query_id, doc, score) that reach both the floor and a share of the query's best."""
-    w = Window.partitionBy("query_id")
-    limit = F.greatest(F.lit(least), F.max("score").over(w) * of_top) if of_top > 0 else F.lit(least)
-    return scores.withColumn("threshold", limit).filter(F.col("score") >= F.col("threshold"))
+    """Scores (query_id, doc, score) that reach both the floor and a share of the query's best; the best is aggregated where
+    the scores lie, and only scores that can pass are compared with it."""
+    if of_top <= 0:
+        return scores.withColumn("threshold", F.lit(float(least))).filter(F.col("score") >= least)
+    top = scores.groupBy("query_id").agg(F.greatest(F.lit(float(least)), F.max("score") * of_top).alias("threshold"))
+    return scores.filter(F.col("score") >= least).join(top, "query_id").filter(F.col("score") >= F.col("threshold")).select(*scores.columns, "threshold")
 
 
 def coverage(concept_words: Column, terms: Column) -> Column:

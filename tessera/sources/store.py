@@ -129,6 +129,11 @@ def piped(rows: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     return rows.filter(F.octet_length("text") <= most_bytes)
 
 
+def refused(rows: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """id, error of the rows (id, text) that a pipe refuses."""
+    return rows.filter(F.octet_length("text") > most_bytes).select("id", F.lit(f"input exceeds {most_bytes} byte limit").alias("error"))
+
+
 def kept_raw(rows: DataFrame, mode: str = "failure") -> DataFrame:
     """Captured outputs that are kept as they are: after failure, always or never."""
     if mode == "always":

@@ -202,3 +202,27 @@ def required(found: DataFrame) -> DataFrame:
     from tessera.operators import audit
 
     return audit.required(found, [("AGENTS.md", "error"), ("README.md", "warning")])
+
+
+#: Layers of a workspace in the order in which they are believed.
+LAYERS = ("specs", "docs", "context", "notes")
+
+
+def manifest(files: DataFrame, name: str) -> DataFrame:
+    """project, description that the manifest of that name says (path, text), a "key: value" a line, the last one of a key;
+    null where it does not say it."""
+
+    def field(key: str) -> Column:
+        return F.trim(F.element_at(F.filter(F.split("text", "\r?\n"), lambda x: x.startswith(f"{key}: ")), -1).substr(F.lit(len(key) + 3), F.length("text")))
+
+    own = files.filter(F.col("path") == name)
+    some = F.exists(F.split("text", "\r?\n"), lambda x: x.startswith("project: ")), F.exists(F.split("text", "\r?\n"), lambda x: x.startswith("description: "))
+    return own.select(F.when(some[0], field("project")).alias("project"), F.when(some[1], field("description")).alias("description"))
+
+
+def layers(files: DataFrame) -> DataFrame:
+    """layer, files: the layers in their order, with the number of files below each (path)."""
+    spark = files.sparkSession
+    wanted = spark.createDataFrame(list(enumerate(LAYERS)), "rank int, layer string")
+    counted = files.groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("layer")).agg(F.count("*").alias("files"))
+    return wanted.join(counted, "layer", "left").select("rank", "layer", F.coalesce("files", F.lit(0)).alias("files")).orderBy("rank").drop("rank")
