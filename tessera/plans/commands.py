@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import filters, readers, rewrite
-from tessera.operators import compact, graph
+from tessera.operators import compact, graph, outputs
 from tessera.plans.common import table
 
 _TOOLS = ["ls", "find", "rg", "cargo build", "npm install", "make", "go build", "go test", "git status", "env", "wc", "pytest", "jq", "other"]
@@ -51,7 +51,23 @@ def go_outline(spark, d):
     return files.select("doc_id", readers.filtered(F.lit("go"), F.col("text")).alias("outline"))
 
 
+def native_filters(spark, d):
+    """Listings, matches and settings made of pages, documents and customers, in their native compact forms."""
+
+    def output(rows, tool, by, order, line):
+        listed = rows.filter(line.isNotNull()).groupBy(by.alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("x")))), lambda r: r["x"]), "\n").alias("stdout"))
+        return listed.select(F.concat(F.lit(f"{tool}:"), F.col("g").cast("string")).alias("id"), F.array(F.lit(tool)).alias("args"), "stdout", F.lit("").alias("stderr"), F.lit(0).alias("exit_code"), F.lit(False).alias("ultra"))
+
+    pages, docs, customers = table(spark, d, "pages"), table(spark, d, "documents"), table(spark, d, "customer")
+    key = F.concat(F.when(F.col("c_nationkey") % 3 == F.col("c_custkey") % 3, "API_KEY_").otherwise("NAME_"), F.col("c_custkey").cast("string"))
+    every = output(pages, "find", F.col("page_id") % 5, F.col("page_id"), F.regexp_replace("url", "^[a-z]+://|[?#].*$", ""))
+    every = every.unionAll(output(docs, "rg", F.col("doc_id") % 7, F.col("doc_id"), F.concat(F.col("source"), F.lit(":"), F.col("doc_id").cast("string"), F.lit(":n="), F.col("n_chars").cast("string"))))
+    every = every.unionAll(output(customers, "env", F.col("c_nationkey"), F.col("c_custkey"), F.concat(key, F.lit("="), "c_mktsegment")))
+    return every.withColumn("c", outputs.compact(F.col("args"))).select("id", "c.filter", "c.out", "c.err")
+
+
 QUERIES = {
+    "native_filters": native_filters,
     "line_filters": line_filters,
     "filter_dispatch": lambda s, d: captured(s, d).select("doc_id", filters.filter_column(F.col("args")).alias("filter")),
     "rewrite_cmd": rewritten,
@@ -61,6 +77,20 @@ QUERIES = {
     "compact_generic": lambda s, d: table(s, d, "documents").select("doc_id", compact.generic(F.col("text")).alias("text")),
 }
 ORACLE_SQL = {
+    "native_filters": r"""WITH p AS (SELECT DISTINCT page_id % 5 AS g, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS x FROM pages WHERE url IS NOT NULL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY encode(x)) AS k, regexp_extract(x, '([^/]*)$', 1) AS name FROM p),
+pe AS (SELECT g, CASE WHEN contains(name, '.') AND regexp_extract(name, '([^.]*)$', 1) <> '' THEN lower(regexp_extract(name, '([^.]*)$', 1)) ELSE '(noext)' END AS e, count(*) AS n FROM pk GROUP BY ALL),
+pb AS (SELECT g, string_agg(e || '=' || n, ', ' ORDER BY encode(e)) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY encode(e)) AS k FROM pe) WHERE k <= 16 GROUP BY g),
+ps AS (SELECT g, count(*) AS n, string_agg('  ' || x, chr(10) ORDER BY k) FILTER (WHERE k <= 50) AS sample FROM pk GROUP BY g),
+m AS (SELECT doc_id % 7 AS g, source, count(*) AS n, min_by('  L' || doc_id || ': n=' || n_chars, doc_id) AS first FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY ALL),
+mk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY source) AS k FROM m),
+c AS (SELECT c_nationkey AS g, CASE WHEN c_nationkey % 3 = c_custkey % 3 THEN 'API_KEY_' ELSE 'NAME_' END || c_custkey AS key FROM customer WHERE c_mktsegment IS NOT NULL),
+ck AS (SELECT g, key, row_number() OVER (PARTITION BY g ORDER BY key) AS k FROM c WHERE NOT starts_with(key, 'API')),
+cn AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE starts_with(key, 'API')) AS r FROM c GROUP BY g),
+cs AS (SELECT g, string_agg('  ' || key, chr(10) ORDER BY k) FILTER (WHERE k <= 60) AS keys, count(*) AS shown FROM ck GROUP BY g)
+SELECT 'find:' || g AS id, 'find' AS filter, 'find summary: unique_paths=' || n || chr(10) || 'by_ext: ' || parts || chr(10) || 'sample:' || CASE WHEN n > 50 THEN ' (' || (n - 50) || ' omitted)' ELSE '' END || chr(10) || sample AS out, '' AS err FROM ps JOIN pb USING (g)
+UNION ALL SELECT 'rg:' || g, 'rg', string_agg(source || ' (' || n || ' matches)' || chr(10) || first, chr(10) ORDER BY k) FILTER (WHERE k <= 20), '' FROM mk GROUP BY g
+UNION ALL SELECT 'env:' || g, 'env', 'env summary: vars=' || n || ' redacted=' || r || chr(10) || 'keys:' || CASE WHEN shown > 60 THEN ' (' || (shown - 60) || ' omitted)' ELSE '' END || coalesce(chr(10) || keys, ''), '' FROM cn LEFT JOIN cs USING (g)""",
     "filter_dispatch": "SELECT doc_id, ['ls', 'find', 'rg', 'cargo', 'npm', 'make', 'go.build', 'go.test', 'git.status', 'env', 'wc', 'pytest', 'json', 'generic'][CAST(doc_id % 14 + 1 AS INTEGER)] AS filter FROM documents",
     "md_fences": """WITH n AS (SELECT doc_id, (SELECT sum(len(string_split(p, chr(10)))) FROM (SELECT unnest(string_split(text, '.')) AS p)) AS body, len(string_split(substr(text, 1, 40), chr(10))) AS tail FROM documents)
 SELECT doc_id, CAST(3 + CASE WHEN body > 12 THEN 0 ELSE body END + 2 + tail + 1 AS BIGINT) AS lines, CAST(CASE WHEN body > 12 THEN body ELSE 0 END AS BIGINT) AS omitted FROM n""",
