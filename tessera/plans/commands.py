@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import filters, readers, rewrite
-from tessera.operators import compact, graph, outputs
+from tessera.functions import filters, readers
+from tessera.operators import compact, graph, outputs, rewriting
 from tessera.plans.common import table
 
 _TOOLS = ["ls", "find", "rg", "cargo build", "npm install", "make", "go build", "go test", "git status", "env", "wc", "pytest", "jq", "other"]
@@ -29,7 +29,7 @@ def commands(spark, d):
 
 
 def rewritten(spark, d):
-    return rewrite.with_decision(commands(spark, d), exclude=("grep",)).select("page_id", "decision.allowed", "decision.reason", "decision.rewritten")
+    return commands(spark, d).select("page_id", rewriting.decide(F.col("command"), exclude=("grep",)).alias("d")).select("page_id", "d.allowed", "d.reason", "d.rewritten")
 
 
 def fenced(spark, d):
@@ -77,6 +77,9 @@ QUERIES = {
     "compact_generic": lambda s, d: table(s, d, "documents").select("doc_id", compact.generic(F.col("text")).alias("text")),
 }
 ORACLE_SQL = {
+    "rewrite_cmd": """WITH c AS (SELECT page_id, ['cat', 'head -n 3', 'tail -5', 'grep -r x', 'ls', 'cat -n'][CAST(page_id % 6 + 1 AS INTEGER)] AS verb, regexp_extract(url, '([^/]*)$', 1) AS path, CASE WHEN page_id % 5 = 0 THEN ' | sort' WHEN page_id % 7 = 0 THEN ' > out' WHEN page_id % 11 = 0 THEN ' && make' ELSE '' END AS tail FROM pages),
+n AS (SELECT *, verb <> 'grep -r x' AND tail <> ' > out' AS allowed, CASE WHEN path <> '' AND verb = 'cat' THEN 'read --line-numbers ' || path WHEN path <> '' AND verb = 'head -n 3' THEN 'read --max-lines 3 ' || path WHEN path <> '' AND verb = 'tail -5' THEN 'read --tail-lines 5 ' || path ELSE 'run -- ' || verb || CASE WHEN path = '' THEN '' ELSE ' ' || path END END AS new FROM c)
+SELECT page_id, allowed, CASE WHEN allowed THEN 'suggest mode default' ELSE 'command excluded' END AS reason, CASE WHEN allowed THEN 'tessera shell ' || new || CASE WHEN path = '' AND tail <> '' THEN ' ' ELSE '' END || CASE WHEN tail = ' && make' THEN ' && tessera shell run -- make' ELSE tail END END AS rewritten FROM n""",
     "native_filters": r"""WITH p AS (SELECT DISTINCT page_id % 5 AS g, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS x FROM pages WHERE url IS NOT NULL),
 pk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY encode(x)) AS k, regexp_extract(x, '([^/]*)$', 1) AS name FROM p),
 pe AS (SELECT g, CASE WHEN contains(name, '.') AND regexp_extract(name, '([^.]*)$', 1) <> '' THEN lower(regexp_extract(name, '([^.]*)$', 1)) ELSE '(noext)' END AS e, count(*) AS n FROM pk GROUP BY ALL),
