@@ -288,11 +288,132 @@ def batch_top(o: Output) -> Column:
     return let(F.slice(tidy(bare(o.stdout)), F.lit(1), o.pick(15, 30)), lambda a: F.concat(_lines(F.concat(F.lit("top batch summary: lines="), _text(F.size(a)))), a))
 
 
+def processes(o: Output) -> Column:
+    """Processes by their third and fourth figures, the greatest first, below the last header."""
+
+    def summary(a: Column) -> Column:
+        def cells(x: Column) -> Column:
+            return F.split(x, f"{_WHITE}+")
+
+        def figure(x: Column, i: int) -> Column:
+            return F.get(cells(x), F.lit(i)).try_cast("double")
+
+        own = F.filter(a, lambda x: (F.size(cells(x)) >= 4) & ~x.startswith("["))
+        is_head = lambda x: (F.upper(F.get(cells(x), F.lit(0))) == "USER") | (F.get(cells(x), F.lit(0)) == "PID")
+        head = F.try_element_at(F.filter(own, is_head), F.lit(-1))
+
+        def key(x: Column, i: Column) -> Column:
+            both = figure(x, 2).isNotNull() & figure(x, 3).isNotNull()
+            return F.struct((-F.when(both, figure(x, 2)).otherwise(0.0)).alias("a"), (-F.when(both, figure(x, 3)).otherwise(0.0)).alias("b"), i.alias("i"), x.alias("x"))
+
+        rows = F.transform(F.array_sort(F.transform(F.filter(own, lambda x: ~is_head(x)), key)), lambda r: r["x"])
+        most = o.pick(10, 20)
+
+        def shown(r: Column) -> Column:
+            n = F.size(r)
+            first = F.when((n > 0) | head.isNotNull(), F.concat(F.lit("ps summary: shown="), _text(F.least(most, n)))).otherwise("ps summary: (no rows parsed)")
+            more = F.when(n > most, _lines(F.concat(F.lit("…("), _text(n - most), F.lit(" processes omitted)")))).otherwise(_lines())
+            return F.concat(F.when(head.isNotNull(), _lines(head)).otherwise(_lines()), _lines(first), F.slice(r, F.lit(1), most), more)
+
+        return let(rows, shown)
+
+    return let(F.transform(raw_lines(o.stdout), _strip), summary)
+
+
+def _runs(items: Column, begins) -> Column:
+    """Where the runs of an array begin (from 0), and after the last of them its size."""
+    return F.concat(F.filter(F.sequence(F.lit(0), F.size(items)), lambda i: (i < F.size(items)) & begins(i)), F.array(F.size(items)))
+
+
+def blame(o: Output) -> Column:
+    """Ranges of neighbouring lines of one commit."""
+    mark = r"^([0-9a-f]{7,40})\b"
+
+    def summary(a: Column) -> Column:
+        known = F.filter(F.transform(a, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, mark, 1).alias("h"), x.alias("x"))), lambda r: r["h"] != "")
+
+        def ranges(k: Column) -> Column:
+            starts = _runs(k, lambda i: (i == 0) | (F.get(k, i)["h"] != F.get(k, i - 1)["h"]))
+
+            def told(b: Column) -> Column:
+                def of(i: Column, at: Column) -> Column:
+                    first, last = F.get(k, i), F.get(k, F.get(b, at + 1) - 1)
+                    sample = _strip(F.substring(first["x"], F.length(first["h"]) + 1, F.length(first["x"])))
+                    cut = F.when(F.length(sample) > 60, F.concat(F.substring(sample, 1, 59), F.lit("…"))).otherwise(sample)
+                    return F.concat(F.lit("L"), _text(first["n"]), F.when(last["n"] > first["n"], F.concat(F.lit("-L"), _text(last["n"]))).otherwise(""), F.lit(" "), F.substring(first["h"], 1, 12), F.lit(" "), cut)
+
+                n, most = F.size(b) - 1, o.pick(20, 40)
+                rows = F.transform(F.slice(b, F.lit(1), F.least(n, most)), of)
+                more = F.when(n > most, _lines(F.concat(F.lit("…("), _text(n - most), F.lit(" ranges omitted)")))).when(n == 0, _lines(F.lit("git blame summary: (no ranges parsed)"))).otherwise(_lines())
+                return F.concat(_lines(F.concat(F.lit("git blame summary: ranges="), _text(n))), rows, more)
+
+            return let(starts, told)
+
+        return let(known, ranges)
+
+    return let(F.transform(raw_lines(o.stdout), _strip), summary)
+
+
+def log(o: Output) -> Column:
+    """Commits with subject, author and date, a line each."""
+
+    def short(x: Column) -> Column:
+        """At most 80 bytes, whole characters, and a mark where something is cut."""
+        n = F.get(F.filter(F.sequence(F.lit(80), F.lit(20), F.lit(-1)), lambda n: F.octet_length(F.substring(x, F.lit(1), n)) <= 80), F.lit(0))
+        return F.when(F.octet_length(x) <= 80, x).otherwise(F.concat(F.substring(x, F.lit(1), n), F.lit("…")))
+
+    def summary(a: Column) -> Column:
+        starts = _runs(a, lambda i: F.get(a, i).rlike("^commit [0-9a-f]{7,40}"))
+
+        def told(b: Column) -> Column:
+            def of(i: Column, at: Column) -> Column:
+                own = F.filter(F.slice(a, i + 2, F.greatest(F.get(b, at + 1) - i - 1, F.lit(0))), lambda x: x != "")
+                label = lambda x: F.split_part(x, F.lit(":"), F.lit(1))
+
+                def field(name: str) -> Column:
+                    last = F.try_element_at(F.filter(own, lambda x: label(x) == name), F.lit(-1))
+                    return F.coalesce(_strip(F.regexp_replace(last, "^[^:]*:?", "")), F.lit(""))
+
+                subject = F.coalesce(F.get(F.filter(own, lambda x: ~label(x).isin("Author", "Date", "Merge")), F.lit(0)), F.lit(""))
+                return F.concat_ws(" · ", F.substring(F.regexp_extract(F.get(a, i), "^commit ([0-9a-f]{7,40})", 1), 1, 12), short(subject), field("Author"), field("Date"))
+
+            n, most = F.size(b) - 1, o.pick(10, 20)
+            more = F.when(n > most, _lines(F.concat(F.lit("…("), _text(n - most), F.lit(" commits omitted)")))).otherwise(_lines())
+            return F.concat(_lines(F.concat(F.lit("git log summary: total="), _text(n), F.lit(" shown="), _text(F.least(most, n)))), F.transform(F.slice(b, F.lit(1), F.least(n, most)), of), more)
+
+        return let(starts, told)
+
+    return let(F.transform(F.split(F.replace(o.stdout, F.lit("\r\n"), F.lit("\n")), "\n"), _strip), summary)
+
+
+def shown(o: Output) -> Column:
+    """What stands before the patch, and the patch's summary."""
+    text = F.replace(o.stdout, F.lit("\r\n"), F.lit("\n"))
+
+    def summary(cut: Column) -> Column:
+        head, patch = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.length(text))
+
+        class Patch(Output):
+            def __init__(self):
+                self.stdout, self.stderr, self.failed, self.ultra = patch, o.stderr, o.failed, o.ultra
+
+        own = Patch()
+        lines = F.when(o.failed, F.concat(diff(own), F.filter(own.both(), lambda x: x.rlike(_FAILURE)))).otherwise(diff(own))
+        errors = F.slice(F.array_distinct(tidy(o.stderr)), 1, STDERR_LINES)
+        return F.concat(
+            _lines(F.lit("git show metadata:")), F.transform(F.slice(tidy(head), F.lit(1), o.pick(12, 24)), lambda x: F.concat(F.lit("  "), x)), _lines(F.lit("git show diff:")), F.array_distinct(lines),
+            F.when(F.size(errors) > 0, F.concat(_lines(F.lit("stderr:")), errors)).otherwise(_lines()),
+        )
+
+    begins = F.when(text.startswith("diff --git "), F.lit(0)).when(F.instr(text, "\ndiff --git ") > 0, F.instr(text, "\ndiff --git ")).otherwise(F.length(text))
+    return let(begins, summary)
+
+
 #: Filters with their most lines (ultra, else), None for all.
 NATIVE = {
     **{name: (lambda o, n=name: sifted(n, o), rule.most) for name, rule in RULES.items()},
     "git.status": (git_status, (8, 16)), "git.diff": (diff, None), "diff": (diff, None), "rg": (matches, None), "go.vet": (vet, None), "find": (found, (40, 80)), "tree": (tree, (30, 60)),
-    "ls": (listing, (24, 40)), "env": (environment, None), "wc": (word_count, None), "df": (disks, (15, 30)),
+    "ls": (listing, (24, 40)), "env": (environment, None), "wc": (word_count, None), "df": (disks, (15, 30)), "ps": (processes, None), "git.blame": (blame, None), "git.log": (log, None), "git.show": (shown, None),
 }
 assert set(NATIVE) <= set(_COMMANDS.values())
 

@@ -25,6 +25,10 @@ LINES = {
     "go build": ["./a.go:3:2: undefined: x", "# pkg", "note: cannot find module", "error here", "b.go : odd", "fine"],
     "docker build .": ["Step 1/3 : FROM x", "Pulling fs", "ERROR: failed", "Successfully built abc", "digest: sha256:1", "Sending build context", "Waiting for error"],
     "npm install": ["added 10 packages in 2s", "npm warn deprecated", "⠋⠙ audited 5 packages", "⠋", "downloading http://x error ", "2 vulnerabilities", "plain"],
+    "ps aux": ["USER PID %CPU %MEM VSZ COMMAND", "root 1 0.5 1.0 10 init", "bob 22 99.9 2.0 10 busy loop", "amy 3 99.9 3.5 1 x", "[kthread] 1 2 3 4", "PID TTY TIME CMD", "a b c d", "short row", "u 1 -1 1e2 z"],
+    "git blame f": ["abc1234f (Ann 2024) code here", "abc1234f (Ann 2024) more", "0123456789abcdef (Bob) " + "y" * 80, "not a hash", "^abc1234 (x)", "abcdef0 z", "  fedcba9876 w"],
+    "git log": ["commit abcdef0123456789", "commit 1234567", "Author: Ann <a@x>", "Date:   Mon Jan 1", "Merge: a b", "    Subject line here", "    second: line", "", "    " + "é" * 60, "commit xyz", "Author: other: name"],
+    "git show": ["commit abcdef0", "Author: A", "diff --git a/x b/x", "+++ b/x", "1 file changed, 2 insertions(+)", "    msg", "error: odd", " diff --git a/no b/no"],
     "make all": ["make[1]: Entering directory", "gcc -c x.c", "x.c:1: error: bad", "make: *** [all] Error 1", "Stop.", "cd x && make"],
     "cargo build": ["Compiling x v0.1", "error[E0382]: use", " --> src/main.rs:1:2", "warning: unused", "Finished dev", "error: aborting", "note"],
 }
