@@ -77,6 +77,15 @@ QUERIES = {
     "compact_generic": lambda s, d: table(s, d, "documents").select("doc_id", compact.generic(F.col("text")).alias("text")),
 }
 ORACLE_SQL = {
+    "compact_generic": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\x1b\[[0-9;]*m', '', 'g'), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM l),
+t AS (SELECT doc_id, i, regexp_replace(x, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') AS x FROM r),
+k AS (SELECT doc_id, i, CASE WHEN strlen(x) > 500 THEN left(x, list_max(list_filter(range(124, 501), lambda n: strlen(left(x, n)) <= 500))) || '...(truncated)' ELSE x END AS x FROM t WHERE x <> ''),
+n AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+c AS (SELECT doc_id, run, CASE WHEN count(*) > 1 THEN '[repeated ' || count(*) || ' times] ' || any_value(x) ELSE any_value(x) END AS x, max(run) OVER (PARTITION BY doc_id) AS total FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, run, CASE WHEN total > 120 AND run = 61 THEN '...(' || (total - 119) || ' lines omitted)...' ELSE x END AS x FROM c WHERE total <= 120 OR run <= 61 OR run > total - 59)
+SELECT d.doc_id, coalesce(string_agg(x, chr(10) ORDER BY run), '') AS text FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id""",
     "rewrite_cmd": """WITH c AS (SELECT page_id, ['cat', 'head -n 3', 'tail -5', 'grep -r x', 'ls', 'cat -n'][CAST(page_id % 6 + 1 AS INTEGER)] AS verb, regexp_extract(url, '([^/]*)$', 1) AS path, CASE WHEN page_id % 5 = 0 THEN ' | sort' WHEN page_id % 7 = 0 THEN ' > out' WHEN page_id % 11 = 0 THEN ' && make' ELSE '' END AS tail FROM pages),
 n AS (SELECT *, verb <> 'grep -r x' AND tail <> ' > out' AS allowed, CASE WHEN path <> '' AND verb = 'cat' THEN 'read --line-numbers ' || path WHEN path <> '' AND verb = 'head -n 3' THEN 'read --max-lines 3 ' || path WHEN path <> '' AND verb = 'tail -5' THEN 'read --tail-lines 5 ' || path ELSE 'run -- ' || verb || CASE WHEN path = '' THEN '' ELSE ' ' || path END END AS new FROM c)
 SELECT page_id, allowed, CASE WHEN allowed THEN 'suggest mode default' ELSE 'command excluded' END AS reason, CASE WHEN allowed THEN 'tessera shell ' || new || CASE WHEN path = '' AND tail <> '' THEN ' ' ELSE '' END || CASE WHEN tail = ' && make' THEN ' && tessera shell run -- make' ELSE tail END END AS rewritten FROM n""",
