@@ -44,6 +44,16 @@ def entry_points(spark, d):
     return retrieval.near_tie_order(rows.filter(F.col("relevance") >= retrieval.LEAST)).select("query_id", "rank", "package", "symbol", "line", F.round("relevance", 6).alias("relevance"))
 
 
+def document_nodes(spark, d):
+    """Documents as files of five kinds, their every fourth line a heading: the nodes of their sections, or of the files."""
+    kinds = F.array(*[F.lit(x) for x in ("spec_section", "doc", "decision", "context_snapshot", "note")])
+    number = F.col("doc_id").cast("string")
+    headed = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("## h"), (i / 4).cast("int").cast("string"))).otherwise(x)), "\n")
+    kind = F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int"))
+    found = table(spark, d, "documents").select(kind.alias("kind"), F.concat(F.lit("x/"), number, F.lit(".md")).alias("path"), F.lit("docs").alias("tier"), headed.alias("text"))
+    return workspace.document_nodes(found).select("id", "type", "file", "name", F.coalesce("section", F.lit("")).alias("section"), F.length(F.regexp_replace("text", r"\s", "")).alias("signs"))
+
+
 def go_symbols(spark, d):
     """The symbols of a Go source made of each document: its text in a comment and in a raw string, beside declarations, and
     beside what looks like some in literals."""
@@ -58,11 +68,20 @@ def go_symbols(spark, d):
     return workspace.symbols(sources, packages)
 
 
-QUERIES = {"go_symbols": go_symbols, "connected_agents": connected_agents, "entry_points": entry_points}
+QUERIES = {"document_nodes": document_nodes, "go_symbols": go_symbols, "connected_agents": connected_agents, "entry_points": entry_points}
 
 _BEFORE = """CASE WHEN abs(x[1].relevance - y.relevance) > 0.12::DOUBLE THEN x[1].relevance > y.relevance WHEN x[1].reach <> y.reach THEN x[1].reach > y.reach WHEN x[1].package <> y.package THEN x[1].package > y.package
   WHEN x[1].symbol <> y.symbol THEN x[1].symbol < y.symbol ELSE x[1].line < y.line END"""
 ORACLE_SQL = {
+    "document_nodes": r"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+m AS (SELECT doc_id, i, i % 4 = 1 AS head, CASE WHEN i % 4 = 1 THEN '## h' || i // 4 ELSE t END AS t FROM l),
+g AS (SELECT *, count(*) FILTER (WHERE head) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM m),
+k AS (SELECT doc_id, ['spec_section', 'doc', 'decision', 'context_snapshot', 'note'][CAST(doc_id % 5 + 1 AS INTEGER)] AS kind, 'x/' || doc_id || '.md' AS path FROM documents),
+s AS (SELECT doc_id, nth, CAST(coalesce(sum(length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'))) FILTER (WHERE NOT head AND trim(t) <> '---'), 0) AS INTEGER) AS signs FROM g WHERE nth > 0 GROUP BY ALL),
+w AS (SELECT doc_id, CAST(coalesce(sum(length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'))), 0) AS INTEGER) AS signs FROM m GROUP BY doc_id)
+SELECT kind || ':' || path || ':h' || (nth - 1) AS id, kind AS type, path AS file, 'h' || (nth - 1) AS name, 'h' || (nth - 1) AS section, signs FROM s JOIN k USING (doc_id) WHERE kind IN ('spec_section', 'doc')
+UNION ALL SELECT kind || ':' || path || ':', kind, path, doc_id || '.md', '', signs FROM w JOIN k USING (doc_id) WHERE kind IN ('spec_section', 'doc') AND doc_id NOT IN (SELECT doc_id FROM s)
+UNION ALL SELECT CASE WHEN kind = 'decision' THEN 'decision:' || doc_id ELSE kind || ':' || path END, kind, path, CASE WHEN kind = 'decision' THEN '' || doc_id ELSE doc_id || '.md' END, '', signs FROM w JOIN k USING (doc_id) WHERE kind IN ('decision', 'context_snapshot', 'note')""",
     "go_symbols": """WITH n AS (SELECT doc_id, 2 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS n FROM documents),
 r AS (SELECT doc_id, n, unnest(['F', 'T', 'V']) AS name, unnest(['func', 'type', 'value']) AS kind, unnest([9, 11, 15]) AS line FROM n)
 SELECT 'p' AS package, name || doc_id AS name, kind, 'code/' || doc_id || '.go' AS file, CAST(line + n AS INTEGER) AS line FROM r""",
