@@ -9,8 +9,8 @@ compared before are tried.  Rounds end when few lists change (LEAST_CHANGE of th
 A search starts at the query's own list and goes on greedily: of the best POOL nodes seen, those not yet opened are
 opened together, their neighbours in both directions scored, until no query has one left to open.
 
-Long vectors are near to most others by inner product: nodes that are neighbours of many are looked up with their rows
-spread, not shuffled to one place.  Vectors travel as 16-bit integers with a scale; the nearest found are scored again in
+Long vectors are near to most others by inner product: rows of nodes that are neighbours of many are parted by Spark's skew
+join where they meet those nodes.  Vectors travel as 16-bit integers with a scale; the nearest found are scored again in
 double precision on the original vectors.  Defined results: rows with a null id or vector, a vector of zeros, with null or non-finite components, or of
 another length than most vectors take no part; equal vectors tie and come by id; with fewer candidates than k all are
 returned.  Rows that repeat an id are separate candidates; a query leaves out the rows of its own id; an empty table has no
@@ -24,7 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,13 +182,6 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "w"))).filter(F.col("k") <= k).drop("k")
 
 
-def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left, a written table, with the columns of right, which has all its keys once; keys may be very frequent in left."""
-    rows = left.groupBy(key).agg(F.count("*").alias("rows"))
-    sums = rows.agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()
-    return lookup(left, right.join(rows, key), key, "rows", total=sums.n or 0, most=sums.most or 0)
-
-
 def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
     """u, w, sim, fresh from blocks of bounded size."""
     coded = cut(nodes.select("node", "q", "s", F.explode(_tree_codes(nodes, n)).alias("code")))
@@ -208,16 +201,16 @@ def build(nodes: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
         forth = graph.filter("drawn").select(F.col("u").alias("owner"), F.col("w").alias("member"), "fresh")
         theirs = Window.partitionBy("w", "fresh").orderBy(draw, "u")
         back = graph.withColumn("k", F.row_number().over(theirs)).filter(F.col("k") <= SAMPLE).select(F.col("w").alias("owner"), F.col("u").alias("member"), "fresh")
-        members = cut(forth.unionAll(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh")))
+        members = cut(forth.unionAll(back).groupBy("owner", "member").agg(F.max("fresh").alias("fresh")), False)
         last = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("sim")).select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("sim")).otherwise(F.lit(float("-inf"))).alias("worst"))
         carried = nodes.join(last, "node", "left").select(F.col("node").alias("member"), "q", "s", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-        found = _joined(_spread(members, carried, "member"), "owner", True, PROPOSALS)
+        # a frequent member's rows are parted by Spark's skew join
+        found = _joined(members.join(carried, "member", "left"), "owner", True, PROPOSALS)
         both = graph.select("u", "w", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(False).alias("found")).unionAll(found.withColumns({"fresh": F.lit(True), "found": F.lit(True)}))
         merged = both.repartition("u").groupBy("u", "w").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.min("found").alias("found"))
-        after = cut(_top(merged, k))
-        sums = after.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("int")).alias("new")).first()
-        graph = after.drop("found")
-        if not sums.n or sums.new < LEAST_CHANGE * sums.n:
+        seen = Observation()
+        graph = cut(_top(merged, k).observe(seen, F.count("*").alias("n"), F.count_if("found").alias("new"))).drop("found")
+        if not seen.get["n"] or seen.get["new"] < LEAST_CHANGE * seen.get["n"]:
             break
     return graph.select("u", "w", "sim")
 
@@ -244,16 +237,18 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool: int = P
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "w")
     held = cut(graph.join(asked.select(F.col("q").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), "w", "sim", F.lit(False).alias("open")))
     seen = held.select("q", "w")
-    while True:
+    left = bool(held.limit(1).count())
+    while left:
         front = held.filter("NOT open").select("q", "w")
-        if not front.limit(1).count():
-            break
-        reached = _spread(front, ways, "w").select("q", F.explode("nexts").alias("w")).filter("q <> w").distinct()
-        fresh = cut(reached.join(seen.join(front.select("q").distinct(), "q", "left_semi"), ["q", "w"], "left_anti"))
+        # hubs are frequent on the left; Spark's skew join parts their rows
+        reached = front.join(ways, "w").select("q", F.explode("nexts").alias("w")).filter("q <> w").distinct()
+        fresh = cut(reached.join(seen.join(front.select("q").distinct(), "q", "left_semi"), ["q", "w"], "left_anti"), False)
         seen = seen.unionAll(fresh)
-        scored = _spread(fresh, nodes.select(F.col("node").alias("w"), F.col("q").alias("wv"), "s"), "w").join(asked, "q").select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open"))
+        scored = fresh.join(nodes.select(F.col("node").alias("w"), F.col("q").alias("wv"), "s"), "w").join(asked, "q").select("q", "w", _dot("qv", "qs", "wv", "s").alias("sim"), F.lit(False).alias("open"))
         every = held.withColumn("open", F.lit(True)).unionAll(scored)
-        held = cut(every.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= pool).drop("k"))
+        more = Observation()
+        held = cut(every.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= pool).drop("k").observe(more, F.count_if(~F.col("open")).alias("n")))
+        left = more.get["n"] > 0
     return held.select("q", "w", "sim")
 
 

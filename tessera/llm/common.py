@@ -28,14 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named or LOCAL_CHECKPOINTS
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, clean: bool = True) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation; clean:
+    let files of earlier cuts go that nothing refers to any more."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
-    free(spark)
+    if clean:
+        free(spark)
     return out
 
 
