@@ -12,8 +12,8 @@ edits need no new count: lens and counts of the leaves, leaves of each block, an
 root at index 1.
 
 Defined results: null text counts as empty; edits of a document are given in the coordinates of the text before all of
-them and clipped to it; what an earlier one (by start, then end, then the new text, whatever the order of rows) replaces is left out of a
-later one; a null replacement is empty; an empty table has no rows; columns other than those named are not read; repeated rows are counted one by one; an edit of an unknown document changes nothing; very long texts are read whole.
+them and clipped to it; what an earlier one (by start, then end; of those alike, in a list by its order, in a table by the new text, whatever
+the order of rows) replaces is left out of a later one; a null replacement is empty; an empty table has no rows; columns other than those named are not read; repeated rows are counted one by one; an edit of an unknown document changes nothing; very long texts are read whole.
 A document and its edits must fit into one task's memory.
 """
 
@@ -113,7 +113,7 @@ class TokenTree:
         """Makes the new text; the edits as (start, end) before and after."""
         size, done, at = len(self.text), 0, 0
         pieces, spans = [], []
-        for a, b, new in sorted(edits):
+        for a, b, new in sorted(edits, key=lambda e: e[:2]):
             a = max(done, min(a, size))
             b = max(a, min(b, size))
             pieces += [self.text[done:a], new]
@@ -258,7 +258,7 @@ def edited(spark, text: Column, tree: Column, edits: Column, vocabulary_path: st
 
 def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary_path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """trees (doc_id, text, tree) after a table of edits (doc_id, a, b, new); a document's edits go to its row."""
-    listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "new")).alias("edits"))
+    listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", "new"))).alias("edits"))
     joined = trees.join(listed, "doc_id", "left")
     after = edited(trees.sparkSession, F.col("text"), F.col("tree"), F.col("edits"), vocabulary_path)
     return joined.withColumn("after", after).select("doc_id", "after.text", "after.tree", "after.n_encoded")
