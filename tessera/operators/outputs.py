@@ -1,7 +1,7 @@
 """Compact forms of command output as columns: lines are arrays, and what a filter keeps or counts are array functions.
 
-A row is (args, stdout, stderr, exit_code, ultra).  compact() gives struct<filter, out, err> for the commands of NATIVE;
-functions.filters has the others, whose texts need a parser of their own.
+A row is (args, stdout, stderr, exit_code, ultra).  compact() gives struct<filter, out, err> for the commands of NATIVE, for
+top and for all that have no filter; functions.filters has the forms of HTTP and JSON, whose texts need a parser of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import _COMMANDS, RULES, STDERR_LINES, filter_column
 from tessera.functions.text import SECRET_NAME, let
+from tessera.operators import compact as common
 
 # White space, colour codes, what marks a failure.
 _WHITE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -409,18 +410,46 @@ def shown(o: Output) -> Column:
     return let(begins, summary)
 
 
+def pytest_run(o: Output) -> Column:
+    """Headings and lines of failures, and as much of their traces as the budget allows: a fold over the lines."""
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), o.pick(40, 80).alias("budget"))
+
+    def step(acc: Column, x: Column) -> Column:
+        low = F.lower(x)
+        opens = (x.startswith("===") & low.contains("fail")) | x.rlike("^(FAILED|ERROR)") | (x.contains("E ") & x.contains("Error"))
+        traced = ~opens & ((acc["inside"] & x.startswith("_")) | low.contains("traceback"))
+        ends = ~opens & ~traced & x.contains("passed") & x.contains("failed")
+        kept = opens | (traced & (acc["budget"] > 0)) | ends
+        return F.struct(
+            F.when(kept, F.array_append(acc["out"], x)).otherwise(acc["out"]).alias("out"),
+            ((acc["inside"] & ~ends) | opens | (traced & low.contains("traceback"))).alias("inside"),
+            F.when(traced & (acc["budget"] > 0), acc["budget"] - 1).otherwise(acc["budget"]).alias("budget"),
+        )
+
+    done = F.aggregate(o.both(), state, step, lambda acc: acc["out"])
+    return let(done, lambda a: F.when((F.size(a) > 0) | o.failed, a).otherwise(_lines(F.lit("pytest summary: ok"))))
+
+
+def is_top(args: Column) -> Column:
+    """Whether a command is top in batches of a stated number."""
+    words = F.transform(args, lambda w: F.trim(w))
+    counted = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: ((F.get(words, i) == "-n") & (i + 1 < F.size(words))) | (F.get(words, i).startswith("-n") & (F.length(F.get(words, i)) > 2)))
+    return F.coalesce((F.get(words, F.lit(0)) == "top") & F.array_contains(words, "-b") & counted, F.lit(False))
+
+
 #: Filters with their most lines (ultra, else), None for all.
 NATIVE = {
     **{name: (lambda o, n=name: sifted(n, o), rule.most) for name, rule in RULES.items()},
     "git.status": (git_status, (8, 16)), "git.diff": (diff, None), "diff": (diff, None), "rg": (matches, None), "go.vet": (vet, None), "find": (found, (40, 80)), "tree": (tree, (30, 60)),
-    "ls": (listing, (24, 40)), "env": (environment, None), "wc": (word_count, None), "df": (disks, (15, 30)), "ps": (processes, None), "git.blame": (blame, None), "git.log": (log, None), "git.show": (shown, None),
+    "ls": (listing, (24, 40)), "env": (environment, None), "wc": (word_count, None), "df": (disks, (15, 30)), "ps": (processes, None), "git.blame": (blame, None), "git.log": (log, None), "git.show": (shown, None), "pytest": (pytest_run, (50, 100)),
 }
 assert set(NATIVE) <= set(_COMMANDS.values())
 
 
 def compact(args: Column, o: Output | None = None) -> Column:
-    """struct<filter, out, err> of a command with one of these filters, null for another: the filter's lines, those of
-    failure where it failed, each once, up to the filter's most; of the error stream the first distinct lines."""
+    """struct<filter, out, err> of a command with one of these filters: the filter's lines, those of failure where it failed,
+    each once, up to the filter's most; of the error stream the first distinct lines.  Commands without a filter get the
+    generic form, unless their output opens like JSON; null for what is left."""
     o = o or Output()
     name = filter_column(args)
     out = F.lit(None).cast("string")
@@ -429,4 +458,12 @@ def compact(args: Column, o: Output | None = None) -> Column:
         own = F.slice(own, F.lit(1), o.pick(*most)) if most else own
         out = F.when(name == filter_, F.array_join(own, "\n")).otherwise(out)
     errors = F.array_join(F.slice(F.array_distinct(tidy(o.stderr)), 1, STDERR_LINES), "\n")
-    return F.when(name.isin(*NATIVE), F.struct(name.alias("filter"), out.alias("out"), errors.alias("err")))
+
+    def result(filter_: Column, out: Column, err: Column) -> Column:
+        return F.struct(filter_.alias("filter"), out.alias("out"), err.alias("err"))
+
+    def generic(c: Column) -> Column:
+        return F.when(o.ultra, common.generic(c, True)).otherwise(common.generic(c))
+
+    made = F.when(is_top(args), result(F.lit("generic"), F.array_join(batch_top(o), "\n"), errors)).when(name.isin(*NATIVE), result(name, out, errors))
+    return made.when((name == "generic") & ~o.stdout.rlike(f"^{_WHITE}*[{{\\[]"), result(F.lit("generic"), generic(o.stdout), generic(o.stderr)))
