@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import in_scope
+from tessera.functions.text import in_scope, let
 from tessera.operators.bm25 import broadcast_if_small
 
 # Trust by tier, boosts, thresholds, and stems that speak of code.
@@ -13,6 +15,8 @@ TRUST = {"specs": "high", "docs": "medium", "context": "medium", "notes": "low"}
 BOOST = {"specs": 1.3, "docs": 1.0, "context": 1.0, "notes": 0.6, "high": 1.3, "medium": 1.0, "low": 0.6}
 AFFINITY, LEAST, BLOCKS, ENTRY_POINTS, PACKAGES, CONCEPTS, CODE_BOOST, NEAR_TIE = 1.2, 0.05, 12, 5, 5, 10, 0.9, 0.12
 CONCEPT_LEAST, CONCEPT_OF_TOP = 0.1, 0.5
+#: Symbols of a block, of which only those that can matter for the first places go on.
+BLOCK_SYMBOLS = 8192
 CODE_STEMS = ("index", "symbol", "packag", "graph", "load", "build", "api", "func", "type", "test", "debug", "migrat")
 
 
@@ -156,47 +160,66 @@ def near_tie_order(symbols: DataFrame, cap: int = ENTRY_POINTS, tie: float = NEA
 
     Relevance counts only where it differs by more than tie; else reach, package (both descending), file, symbol, line and
     orig decide.  Such an order is not transitive, so it is defined by insertion: symbols are taken as the graph names them,
-    each goes behind the last one that it does not precede.  Where relevances that follow each other differ by more than
-    tie, nothing crosses: what lies between such gaps is a run, and only runs that reach the first cap places are ordered,
-    each by itself, on executors.
+    each goes behind the last one that it does not precede.
 
     A histogram in steps of half a tie comes first: symbols on either side of three empty steps are further apart than the
-    tie, so what lies beyond those, once cap symbols are counted, is left out before anything is sorted.  A run no wider
-    than the tie is ordered by its keys alone, without a fold, whose time grows with the square of a run.
+    tie, so what lies beyond those, once cap symbols are counted, is left out before anything is sorted.
+
+    Of two symbols the one with no less relevance and no later keys stands in the way of all that the other does.  So a
+    symbol behind cap such ones neither comes among the first cap nor decides who does: blocks of BLOCK_SYMBOLS in the order
+    of the graph drop those by themselves, on executors.  What is left is inserted, but only the first cap places are held,
+    and of what lies behind them the symbols that no other of them stands in for.  A query whose keys hold nulls, which
+    leave the keys without an order, keeps all its symbols.
     """
     step = tie / 2
+    names = ("reach", "package", "file", "symbol", "line", "orig")
+    empty = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
     binned = symbols.withColumn("_bin", F.floor(F.col("relevance") / step).cast("long"))
     w = Window.partitionBy("query_id").orderBy(F.desc("_bin"))
-    bins = binned.groupBy("query_id", "_bin").agg(F.count("*").alias("n")).withColumns({"before": F.sum("n").over(w) - F.col("n"), "gap": F.lag("_bin").over(w) - F.col("_bin")})
+    bins = binned.groupBy("query_id", "_bin").agg(F.count("*").alias("n"), F.max(empty).alias("empty")).withColumns({"before": F.sum("n").over(w) - F.col("n"), "gap": F.lag("_bin").over(w) - F.col("_bin")})
     # the first bin behind an empty step with cap symbols before it
-    ends = bins.filter((F.col("before") >= cap) & (F.col("gap") > 3)).groupBy("query_id").agg(F.max("_bin").alias("_end"))
-    near = binned.join(broadcast_if_small(ends), "query_id", "left").filter(F.col("_end").isNull() | (F.col("_bin") > F.col("_end"))).drop("_bin", "_end")
-    by = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
-    runs = near.withColumn("_cut", F.coalesce((F.lag("relevance").over(by) - F.col("relevance") > tie).cast("int"), F.lit(0))).withColumn("_at", F.row_number().over(by))
-    runs = runs.withColumn("_start", F.max(F.when((F.col("_cut") == 1) | (F.col("_at") == 1), F.col("_at"))).over(by)).filter(F.col("_start") <= cap)
-    own = Window.partitionBy("query_id", "_start")
-    runs = runs.withColumn("_wide", F.max("relevance").over(own) - F.min("relevance").over(own) > tie)
-    keys = own.orderBy(F.desc("reach"), F.desc("package"), "file", "symbol", "line", "orig")
-    tight = runs.filter(~F.col("_wide")).withColumn("rank", F.col("_start") - 1 + F.row_number().over(keys)).filter(F.col("rank") <= cap)
+    ends = bins.groupBy("query_id").agg(F.max(F.when((F.col("before") >= cap) & (F.col("gap") > 3), F.col("_bin"))).alias("_end"), F.max("empty").alias("_loose"))
+    near = binned.join(broadcast_if_small(ends), "query_id", "left").filter(F.col("_end").isNull() | (F.col("_bin") > F.col("_end")))
     rest = [c for c in symbols.columns if c != "query_id"]
-    item = F.struct("orig", "_start", *[c for c in rest if c != "orig"])
-    listed = runs.filter("_wide").groupBy("query_id", "_start").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    item = F.struct("orig", F.coalesce("_loose", F.lit(True)).alias("_loose"), *[c for c in rest if c != "orig"])
+    ranged = near.select("query_id", item.alias("x")).repartitionByRange("query_id", "x.orig").sortWithinPartitions("query_id", "x.orig")
+    blocks_ = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_SYMBOLS)).groupBy("query_id", "block").agg(F.sort_array(F.collect_list("x")).alias("all"))
+
+    def keys(x: Column, y: Column) -> Column:
+        """Whether the keys of x come before those of y."""
+        out = F.when(x["reach"] != y["reach"], x["reach"] > y["reach"]).when(x["package"] != y["package"], x["package"] > y["package"])
+        for name in ("file", "symbol", "line", "orig"):
+            out = out.when(x[name] != y[name], x[name] < y[name])
+        return out.otherwise(F.lit(False))
 
     def precedes(x: Column, y: Column) -> Column:
         """Whether x goes before y."""
-        apart = F.abs(x["relevance"] - y["relevance"]) > tie
-        keys = F.when(x["reach"] != y["reach"], x["reach"] > y["reach"]).when(x["package"] != y["package"], x["package"] > y["package"])
-        for name in ("file", "symbol", "line", "orig"):
-            keys = keys.when(x[name] != y[name], x[name] < y[name])
-        return F.when(apart, x["relevance"] > y["relevance"]).otherwise(keys.otherwise(F.lit(False)))
+        return F.when(F.abs(x["relevance"] - y["relevance"]) > tie, x["relevance"] > y["relevance"]).otherwise(keys(x, y))
+
+    def covers(y: Column, x: Column) -> Column:
+        """Whether y stands in the way of all that x does."""
+        return ~x["_loose"] & (y["relevance"] >= x["relevance"]) & ~keys(x, y)
+
+    def kept(done: Column, x: Column) -> Column:
+        return F.when(F.size(F.filter(done, lambda y: covers(y, x))) < cap, F.concat(done, F.array(x))).otherwise(done)
+
+    def insert(held: Column, x: Column) -> Column:
+        first, behind = held["first"], held["behind"]
+        at = F.when(~F.exists(behind, lambda y: ~precedes(x, y)), F.coalesce(F.array_max(F.transform(first, lambda y, i: F.when(~precedes(x, y), i + 1))), F.lit(0)))
+        grown = let(at, lambda p: F.when(p.isNull(), F.concat(first, F.array(x))).otherwise(F.concat(F.slice(first, F.lit(1), p), F.array(x), F.slice(first, p + 1, F.size(first)))))
+
+        def parted(all_: Column) -> Column:
+            out = F.get(all_, F.lit(cap))
+            more = F.when(out.isNull() | F.exists(behind, lambda y: covers(y, out)), behind).otherwise(F.concat(F.filter(behind, lambda y: ~covers(out, y)), F.array(out)))
+            return F.struct(F.slice(all_, 1, cap).alias("first"), more.alias("behind"))
 
-    def insert(done: Column, x: Column) -> Column:
-        at = F.coalesce(F.array_max(F.transform(done, lambda y, i: F.when(~precedes(x, y), i + 1))), F.lit(0))
-        return F.flatten(F.transform(F.array(at), lambda p: F.concat(F.slice(done, F.lit(1), p), F.array(x), F.slice(done, p + 1, F.size(done)))))
+        return let(grown, parted)
 
-    ordered = F.aggregate("all", F.slice("all", 1, 0), insert)
-    wide = listed.select("query_id", "_start", F.posexplode(F.slice(ordered, 1, cap)).alias("_n", "x")).select("query_id", (F.col("_start") + F.col("_n")).alias("rank"), *[F.col(f"x.{c}").alias(c) for c in rest])
-    return tight.select("query_id", "rank", *rest).unionAll(wide.filter(F.col("rank") <= cap))
+    few = blocks_.select("query_id", F.explode(F.aggregate("all", F.slice("all", 1, 0), kept)).alias("x"))
+    listed = few.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    none = F.slice("all", 1, 0)
+    ordered = F.aggregate("all", F.struct(none.alias("first"), none.alias("behind")), insert)["first"]
+    return listed.select("query_id", F.posexplode(ordered).alias("_n", "x")).select("query_id", (F.col("_n") + 1).alias("rank"), *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
 def entry_points(symbols: DataFrame, least: float = LEAST, cap: int = ENTRY_POINTS) -> list[dict]:

@@ -1,6 +1,7 @@
 """The stored index, prefix joins and near-tie order: results, plans and awkward rows."""
 
 import random
+import time
 import uuid
 
 import pytest
@@ -127,3 +128,21 @@ def test_near_ties_do_not_gather_what_lies_beyond_a_gap(spark):
     rows = [("q", 10.0 + i / 100, 0.0, "a", "f", "s", 0, i) for i in range(9)] + [("q", i / 10_000, 0.0, "a", "f", "s", 0, 100 + i) for i in range(5000)]
     df = spark.createDataFrame(rows, "query_id string, relevance double, reach double, package string, file string, symbol string, line int, orig int")
     assert [r.orig for r in retrieval.near_tie_order(df, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("spread", [0.5, 4.0])
+def test_near_ties_are_those_of_insertion_in_blocks_of_a_few(spark, monkeypatch, spread):
+    monkeypatch.setattr(retrieval, "BLOCK_SYMBOLS", 32)
+    r = random.Random(7)
+    rows = [{"query_id": "q", "relevance": round(r.uniform(0, spread), 3), "reach": r.choice([0.0, 0.5]), "package": r.choice("abcd"), "file": r.choice("fghi"), "symbol": r.choice("xyz"), "line": r.randrange(9), "orig": i} for i in range(600)]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "query_id string, relevance double, reach double, package string, file string, symbol string, line int, orig int")
+    got = retrieval.near_tie_order(df, 5).orderBy("rank").collect()
+    assert [(x["rank"], x.orig) for x in got] == [(i, x["orig"]) for i, x in enumerate(insertion(rows)[:5], 1)]
+
+
+def test_near_ties_of_many_symbols_do_not_grow_with_their_square(spark):
+    # one run, wider than the tie: 60,000 symbols took minutes when every one was put into a list of all
+    rows = spark.range(60_000).select(F.lit("q").alias("query_id"), (F.col("id") * 7919 % 50_021 / 10_000).alias("relevance"), F.lit(0.0).alias("reach"), F.lit("a").alias("package"), F.lit("f").alias("file"), (F.col("id") * 31 % 977).cast("string").alias("symbol"), F.lit(0).alias("line"), F.col("id").alias("orig"))
+    start = time.monotonic()
+    assert len(retrieval.near_tie_order(rows, 5).collect()) == 5
+    assert time.monotonic() - start < 60
