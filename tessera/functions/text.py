@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,13 +153,15 @@ def in_scope(path: Column, scope: Column) -> Column:
 _VOWELS = "aeiou"
 
 
+_SHAPES = bytes(ord("v") if chr(i) in _VOWELS else ord("y") if chr(i) == "y" else ord("c") for i in range(256))
+
+
 def _shape(word: str) -> str:
     """c and v for each letter; y is a vowel after a consonant."""
-    out = []
-    for i, ch in enumerate(word):
-        vowel = ch in _VOWELS or (ch == "y" and i > 0 and out[-1] == "c")
-        out.append("v" if vowel else "c")
-    return "".join(out)
+    out = word.encode("latin-1").translate(_SHAPES).decode()
+    while (i := out.find("y")) >= 0:
+        out = out[:i] + ("v" if i and out[i - 1] == "c" else "c") + out[i + 1 :]
+    return out
 
 
 def _measure(word: str) -> int:
@@ -222,10 +226,15 @@ def _stems(words_: pa.Array) -> pa.Array:
     return pa.array([None if w is None else stem(w) for w in words_.to_pylist()], pa.string())
 
 
+def stems_of(words_: DataFrame, term: str = "term") -> DataFrame:
+    """A table of distinct words with their stems (stem), those shorter than two bytes dropped."""
+    # a filter on what is taken to differ between calls is not pushed below it, where it would stem every word once more
+    return words_.withColumn("stem", _stems.asNondeterministic()(F.col(term))).filter(F.octet_length("stem") >= 2)
+
+
 def with_stems(long: DataFrame, term: str = "term") -> DataFrame:
     """A long table of words with their stems: each distinct word is stemmed once."""
-    vocabulary = long.select(term).distinct().withColumn("stem", _stems(F.col(term)))
-    return long.join(vocabulary, term).filter(F.octet_length("stem") >= 2)
+    return long.join(stems_of(long.select(term).distinct(), term), term)
 
 
 _memo: dict[str, str] = {}
@@ -249,3 +258,26 @@ def _stemmed(lists: pa.Array) -> pa.Array:
 def stemmed(tokens: Column) -> Column:
     """An array of words as stems; those shorter than two bytes are dropped."""
     return _stemmed(tokens)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.ArrayType(T.LongType()))])))
+def _counted(fields: pa.Array) -> pa.Array:
+    out = []
+    for own in fields.to_pylist():
+        found: dict[str, list[int]] = {}
+        for i, words_ in enumerate(own):
+            for w, n in Counter(words_ or ()).items():
+                s = _memo.get(w)
+                if s is None:
+                    if len(_memo) > 200_000:
+                        _memo.clear()
+                    s = _memo[w] = stem(w)
+                if len(s) > 1 or len(s.encode()) > 1:
+                    found.setdefault(s, [0] * len(own))[i] += n
+        out.append([{"term": s, "tf": tf} for s, tf in found.items()])
+    return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.list_(pa.int64()))])))
+
+
+def stem_counts(*tokens: Column) -> Column:
+    """An array of (term, tf): the distinct stems of a document's arrays of words, with their counts in each."""
+    return _counted.asNondeterministic()(F.array(*tokens))

@@ -147,7 +147,7 @@ def _counts(c, spark, d, name="documents", key="doc_id", col="text"):
 
 def stemmed(spark, d):
     long = table(spark, d, "documents").select(F.explode(text.words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return text.with_stems(long).groupBy("stem").agg(F.sum("n").alias("n"))
+    return text.stems_of(long).groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def rewrite(spark, d):
