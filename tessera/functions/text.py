@@ -141,10 +141,15 @@ def numbered(lines: Column) -> Column:
     return let(lines, own)
 
 
+def scope_pattern(scope: Column) -> Column:
+    """A scope as a pattern: * and ? stand for what is no slash."""
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(scope, r"([.+^$(){}|\\])", r"\\$1"), r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+
+
 def in_scope(path: Column, scope: Column) -> Column:
     """Whether a path lies in a scope: a directory prefix, a file, or a pattern with trailing stars."""
     prefix = F.regexp_replace(F.regexp_replace(scope, r"\*\*$", ""), r"\*$", "")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(scope, r"([.+^$(){}|\\])", r"\\$1"), r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+    pattern = scope_pattern(scope)
     return (scope != "") & F.when(prefix.endswith("/"), path.startswith(prefix)).otherwise(path.startswith(prefix) | F.regexp_like(path, pattern))
 
 

@@ -7,8 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import in_scope, let
+from tessera.functions.text import let, scope_pattern
 from tessera.operators.bm25 import broadcast_if_small
+from tessera.sources.store import settled
 
 # Trust by tier, boosts, thresholds, and stems that speak of code.
 TRUST = {"specs": "high", "docs": "medium", "context": "medium", "notes": "low"}
@@ -106,15 +107,22 @@ def in_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:
 
     A trie of literal prefixes, by equality: a scope lies under what it says before its first wildcard, a path looks up its
     own beginnings of the lengths that scopes have (the driver gets these lengths, a number each).  Only scopes with
-    wildcards before their end are tested as patterns, and only on paths that share their prefix.
+    wildcards before their end are tested as patterns, and only on paths that share their prefix.  Equal scopes are looked
+    up and tested once, whoever has them, and as patterns that are made once.
     """
+    others = [c for c in scopes.columns if c != "scope"]
+    owners = scopes.filter(F.col("scope") != "").groupBy("scope").agg(F.collect_list(F.struct(F.lit(1).alias("_"), *others)).alias("_owners"))
     bare = F.regexp_replace(F.regexp_replace("scope", r"\*\*$", ""), r"\*$", "")
-    known = scopes.filter(F.col("scope") != "").withColumn("_prefix", F.regexp_extract(bare, r"^[^*?\[\\]*", 0)).withColumn("_plain", F.col("_prefix") == bare)
-    lengths = sorted(r.n for r in known.select(F.length("_prefix").alias("n")).distinct().collect())
-    own = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    looked = paths.filter(F.col("path").isNotNull()).withColumn("_prefix", F.explode(F.transform(own, lambda n: F.substring(F.col("path"), F.lit(1), n))))
-    met = looked.join(broadcast_if_small(known), "_prefix")
-    return met.filter(F.col("_plain") | in_scope(F.col("path"), F.col("scope"))).drop("_prefix", "_plain")
+    known = owners.withColumn("_bare", bare).withColumn("_prefix", F.regexp_extract("_bare", r"^[^*?\[\\]*", 0)).withColumn("_plain", F.col("_prefix") == F.col("_bare")).withColumn("_pattern", scope_pattern(F.col("scope")))
+    known = settled(known)
+    own = F.col("path").startswith(F.col("_bare"))
+    parts = []
+    for rows, test in ((known.filter("_plain"), F.lit(True)), (known.filter("NOT _plain"), F.when(F.col("_bare").endswith("/"), own).otherwise(own | F.regexp_like("path", F.col("_pattern"))))):
+        lengths = sorted(r.n for r in rows.select(F.length("_prefix").alias("n")).distinct().collect())
+        begins = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
+        looked = paths.filter(F.col("path").isNotNull()).withColumn("_prefix", F.explode(F.transform(begins, lambda n: F.substring(F.col("path"), F.lit(1), n))))
+        parts.append(looked.join(broadcast_if_small(rows), "_prefix").filter(test).select(*paths.columns, "scope", F.explode("_owners").alias("_owner")))
+    return parts[0].unionAll(parts[1]).select(*paths.columns, *[F.col("scope") if c == "scope" else F.col(f"_owner.{c}").alias(c) for c in scopes.columns])
 
 
 def connected(nodes: DataFrame, edges: DataFrame, scopes: DataFrame) -> DataFrame:
