@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,23 +52,41 @@ def score(text: Column, kind: str, signals: dict | None = None) -> Column:
     return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _score(low, kind, signals))
 
 
+def _hit(low: Column, pattern: str) -> Column:
+    return low.rlike(pattern[1:-1]) if len(pattern) > 1 and pattern[0] == pattern[-1] == "/" else low.contains(pattern)
+
+
 def _score(low: Column, kind: str, signals: dict | None) -> Column:
     total = F.lit(0)
     for strength, patterns in (signals or SIGNALS)[kind].items():
         for p in patterns:
-            hit = low.rlike(p[1:-1]) if len(p) > 1 and p[0] == p[-1] == "/" else low.contains(p)
-            total = total + F.when(hit, WEIGHTS[strength]).otherwise(0)
+            total = total + F.when(_hit(low, p), WEIGHTS[strength]).otherwise(0)
     return total
 
 
 def scores(text: Column, signals: dict | None = None) -> Column:
-    """An array of (type, score) in the order of TYPES."""
-    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[F.struct(F.lit(t).alias("type"), _score(low, t, signals).alias("score")) for t in TYPES]))
+    """An array of (type, score) in the order of TYPES; a signal of several types is looked for once."""
+    said = signals or SIGNALS
+    every = list(dict.fromkeys(p for t in TYPES for patterns in said[t].values() for p in patterns))
+
+    def score_of(hits: Column, kind: str) -> Column:
+        weights = [0] * len(every)
+        for strength, patterns in said[kind].items():
+            for p in patterns:
+                weights[every.index(p)] += WEIGHTS[strength]
+        used = [(i, w) for i, w in enumerate(weights) if w]
+        return functools.reduce(lambda a, b: a + b, [F.when(F.get(hits, F.lit(i)), w).otherwise(0) for i, w in used], F.lit(0))
+
+    def scored(hits: Column) -> Column:
+        return F.array(*[F.struct(F.lit(t).alias("type"), score_of(hits, t).alias("score")) for t in TYPES])
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.array(*[_hit(low, p) for p in every]), scored))
 
 
 def decided(notes: DataFrame, text_col: str = "text", signals: dict | None = None) -> DataFrame:
     """notes with best, second, type and confidence; equal scores go to the type that TYPES names first."""
-    own = notes.withColumn("_s", scores(F.col(text_col), signals))
+    # scores are rows of a generator, so that conditions on what follows from them do not compute them again
+    own = notes.select("*", F.explode(F.array(scores(F.col(text_col), signals))).alias("_s"))
     ranked = F.array_sort(F.transform("_s", lambda x, i: F.struct((-x["score"]).alias("minus"), i.alias("at"), x["type"].alias("type"))))
     out = own.withColumn("_r", ranked).withColumns({"best": -F.get("_r", F.lit(0))["minus"], "second": -F.get("_r", F.lit(1))["minus"]})
     low, close = F.col("best") < 4, F.col("best") - F.col("second") < 2
