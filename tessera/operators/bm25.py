@@ -13,6 +13,8 @@ from tessera.sources.store import settled
 BROADCAST_TERMS = 200_000
 #: Distinct terms up to which the plan itself holds them.
 LITERAL_TERMS = 20_000
+#: Documents that a task scores, about.
+DOCS_A_TASK = 4096
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,28 @@ def _weighed(slim: DataFrame, fields: list[Field], grouped: bool = False) -> tup
     return every, row.n
 
 
+def _totals(slim: DataFrame, fields: list[Field]) -> tuple[DataFrame, int]:
+    """doc, term, total: the sum of the parts of _weighed(); and the number of documents.
+
+    Rows are dealt out by document, to more tasks where there are more documents, and stay there: what a task holds does
+    not grow with the table.
+    """
+    sizes = [f"{f.name}_n" for f in fields]
+    row = slim.agg(F.count("*").alias("n"), *[F.avg(n).alias(f.name) for n, f in zip(sizes, fields, strict=True)]).first()
+    tasks = max(row.n // DOCS_A_TASK + 1, slim.sparkSession.sparkContext.defaultParallelism)
+
+    def said(i: int, f: Field):
+        return F.transform(F.coalesce(f.name, F.array().cast("array<string>")), lambda t: F.struct(F.lit(i).alias("field"), t.alias("term")))
+
+    each = slim.repartition(tasks, "doc").select("doc", *sizes, F.explode(F.concat(*[said(i, f) for i, f in enumerate(fields)])).alias("t")).select("doc", *sizes, "t.field", "t.term")
+    counted = each.groupBy("doc", "term", *sizes).agg(*[F.sum(F.when(F.col("field") == i, 1).otherwise(0)).alias(f"_{f.name}") for i, f in enumerate(fields)])
+    parts = []
+    for f in fields:
+        norm = 1 - f.b + f.b * F.col(f"{f.name}_n") / F.lit(max(1.0, row[f.name] or 0.0))
+        parts.append(F.when(F.col(f"_{f.name}") > 0, F.lit(f.weight) * F.col(f"_{f.name}") / F.when(norm == 0, 1.0).otherwise(norm)).otherwise(0.0))
+    return counted.select("doc", "term", sum(parts, F.lit(0.0)).alias("part")).groupBy("doc", "term").agg(F.sum("part").alias("total")), row.n
+
+
 def _idf(n: int):
     return F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(1.0))
 
@@ -118,12 +142,16 @@ def scores(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k
 
     grouped: rows that share doc are one document.
     """
-    found, n = _weighed(matches(docs, queries, doc, fields), fields, grouped)
-    per_term = found.groupBy("doc", "term").agg(F.sum("part").alias("total"))
+    slim = matches(docs, queries, doc, fields)
+    if grouped:
+        found, n = _weighed(slim, fields, grouped)
+        per_term = found.groupBy("doc", "term").agg(F.sum("part").alias("total"))
+    else:
+        per_term, n = _totals(slim, fields)
     # one row for each document and term by now, so the document frequency needs no DISTINCT
     df = per_term.groupBy("term").agg(F.count("*").alias("df")).select("term", _idf(n).alias("idf"))
     weighed = per_term.join(broadcast_if_small(df), "term").select("doc", "term", (F.col("idf") * F.col("total") / (F.lit(k1) + F.col("total"))).alias("contrib"))
-    return weighed.join(broadcast_if_small(queries.select("query_id", "term")), "term").groupBy("query_id", "doc").agg(F.sum("contrib").alias("score"))
+    return weighed.join(broadcast_if_small(queries.select("query_id", "term")), "term").groupBy("doc", "query_id").agg(F.sum("contrib").alias("score")).select("query_id", "doc", "score")
 
 
 def field_shares(docs: DataFrame, queries: DataFrame, doc: str, fields: list[Field], k1: float = 1.2) -> DataFrame:

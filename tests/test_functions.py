@@ -99,3 +99,10 @@ def test_readers(spark):
     files = spark.createDataFrame([("a.json", '{"a": 1}'), ("b.txt", "1\n2\n3"), ("c.md", None)], "path string, text string")
     got = {r.path: r for r in readers.read(files, last=2, numbers=True).collect()}
     assert got["b.txt"].content == "1|2\n2|3" and got["a.json"].content == '1|{"a": 1}' and got["b.txt"].language == "generic"
+
+
+def test_compact_forms_of_more_commands_than_a_slice(spark, monkeypatch):
+    n = 2 * filters.SLICE + 3
+    rows = spark.range(n).coalesce(1).selectExpr("array('make') args", "concat('error: ', id) stdout", "'' stderr", "0 exit_code", "false ultra")
+    got = [r["compact"]["out"] for r in filters.with_compact(rows).collect()]
+    assert got == [f"error: {i}" for i in range(n)]

@@ -263,3 +263,9 @@ def test_concept_lookups(spark):
     edges = spark.createDataFrame([("concept:a", "agent:x", "agent_owns_concept", True), ("concept:c", "agent:x", "agent_owns_concept", True), ("concept:b", "agent:x", "agent_owns_concept", False), ("concept:a", "code_package:p/q", "implements", True), ("concept:a", "code_package:r", "implements", False)], "from string, to string, type string, reviewed boolean")
     assert [r.id for r in overlay.concepts_of(concepts, edges, "x").collect()] == ["concept:a"]
     assert [r.package for r in overlay.packages_of(edges, "concept:a").collect()] == ["p/q"]
+
+
+def test_signals_are_looked_for_once_under_a_condition(spark):
+    notes = spark.createDataFrame([("we decided; how to; step 1",)], "text string")
+    plan = classify.decided(notes).filter(classify.auto_accepted())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

@@ -169,3 +169,20 @@ def test_stem_counts_are_those_of_the_words(spark):
     df = spark.createDataFrame([(words, ["runs"]), ([], None), (None, ["graph"])], "body array<string>, path array<string>")
     got = [{t["term"]: list(t["tf"]) for t in r.x} for r in df.select(text.stem_counts(F.col("body"), F.col("path")).alias("x")).collect()]
     assert got == [{"run": [3, 1], "é": [1, 0], "graph": [1, 0], "runner": [1, 0]}, {}, {"graph": [0, 1]}]
+
+
+def test_equal_scopes_are_tested_once_for_all_their_agents(spark):
+    paths = spark.createDataFrame([("a/b1", 1), ("a/c", 2)], "path string, id int")
+    scopes = spark.createDataFrame([(f"g{i}", s) for i in range(50) for s in ("*/b?", "a/**")] + [("g1", "a/**")], "agent string, scope string")
+    got = retrieval.in_scopes(paths, scopes)
+    assert sorted((r.path, r.id, r.agent, r.scope) for r in got.collect()) == sorted([("a/b1", 1, f"g{i}", s) for i in range(50) for s in ("*/b?", "a/**")] + [("a/c", 2, f"g{i}", "a/**") for i in range(50)] + [("a/b1", 1, "g1", "a/**"), ("a/c", 2, "g1", "a/**")])
+    # patterns are columns of the scopes, not made again for each path
+    assert "_pattern" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_stay_where_their_documents_lie(spark):
+    df = docs(spark)
+    got = bm25.scores(df, spark.createDataFrame([("q", "graph"), ("q", "stored")], "query_id string, term string"), "id", FIELDS)
+    assert got.count() > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
