@@ -20,7 +20,7 @@ def _folder(spark, name: str) -> str:
 
 def graph_document(spark, d):
     """The hash tree of the graph's document."""
-    lines = store.settled(document.placed(document.elements(document.graph_lists(nodes(spark, d), edges(spark, d)))))
+    lines = document.placed(document.elements(document.graph_lists(nodes(spark, d), edges(spark, d))))
     return document.hash_tree(lines)
 
 

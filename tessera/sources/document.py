@@ -38,6 +38,13 @@ def elements(lists: Lists) -> DataFrame:
     return out
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows as files of columns, compressed, in the folder that all executors share; checkpoints hold rows as they are."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def graph_lists(nodes: DataFrame, edges: DataFrame) -> Lists:
     return {"nodes": (nodes, ["id"]), "edges": (edges, ["from", "to", "type"])}
 
@@ -45,18 +52,17 @@ def graph_lists(nodes: DataFrame, edges: DataFrame) -> Lists:
 def placed(rows: DataFrame) -> DataFrame:
     """list, line, place of elements(): places from 0 within each list.  The driver gets a number for each range and list."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/placed-{uuid.uuid4().hex}"
-    rows.repartitionByRange("list", "key", "line").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
-    counts = sorted((r.list, r.part, r.n) for r in ranged.groupBy("list", "part").agg(F.count("*").alias("n")).collect())
+    at = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange("list", "key", "line").sortWithinPartitions("list", "key", "line").select("list", "line", F.spark_partition_id().alias("part"), at.alias("at"))
+    ranged = stored(ranged, "placed")
+    # numbers of a part follow each other
+    counts = sorted((r.list, r.part, r.n, r.first) for r in ranged.groupBy("list", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect())
     before, offsets = {}, []
-    for name, part, n in counts:
-        offsets.append((name, part, before.get(name, 0)))
+    for name, part, n, first in counts:
+        offsets.append((name, part, before.get(name, 0) - first))
         before[name] = before.get(name, 0) + n
     known = spark.createDataFrame(offsets, "list string, part int, offset long")
-    w = Window.partitionBy("list", "part").orderBy("key", "line")
-    own = ranged.withColumn("n", F.row_number().over(w))
-    return own.join(F.broadcast(known), ["list", "part"]).select("list", "line", (F.col("offset") + F.col("n") - 1).alias("place"))
+    return ranged.join(F.broadcast(known), ["list", "part"]).select("list", "line", (F.col("offset") + F.col("at")).alias("place"))
 
 
 def hash_tree(lines: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def write_lists(lists: Lists, path: str, fields: dict[str, str], hash_field: str
     the hash of the lists, which also becomes a field, if it has a name."""
     names = list(lists)
     spark = lists[names[0]][0].sparkSession
-    lines = settled(placed(elements(lists)))
+    lines = placed(elements(lists))
     found = root(hash_tree(lines), names)
     sizes = {r["list"]: r.n for r in lines.groupBy("list").agg(F.count("*").alias("n")).collect()}
     told = {**fields, **({hash_field: found} if hash_field else {})}
@@ -142,13 +148,13 @@ def read_document(spark: SparkSession, path: str, lists: dict[str, str]) -> tupl
     open_ = F.broadcast(rest.filter("open").select("file", "last.start", "last.id", F.lit(True).alias("open")))
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     records = records.join(open_, ["file", "start", "id"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    quoted = _summed(records.withColumns({"bare": bare, "quotes": _count(bare, '"')}), "quotes", "before")
+    quoted = _summed(records.withColumn("quotes", _count(bare, '"')), "quotes", "before").withColumn("bare", bare)
     inside = F.col("before") % 2 == 1
     outside = F.regexp_replace(F.regexp_replace(F.when(inside, F.regexp_replace("bare", r'(?s)^[^"]*("|$)', "")).otherwise(F.col("bare")), r'(?s)"[^"]*"', ""), r'(?s)"[^"]*$', "")
     closes = ((F.col("before") + F.col("quotes")) % 2 == 0) & ~F.col("open")
-    shaped = settled(quoted.withColumns({"opens": _count(outside, "{"), "closes": closes.cast("int")}).withColumn("step", F.col("opens") - F.col("closes")).drop("bare", "quotes", "before", "size"))
+    shaped = stored(quoted.withColumns({"opens": _count(outside, "{"), "closes": closes.cast("int")}).withColumn("step", F.col("opens") - F.col("closes")).drop("bare", "quotes", "before", "size"), "shaped")
     deep = _summed(shaped, "step", "depth").withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("step") == 1)).cast("int"))
-    numbered = settled(_summed(deep, "ends", "number"))
+    numbered = stored(_summed(deep, "ends", "number"), "numbered")
     # what lies before the brace that opens an element: the rest of a list, or the name of the next
     begins = F.col("depth") <= 1
     lead = F.when(F.col("depth") == 0, F.regexp_extract("value", r"(?s)^(\s*\{[^{]*)", 1)).when(F.col("depth") == 1, F.regexp_extract("value", r"(?s)^([^{]*)", 1))

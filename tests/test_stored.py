@@ -179,3 +179,13 @@ def test_sessions_and_their_runs_equal_a_state_machine(spark):
     assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted((x.id, x.session) for x in met.collect()) == sorted((i, s) for i, k, t in runs for key, s, a, b in want if key == k and a <= t and (b is None or t < b))
     assert observe.observed(log, found.limit(0)).count() == 0
+
+
+def test_documents_are_placed_without_a_window_and_checkpoints(spark, monkeypatch):
+    monkeypatch.setattr(document, "settled", lambda rows: pytest.fail("rows were written as a checkpoint"))
+    rows = spark.range(3000).select(F.lpad((F.col("id") * 7919 % 3000).cast("string"), 5, "0").alias("id"))
+    got = document.placed(document.elements({"nodes": (rows, ["id"]), "more": (rows.limit(7), ["id"])}))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    lines = [r.line for r in got.filter("list = 'nodes'").orderBy("place").collect()]
+    assert lines == [f'{{"id":"{i:05d}"}}' for i in range(3000)]
+    assert [r.place for r in got.filter("list = 'more'").orderBy("place").collect()] == list(range(7))
