@@ -187,6 +187,14 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+def _by_last(suffixes) -> dict[str, list[str]]:
+    """Suffixes by their last letter, in order: only those can end a word."""
+    return {c: [s for s in suffixes if s[-1] == c] for c in {s[-1] for s in suffixes}}
+
+
+_ENDS2, _ENDS3, _ENDS4 = _by_last(_STEP2), _by_last(_STEP3), _by_last(_STEP4)
+
+
 def stem(word: str) -> str:
     """Porter's stem of a lower-case word; works on bytes, so letters beyond ASCII are consonants."""
     w = word.encode().decode("latin-1")
@@ -210,11 +218,11 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
-        suffix = next((s for s in rules if w.endswith(s)), None)
+    for rules, ends in ((_STEP2, _ENDS2), (_STEP3, _ENDS3)):
+        suffix = next(filter(w.endswith, ends.get(w[-1:], ())), None)
         if suffix and _measure(w[: -len(suffix)]) > 0:
             w = w[: -len(suffix)] + rules[suffix]
-    suffix = next((s for s in _STEP4 if w.endswith(s)), None)
+    suffix = next(filter(w.endswith, _ENDS4.get(w[-1:], ())), None)
     if suffix:
         base = w[: -len(suffix)]
         if _measure(base) > 1 and (suffix != "ion" or base[-1] in "st"):
@@ -245,6 +253,15 @@ def with_stems(long: DataFrame, term: str = "term") -> DataFrame:
 _memo: dict[str, str] = {}
 
 
+def stems_known(words_: list[str]) -> list[str]:
+    """The stems of distinct words; those of earlier batches of the same worker are known."""
+    if len(_memo) > 400_000:
+        _memo.clear()
+    fresh = [w for w in words_ if w not in _memo]
+    _memo.update(zip(fresh, map(stem, fresh), strict=True))
+    return [_memo[w] for w in words_]
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(lists: pa.Array) -> pa.Array:
     out = []
